@@ -5,7 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op1_suffix_dedup": "op01_suffix_dedup",
     "op2_license_scan": "op02_license",
+    "op3_best_fit_packing": "op03_packing",
     "op4_exact_topk": "op04_topk",
     "op8_decontaminate": "op08_decontaminate",
     "op10_url_filter": "op10_url_filter",

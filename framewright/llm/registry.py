@@ -9,6 +9,8 @@ MODULES = {
     "op2_license_scan": "op02_license",
     "op3_best_fit_packing": "op03_packing",
     "op4_exact_topk": "op04_topk",
+    "op5_minhash_dedup": "op05_minhash",
+    "op7_toxicity": "op07_toxicity",
     "op8_decontaminate": "op08_decontaminate",
     "op10_url_filter": "op10_url_filter",
 }

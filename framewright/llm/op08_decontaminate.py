@@ -159,12 +159,11 @@ def _sha(ids) -> str:
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: words, words inside any occurrence of an item window, items found."""
+def window_indexes(source: DataFrame, benchmark: DataFrame, size: int, block_bytes: int) -> list[WindowIndex]:
+    """One index a block of items; a block's texts are at most about ``block_bytes``."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_col().alias("text"))
     held = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     blocks = max(1, -(-held // block_bytes))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"))
     indexes = []
     for b in range(blocks):
         own = _items(items, b, blocks)
@@ -173,7 +172,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
         order = np.argsort(h)
         counts = count_words(source, h[order])
         indexes.append(WindowIndex(own, size, {vocabulary[o]: int(c) for o, c in zip(order, counts, strict=True)}))
-    if blocks == 1:
+    return indexes
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: words, words inside any occurrence of an item window, items found."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"))
+    indexes = window_indexes(source, benchmark, size, block_bytes)
+    if len(indexes) == 1:
         index = indexes[0]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +195,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
     return _in_blocks(source, indexes)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in which no item window occurs, with all their columns."""
+    at = docs.columns.index("text")
+    for index in window_indexes(docs, benchmark, size, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index: WindowIndex = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([len(f[2]) == 0 for f in _scan(index, batch, at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def _in_blocks(source: DataFrame, indexes: list[WindowIndex]) -> DataFrame:
     """More items than one block holds: every block passes over all distinct texts, and runs are merged per text."""
     keyed = source.withColumn("key", F.sha2("text", 256))

@@ -10,8 +10,10 @@ MODULES = {
     "op3_best_fit_packing": "op03_packing",
     "op4_exact_topk": "op04_topk",
     "op5_minhash_dedup": "op05_minhash",
+    "op6_secret_scan": "op06_secrets",
     "op7_toxicity": "op07_toxicity",
     "op8_decontaminate": "op08_decontaminate",
+    "op9_token_counts": "op09_tokens",
     "op10_url_filter": "op10_url_filter",
 }
 

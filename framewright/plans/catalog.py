@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ["q_scalars", "q_windows"]
+
+
+def _registries():
+    return [import_module(f"{__package__}.{m}").R for m in MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for r in _registries() for name, q in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for r in _registries() for name, sql in r.sql.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_scalars", "q_windows"]
+MODULES = ["q_scalars", "q_windows", "q_evaluate"]
 
 
 def _registries():

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import op03_packing, op05_minhash, op06_secrets, op07_toxicity, op08_decontaminate
-from framewright.llm.common import table, text_col, written
+from framewright.llm.common import small_side, table, text_col, written
 
 SHINGLE = 5
 
@@ -30,14 +30,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = op05_minhash.near_components(docs, size=SHINGLE)
+    found = written(op05_minhash.near_components(docs, size=SHINGLE), "components")
     stays = F.col("kept") | F.col("component_id").isNull() | (F.col("n_shingles") == 0)
     gone = found.where(~stays).select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
+    gone = small_side(written(gone, "gone"))
     again = found.where(stays & (F.col("n_shingles") > 0)).groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    again = small_side(written(again.select(F.col("doc_id").alias("_again_id"), F.col("key").alias("_again_key"), F.lit(True).alias("_again")), "again"))
     keyed = docs.withColumn("_key", F.unhex(F.md5(text_col()))).withColumn("_id", F.col("doc_id").cast("long"))
     left = keyed.join(gone, keyed["_id"].eqNullSafe(gone["_gone_id"]) & (keyed["_key"] == gone["_gone_key"]), "left_anti")
     # repeated rows of a document that stays: one of them does
-    marked = left.join(again.select(F.col("doc_id").alias("_again_id"), F.col("key").alias("_again_key"), F.lit(True).alias("_again")), F.col("_id").eqNullSafe(F.col("_again_id")) & (F.col("_key") == F.col("_again_key")), "left")
+    marked = left.join(again, F.col("_id").eqNullSafe(F.col("_again_id")) & (F.col("_key") == F.col("_again_key")), "left")
     once = marked.where("_again").dropDuplicates(["_id", "_key"])
     return marked.where("_again IS NULL").unionByName(once).select(*docs.columns)
 

@@ -175,6 +175,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few short columns that a join may broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """A written table of keys, marked for broadcast if its row count is within the bound."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,7 +35,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_col
+from .common import small_side, table, text_col, written
 
 LEAST, SAMPLE, TREES, DEPTH, SEED = 16, 5000, 20, 6, 7
 RUN = r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % LEAST
@@ -128,6 +128,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every secret's value replaced by a mark; all columns stay, n_chars follows the text."""
     key = F.unhex(F.md5(text_col()))
     per_text = scan_secrets(docs).where("secret").groupBy(F.col("key").alias("_secret_key")).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_secret_values"))
+    per_text = small_side(written(per_text, "secrets"))
     joined = docs.withColumn("_secret_key", key).join(per_text, "_secret_key", "left")
     clean = F.aggregate(F.coalesce("_secret_values", F.array().cast("array<string>")), F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
     out = joined.withColumn("text", F.when(F.col("_secret_values").isNull(), F.col("text")).otherwise(clean))

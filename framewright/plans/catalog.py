@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_scalars", "q_windows", "q_evaluate", "q_detect", "q_sources"]
+MODULES = ["q_scalars", "q_windows", "q_evaluate", "q_detect", "q_sources", "q_tables", "q_streams"]
 
 
 def _registries():

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NO_TEXT = F.lit(None).cast("string")
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _hex(c: Column) -> Column:
@@ -106,7 +107,7 @@ def map_label_token(token: Column, policy: str = "attack") -> Column:
 def attack_type_from_name(name: Column, rules: list[tuple[str, str]]) -> Column:
     """First rule whose fragment is in the lower-cased name."""
     low = F.lower(name)
-    out = F.when(F.lit(False), NO_TEXT)
+    out = F.when(F.lit(False), _no_text())
     for fragment, kind in rules:
         out = out.when(low.contains(fragment), F.lit(kind))
     return out
@@ -125,7 +126,7 @@ def vehicle_from_path(path: Column) -> Column:
 
 def split_from_path(path: Column) -> Column:
     stem = F.lower(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1))
-    return F.when(stem.contains("train"), "train").when(stem.contains("test"), "test").otherwise(NO_TEXT)
+    return F.when(stem.contains("train"), "train").when(stem.contains("test"), "test").otherwise(_no_text())
 
 
 def normalize_attack_type(label: Column, kind: Column) -> Column:
@@ -174,7 +175,7 @@ def trace_role_from_path(path: Column) -> Column:
     """benign, attack or null for files that take no part."""
     low, stem = F.lower(path), F.lower(F.regexp_extract(path, r"([^/]+)$", 1))
     skip = low.rlike("/_[^/]*/") | low.contains("generated") | stem.contains("-inj-messages")
-    return F.when(skip, NO_TEXT).when(stem.contains("benign") | stem.contains("normal") | low.rlike("/(benign|normal|train)/"), "benign").otherwise("attack")
+    return F.when(skip, _no_text()).when(stem.contains("benign") | stem.contains("normal") | low.rlike("/(benign|normal|train)/"), "benign").otherwise("attack")
 
 
 def trace_group_from_name(name: Column) -> Column:

@@ -127,9 +127,9 @@ def _(spark, sf):
     return D.fit_minmax(freq_points(spark, sf).where(f"day < '{DAY}' AND label = 0")).withColumns({"low_hz": F.round("low_hz", 9), "high_hz": F.round("high_hz", 9)})
 
 
-@R.add("freq_kernel_score", FREQ + " SELECT window_no, gamma, round(max(score), 6) AS max_score, round(avg(score), 6) AS mean_score FROM s GROUP BY 1, 2")
+@R.add("freq_kernel_score", FREQ + " SELECT window_no, gamma, round(max(score), 4) AS max_score, round(avg(score), 4) AS mean_score FROM s GROUP BY 1, 2")
 def _(spark, sf):
-    return freq_scores(spark, sf).groupBy("window_no", "gamma").agg(F.round(F.max("score"), 6).alias("max_score"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return freq_scores(spark, sf).groupBy("window_no", "gamma").agg(F.round(F.max("score"), 4).alias("max_score"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
 @R.add("freq_threshold", FREQ + f""", q AS (SELECT gamma, quantile_cont(score, 0.95) AS th FROM s WHERE day < '{DAY}' AND label = 0 GROUP BY 1), v AS (SELECT gamma, th, avg(CASE WHEN score > th THEN 1.0 ELSE 0 END) AS fpr FROM s JOIN q USING (gamma) WHERE day >= '{DAY}' AND label = 0 GROUP BY 1, 2)
@@ -144,12 +144,12 @@ def _(spark, sf):
 @R.add("freq_score_messages", "WITH " + bridge.DUCK + f""", t AS (SELECT idx_src, can_id, source_file, label, count(*) OVER (PARTITION BY can_id ORDER BY ts_us RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW) / 6.0 AS hz FROM f),
 tr AS (SELECT * FROM t WHERE source_file < '{DAY}' AND label = 0), sc AS (SELECT min(can_id) AS a, max(can_id) AS b, min(hz) AS c, max(hz) AS d FROM tr), z AS (SELECT t.*, (can_id - a) / (b - a) AS x, (hz - c) / (d - c) AS y FROM t, sc),
 mo AS (SELECT x AS mx, y AS my, count(*) / (SELECT count(*) FROM tr) AS w FROM z WHERE source_file < '{DAY}' AND label = 0 GROUP BY 1, 2),
-k AS (SELECT x, y, sum(-w * exp(-10 * ((x - mx) ** 2 + (y - my) ** 2))) AS score FROM (SELECT DISTINCT x, y FROM z), mo GROUP BY 1, 2) SELECT idx_src, round(score, 6) AS score FROM z JOIN k USING (x, y)""")
+k AS (SELECT x, y, sum(-w * exp(-10 * ((x - mx) ** 2 + (y - my) ** 2))) AS score FROM (SELECT DISTINCT x, y FROM z), mo GROUP BY 1, 2) SELECT idx_src, round(score, 4) AS score FROM z JOIN k USING (x, y)""")
 def _(spark, sf):
     t = W.trailing_id_count(f(spark, sf), 6 * HOUR).withColumn("hz", F.col("trailing") / 6.0)
     train = t.where(f"source_file < '{DAY}' AND label = 0")
     scale = D.fit_minmax(train)
-    return D.kernel_scores(t, D.kernel_model(train, scale), scale, [10.0]).select("idx_src", F.round("score", 6).alias("score"))
+    return D.kernel_scores(t, D.kernel_model(train, scale), scale, [10.0]).select("idx_src", F.round("score", 4).alias("score"))
 
 
 @R.add("freq_protocol_eval", FREQ + f""", q AS (SELECT quantile_cont(score, 0.95) AS th FROM s WHERE gamma = 10 AND day < '{DAY}' AND label = 0), w AS (SELECT window_no, max(day) AS day, max(score) AS score, max(label) AS label FROM s WHERE gamma = 10 GROUP BY 1)

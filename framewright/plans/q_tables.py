@@ -80,6 +80,11 @@ def _(spark, sf):
     return C.assert_benign(C.benign_only(f(spark, sf))).select("idx_src")
 
 
+@R.add("assert_benign", WITH + f"SELECT idx_src FROM f WHERE label = 0 AND source_file < '{DAY}'")
+def _(spark, sf):
+    return C.assert_benign(f(spark, sf).where(f"label = 0 AND source_file < '{DAY}'")).select("idx_src")
+
+
 @R.add("exclude_prefixes", WITH + "SELECT idx_src FROM f WHERE source_file NOT LIKE '2024-01-0%' AND source_file NOT LIKE '2024-01-2%'")
 def _(spark, sf):
     return C.exclude_prefixes(f(spark, sf), ["2024-01-0", "2024-01-2"]).select("idx_src")
@@ -357,6 +362,12 @@ def _(spark, sf):
     return only.unionByName(b.select("source_file").intersect(k.select("source_file")).select(F.lit("both").alias("side"), F.col("source_file").alias("scenario")))
 
 
+@R.add("metadata_json", "SELECT event_id, 'k' AS name, CAST(json_extract(props, '$.k') AS DOUBLE) AS value FROM events")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.from_json("props", "map<string, double>").alias("m"))
+    return e.select("event_id", F.explode("m").alias("name", "value"))
+
+
 @R.add("known_ids", WITH + f"SELECT DISTINCT can_id FROM f WHERE source_file < '{DAY}'")
 def _(spark, sf):
     return f(spark, sf).where(f"source_file < '{DAY}'").select("can_id").distinct()

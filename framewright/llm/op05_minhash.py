@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _P2, LOWER, NONSPACE, Rolling, expand, flat, mix, pieces, table, text_col, words, written
+from .common import _P2, LOWER, NONSPACE, Rolling, expand, flat, mix, pieces, small_side, table, text_col, words, written
 
 SHINGLE, NUM, DEN = 4, 80, 100
 KEEP, SHARED, LIST_ROWS, ESTIMATE = 64, 36, 48, 0.6
@@ -198,7 +198,8 @@ def near_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: i
         .withColumn("at", F.explode(F.when(F.col("held") > group_shingles, others).otherwise(alone)))
         .select(F.col("node").alias("key"), F.when(F.col("at.x") < 0, F.lit(None)).otherwise(F.col("root")).alias("grp"), F.col("at.x").alias("x"), F.col("at.y").alias("y"))
     )
-    texts = source.select("key", "text").join(groups.select(F.col("node").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    # the candidates are few beside the documents: within a bound of rows their keys go to the scan, not the texts to a shuffle
+    texts = source.select("key", "text").join(small_side(groups.select(F.col("node").alias("key"))), "key", "left_semi").dropDuplicates(["key"])
     searched = placed.join(texts, "key").groupBy("grp", "x", "y").applyInArrow(_search(size, num, den), "key binary, root binary")
     links = searched.where("key != root").select(F.col("root").alias("a"), F.col("key").alias("b"))
     final = connected(links)

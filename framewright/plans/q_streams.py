@@ -27,6 +27,25 @@ def stream(spark, sf, files=4, twice=False, per_trigger=100):
     return X.with_time(X.frame_stream(spark, path, df.schema, per_trigger))
 
 
+def in_two_runs(spark, sf, verb, columns, late=False):
+    """A stateful verb over the first days, and after a restart from its checkpoint over the days that arrived since.
+
+    Each run takes all files that are there in one batch, so rows of a key come in the order of time; with ``late`` the first days arrive last.
+    """
+    df = bridge.frames(spark, sf).withColumn("symbol", F.col("can_id") % 12)
+    path, table = scratch(spark, "stream"), scratch(spark, "table")
+    before = spark.conf.get(STATE, None)
+    spark.conf.set(STATE, ROCKS)
+    try:
+        parts = (f"source_file < '{bridge.TRAIN_BEFORE}'", f"source_file >= '{bridge.TRAIN_BEFORE}'")
+        for part in reversed(parts) if late else parts:
+            df.where(part).select(*columns).write.mode("append").parquet(path)
+            out = X.run_to_table(verb(X.frame_stream(spark, path, df.select(*columns).schema, 1_000_000)), table)
+        return out
+    finally:
+        spark.conf.unset(STATE) if before is None else spark.conf.set(STATE, before)
+
+
 def complete(spark, df):
     return X.run_to_table(df, scratch(spark, "table"), "complete")
 
@@ -56,12 +75,8 @@ def _(spark, sf):
     """Grams roll in state on the stream; the model of the earlier days joins afterwards."""
     from ..operators.detect import ngram_fit
 
-    before = spark.conf.get(STATE, None)
-    spark.conf.set(STATE, ROCKS)
-    try:
-        grams = X.run_to_table(X.rolling_grams(stream(spark, sf, per_trigger=2).where(f"source_file >= '{bridge.TRAIN_BEFORE}'").withColumn("symbol", F.col("can_id") % 12).select("source_file", "idx_src", "ts_us", "symbol")), scratch(spark, "table"))
-    finally:
-        spark.conf.unset(STATE) if before is None else spark.conf.set(STATE, before)
+    grams = in_two_runs(spark, sf, X.rolling_grams, ["source_file", "idx_src", "ts_us", "symbol"])
+    grams = grams.join(bridge.frames(spark, sf).where(f"source_file >= '{bridge.TRAIN_BEFORE}'").select("idx_src"), "idx_src", "left_semi")
     train = bridge.frames(spark, sf).where(f"source_file < '{bridge.TRAIN_BEFORE}'").withColumn("symbol", F.col("can_id") % 12)
     model = ngram_fit(train, 3, "symbol").select(F.array_join("gram", " ").alias("gram"), F.lit(1).alias("seen"))
     return grams.join(model, "gram", "left").select("idx_src", F.when(F.col("gram").isNull() | F.col("seen").isNotNull(), 0).otherwise(1).alias("score"))
@@ -69,18 +84,13 @@ def _(spark, sf):
 
 @R.add("stream_trailing_freq", WITH + f"SELECT idx_src, count(*) OVER (PARTITION BY can_id ORDER BY ts_us RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW) AS trailing FROM f")
 def _(spark, sf):
-    before = spark.conf.get(STATE, None)
-    spark.conf.set(STATE, ROCKS)
-    try:
-        return X.run_to_table(X.trailing_counts(stream(spark, sf, per_trigger=2).select("can_id", "idx_src", "ts_us")), scratch(spark, "table"))
-    finally:
-        spark.conf.unset(STATE) if before is None else spark.conf.set(STATE, before)
+    return in_two_runs(spark, sf, X.trailing_counts, ["can_id", "idx_src", "ts_us"])
 
 
-@R.add("stream_late_drop")
+@R.add("stream_late_drop", WITH + f"SELECT ts_us - ts_us % {6 * HOUR} AS start_us, count(*) AS n_msgs, max(label) AS label_window, CAST(sum(label) AS BIGINT) AS n_attack FROM f WHERE source_file >= '{bridge.TRAIN_BEFORE}' GROUP BY 1 HAVING start_us + {6 * HOUR} <= (SELECT max(ts_us) FROM f) - {HOUR}")
 def _(spark, sf):
-    """Append mode: windows behind the watermark are given once; the last ones stay open."""
-    return X.run_to_table(X.tumbling_label(stream(spark, sf, per_trigger=1), "6 hours", "1 hour"), scratch(spark, "table"))
+    """Append mode: windows behind the watermark are given once, the last ones stay open, and days that arrive late are dropped."""
+    return in_two_runs(spark, sf, lambda df: X.tumbling_label(X.with_time(df), "6 hours", "1 hour"), ["ts_us", "label"], late=True)
 
 
 @R.add("stream_dedup", WITH + "SELECT idx_src FROM f")

@@ -55,7 +55,7 @@ def payload_bytes(hexed: Column) -> list[Column]:
 def odd_nibble(hexed: Column, policy: str) -> Column:
     """An odd number of hex digits: pad on the left, on the right, or keep the last digit as a byte of its own."""
     n = F.length(hexed)
-    fixed = {"left": F.concat(F.lit("0"), hexed), "right": F.concat(hexed, F.lit("0")), "own": F.concat(F.expr("''"), F.substring(hexed, F.lit(1), n - 1), F.lit("0"), F.substring(hexed, n, F.lit(1)))}[policy]
+    fixed = {"left": F.concat(F.lit("0"), hexed), "right": F.concat(hexed, F.lit("0")), "own": F.concat(F.substring(hexed, F.lit(1), n - 1), F.lit("0"), F.substring(hexed, n, F.lit(1)))}[policy]
     return F.when(n % 2 == 1, fixed).otherwise(hexed)
 
 

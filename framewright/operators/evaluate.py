@@ -11,19 +11,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _down(keys: list[str]):
-    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+#: Ranges of scores whose running sums are formed apart and joined by their totals.
+RANGES = 1024
+
+
+def _with(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the one row of their slice."""
+    return rows.join(few, keys) if keys else rows.crossJoin(F.broadcast(few))
 
 
 def curve(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """tp, fp, totals and rates at each distinct score taken as threshold (score >= threshold)."""
+    """tp, fp, totals and rates at each distinct score taken as threshold (score >= threshold).
+
+    Running sums go in two steps, so that no task orders a whole slice: within
+    each of ``RANGES`` ranges of scores, and over the ranges' totals.
+    """
     keys = keys or []
     per = scores.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    out = per.withColumns({"tp": F.sum("p").over(_down(keys)), "fp": F.sum("n").over(_down(keys)), "pos": F.sum("p").over(whole), "neg": F.sum("n").over(whole)})
-    out = out.withColumnRenamed("score", "threshold").drop("p", "n")
-    rate = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
-    return out.withColumns({"tpr": rate("tp", "pos"), "fpr": rate("fp", "neg"), "precision": F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")), "f1": F.try_divide(2.0 * F.col("tp"), (F.col("tp") + F.col("fp") + F.col("pos")).cast("double"))})
+    whole = per.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    at = (F.col("_hi") - F.col("score")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300)) * (RANGES - 1)
+    per = _with(per, whole, keys).withColumn("_r", F.floor(at).cast("int")).drop("_lo", "_hi")
+    above = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = per.groupBy(*keys, "_r").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # at most RANGES rows a slice
+    totals = totals.select(*keys, "_r", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy(*keys, "_r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    out = per.join(totals, [*keys, "_r"]).withColumns({"tp": F.col("_p") + F.sum("p").over(inside), "fp": F.col("_n") + F.sum("n").over(inside)})
+    out = out.withColumnRenamed("score", "threshold").drop("_r", "_p", "_n")
+    rate = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    tp, fp, pos, neg = (F.col(x) for x in ("tp", "fp", "pos", "neg"))
+    return out.withColumns({
+        "tpr": rate(tp, pos), "fpr": rate(fp, neg), "precision": rate(tp, tp + fp), "f1": rate(2 * tp, tp + fp + pos),
+        "tpr_before": rate(tp - F.col("p"), pos), "fpr_before": rate(fp - F.col("n"), neg),
+    }).drop("p", "n")
 
 
 def roc_points(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -34,22 +53,15 @@ def roc_points(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return c.unionByName(zero)
 
 
-def _ordered(keys: list[str]):
-    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("threshold"))
-
-
 def roc_auc(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Trapezoid area; null when a slice has one class."""
     keys = keys or []
-    w = _ordered(keys)
-    c = curve(scores, keys).withColumns({"pf": F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), "pt": F.coalesce(F.lag("tpr").over(w), F.lit(0.0))})
-    return c.groupBy(*keys).agg(F.sum((F.col("fpr") - F.col("pf")) * (F.col("tpr") + F.col("pt")) / 2).alias("auc"))
+    return curve(scores, keys).groupBy(*keys).agg(F.sum((F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2).alias("auc"))
 
 
 def average_precision(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
-    c = curve(scores, keys).withColumn("pt", F.coalesce(F.lag("tpr").over(_ordered(keys)), F.lit(0.0)))
-    return c.groupBy(*keys).agg(F.sum((F.col("tpr") - F.col("pt")) * F.col("precision")).alias("average_precision"))
+    return curve(scores, keys).groupBy(*keys).agg(F.sum((F.col("tpr") - F.col("tpr_before")) * F.col("precision")).alias("average_precision"))
 
 
 def _best(c: DataFrame, keys: list[str], value: Column, highest_threshold: bool = True) -> DataFrame:

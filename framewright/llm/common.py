@@ -7,7 +7,6 @@ number of bytes so that a task's memory does not depend on the batch size.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 

@@ -16,7 +16,6 @@ repeated query gives its rows once a repetition.  Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

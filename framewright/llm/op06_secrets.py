@@ -40,6 +40,7 @@ from .common import small_side, table, text_col, written
 LEAST, SAMPLE, TREES, DEPTH, SEED = 16, 5000, 20, 6, 7
 RUN = r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % LEAST
 CANDIDATE = r"(?:^|[^A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{%d}" % LEAST
+LONG_RUN = r"[A-Za-z0-9+/_\-]{%d}" % LEAST
 BLOCK = "-----BEGIN [A-Z ]*PRIVATE KEY"
 #: Issued key formats (fixed values).
 FORMATS = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|xox[abp]-[A-Za-z0-9\-]{20,}|AIza[A-Za-z0-9_\-]{35})$"
@@ -53,7 +54,9 @@ FEATURES = ("length", "digits", "upper", "lower", "hex", "changes", "different",
 def candidates(docs: DataFrame) -> DataFrame:
     """Every candidate: key (MD5 of the text), doc_id, token_no, name, value, before, token."""
     text = text_col()
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(BLOCK))
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # cheap tests first: a digit and a long run somewhere in the text, or a block header
+    held = held.where(F.col("text").rlike("[0-9]") & F.col("text").rlike(LONG_RUN) | F.col("text").contains("-----BEGIN"))
     words = F.split("text", r"[ \t\n\x0B\f\r]+")
     numbered = held.select("doc_id", F.unhex(F.md5("text")).alias("key"), words.alias("w"))
     found = F.filter(
@@ -111,7 +114,7 @@ def bounded(rows: DataFrame, sample: int) -> DataFrame:
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """Every candidate with its probability of being a secret: doc_id, key, token_no, value, probability, secret."""
-    found = labelled(features(candidates(docs)))
+    found = written(labelled(features(candidates(docs))), "candidates")  # the texts are scanned once
     known = features(findings.drop("label")).withColumn("label", findings["label"].cast("double")) if findings is not None else found
     train = bounded(known, sample)
     there = {r.label for r in train.select("label").distinct().collect()}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once (single longer texts come alone).
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _P1 = 0x9E3779B97F4A7C15
 _P2 = 0xD1342543DE82EF95
@@ -38,7 +38,12 @@ def text_col(name: str = "text"):
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string or binary array; nulls become empty."""
+    """(bytes, offsets) of a string or binary array; nulls become empty.
+
+    Freed memory of earlier batches, and of earlier stages in the same Python
+    worker, goes back to the system first.
+    """
+    pa.default_memory_pool().release_unused()
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     col = col.cast(pa.large_binary()).fill_null(b"")

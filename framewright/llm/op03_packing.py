@@ -40,7 +40,7 @@ from .common import Rolling, expand, flat, pieces, table, text_col, written
 
 CAPACITY, END_ID = 4096, 1
 #: Words that a Python worker remembers with their ids.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 200_000
 
 
 def default_tokenizer() -> str:
@@ -179,9 +179,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
             rows: list[tuple] = []
             ids_col = batch.column(0).to_pylist()
             buf, offs = flat(batch.column(1))
-            data = buf.tobytes()
             for i, j in pieces(offs):
-                texts = [data[offs[k] : offs[k + 1]].decode("utf-8", "replace") for k in range(i, j)]
+                data, at = buf[offs[i] : offs[j]].tobytes(), (offs[i : j + 1] - offs[i]).tolist()
+                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
                 for k, ids in zip(range(i, j), codec.encode(texts), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for p, a in enumerate(range(0, len(ids), capacity)):

@@ -41,6 +41,8 @@ FOLDS, SAMPLE = 5, 8000
 #: Bytes of word beginnings that may become lexicon entries, besides whole words (0).
 STEMS = (4, 5, 6, 7, 8, 0)
 LEAST_DOCS, LEAST_ODDS, MOST_ENTRIES = 8, 2.5, 5000
+#: Words and beginnings whose counts a task holds at once.
+HELD_COUNTS = 50_000
 
 SEED_INSULTS = "idiot idiots moron morons stupid pathetic worthless disgusting loser losers scum trash clown dumb".split()
 THREATS = "kill hurt destroy beat burn shoot stab hang punish umbringen töten tuer matar".split()
@@ -164,24 +166,28 @@ def held_out(name: str = "doc_id"):
 def _word_counts(sample: DataFrame) -> DataFrame:
     """(stem bytes, word or beginning, toxic and clean documents that hold it) over the sample."""
 
+    def rows(counts: dict[tuple[int, bytes], list[int]]) -> pa.RecordBatch:
+        keys = list(counts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array([counts[k][0] for k in keys], pa.int64()), pa.array([counts[k][1] for k in keys], pa.int64())],
+            names=["size", "stem", "bad", "good"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, bytes], list[int]] = {}
         for batch in batches:
             buf, offs = flat(batch.column(0))
-            low = LOWER[buf].tobytes()
             toxic = batch.column(1).to_numpy()
-            counts: dict[tuple[int, bytes], list[int]] = {}
             for r in range(len(offs) - 1):
-                part = low[offs[r] : offs[r + 1]]
-                o = np.array([0, len(part)])
-                starts, ends, _, _ = words(np.frombuffer(part, np.uint8), o, ALNUM)
+                part = LOWER[buf[offs[r] : offs[r + 1]]].tobytes()
+                starts, ends, _, _ = words(np.frombuffer(part, np.uint8), np.array([0, len(part)]), ALNUM)
                 own = {part[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
                 for key in {(s, w[:s]) for w in own for s in STEMS if s and len(w) >= s} | {(0, w) for w in own}:
                     counts.setdefault(key, [0, 0])[0 if toxic[r] else 1] += 1
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array([counts[k][0] for k in keys], pa.int64()), pa.array([counts[k][1] for k in keys], pa.int64())],
-                names=["size", "stem", "bad", "good"],
-            )
+                if len(counts) > HELD_COUNTS:  # the partial counts meet in the grouping
+                    yield rows(counts)
+                    counts = {}
+        yield rows(counts)
 
     return sample.select("text", F.col("toxic").cast("int")).mapInArrow(run, "size int, stem binary, bad long, good long").groupBy("size", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 

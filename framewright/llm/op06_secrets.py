@@ -2,15 +2,17 @@
 
 Native: only DataFrame and SQL functions and the JVM's random forest.
 
-Candidates are the white-space tokens that hold a run of at least ``LEAST``
-characters of ``[A-Za-z0-9+/_-]`` with a digit, after an optional ``name=`` or
-``name:`` in the token, and key block headers.  Features of a candidate: its
-length; shares of digits, upper and lower case and hex digits; the share of
+Candidates are all runs of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]``
+in the white-space tokens of which one such run holds a digit, except those that
+only name what follows, and key blocks from BEGIN to END (lines of a block are
+candidates of their own too).  The name of a run is the ``name=`` or ``name:``
+before it in the token.  Features of a candidate: its length; shares of digits, upper and lower case and hex digits; the share of
 places where the character class changes; the share of different characters;
 the share covered by words of a small dictionary; path marks (slashes, dots, a
-scheme) in the token; and its neighbours: whether the name in the token or one
-of the three words before speaks of credentials, or of anything that usually
-carries harmless numbers.
+scheme) in its field of the token; and its neighbours: whether its name, a word
+between it and the run before, or, for the first run and where there is none, one
+of the three words before the token speaks of credentials, or of anything that
+usually carries harmless numbers.
 
 Labelled findings train the forest.  A caller may give them (columns of
 ``candidates`` plus ``label``); by default they are taken from the corpus by two
@@ -41,7 +43,15 @@ LEAST, SAMPLE, TREES, DEPTH, SEED = 16, 5000, 20, 6, 7
 RUN = r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % LEAST
 CANDIDATE = r"(?:^|[^A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{%d}" % LEAST
 LONG_RUN = r"[A-Za-z0-9+/_\-]{%d}" % LEAST
-BLOCK = "-----BEGIN [A-Z ]*PRIVATE KEY"
+#: Runs joined by dots, as in signed web tokens: one field, every long run of it a candidate.
+DOTTED = RUN + r"(?:\.[A-Za-z0-9+/_\-]++={0,2})*+"
+NAME_ONLY = r"^[A-Za-z_.\-]+=?$"
+#: What separates the fields of a token; characters of the text before a run that may name it.
+BETWEEN, NEAR = r"\"'`,;&|{}()<>\[\]?#=", 200
+SPACE = r"[ \t\n\x0B\f\r]+"
+HEADER = "-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?(?:-----)?"
+#: A key block to its end; without an end, the header and the lines of long runs behind it.
+BLOCK = HEADER + r"(?:[^\-]*+(?:-(?!----(?:BEGIN|END))[^\-]*+)*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?(?:-----)?|(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{%d,}+)*+)" % LEAST
 #: Issued key formats (fixed values).
 FORMATS = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|xox[abp]-[A-Za-z0-9\-]{20,}|AIza[A-Za-z0-9_\-]{35})$"
 CREDENTIAL = r"(?i)passw|passwd|pwd|secret|token|api[_\-]?key|apikey|access[_\-]?key|auth|credential|bearer|private"
@@ -52,23 +62,47 @@ FEATURES = ("length", "digits", "upper", "lower", "hex", "changes", "different",
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Every candidate: key (MD5 of the text), doc_id, token_no, name, value, before, token."""
+    """Every candidate: key (MD5 of the text), doc_id, token_no, name, value, before (neighbour words), token (its field)."""
     text = text_col()
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     # cheap tests first: a digit and a long run somewhere in the text, or a block header
     held = held.where(F.col("text").rlike("[0-9]") & F.col("text").rlike(LONG_RUN) | F.col("text").contains("-----BEGIN"))
-    words = F.split("text", r"[ \t\n\x0B\f\r]+")
-    numbered = held.select("doc_id", F.unhex(F.md5("text")).alias("key"), words.alias("w"))
-    found = F.filter(
-        F.transform("w", lambda t, i: F.struct(i.alias("token_no"), t.alias("token"))),
-        lambda x: (F.length(x.token) >= LEAST) & x.token.rlike(CANDIDATE) | (x.token == F.lit("-----BEGIN")),
-    )
-    before = F.expr("slice(w, greatest(c.token_no - 2, 1), least(c.token_no, 3))")
-    name = F.regexp_extract("c.token", r"^[\"'(\[{<]*([A-Za-z_.\-]+)\"?'?[=:]", 1)
-    rest = F.expr("CASE WHEN name = '' THEN token ELSE substring(token, instr(token, name) + length(name) + 1) END")
-    out = numbered.select("doc_id", "key", "w", F.explode(found).alias("c")).select("doc_id", "key", F.col("c.token_no").cast("long").alias("token_no"), F.col("c.token").alias("token"), name.alias("name"), F.when(F.col("c.token_no") > 0, before).otherwise(F.array().cast("array<string>")).alias("before"), F.expr("array_join(slice(w, c.token_no + 1, 4), ' ')").alias("block"))
-    value = F.when(F.col("token") == "-----BEGIN", F.when(F.col("block").rlike("^" + BLOCK), F.regexp_extract("block", BLOCK, 0)).otherwise("")).otherwise(F.regexp_extract("rest", RUN, 0))
-    return out.withColumn("rest", rest).withColumn("value", value).where(F.length("value") >= LEAST).drop("rest", "block")
+    none = F.array().cast("array<string>")
+    headed = F.col("text").contains("-----BEGIN")
+    numbered = held.select(
+        "doc_id", F.unhex(F.md5("text")).alias("key"), F.split("text", SPACE).alias("w"),
+        F.when(headed, F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0))).otherwise(none).alias("b"),
+        F.when(headed, F.split("text", BLOCK, -1)).otherwise(none).alias("g"),
+    )
+    tokens = F.filter(F.transform("w", lambda t, i: F.struct(i.cast("int").alias("token_no"), t.alias("token"))), lambda x: (F.length(x.token) >= LEAST) & x.token.rlike(CANDIDATE))
+    # a block starts in the token after as many gaps of white space as the text before it holds
+    gaps = numbered.withColumn("sg", F.transform("g", lambda t: F.regexp_count(t, F.lit(SPACE)))).withColumn("sb", F.transform("b", lambda t: F.regexp_count(t, F.lit(SPACE))))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda x, y: x + y)
+    blocks = F.transform("b", lambda t, k: F.struct((total(F.slice("sg", 1, k + 1)) + total(F.slice("sb", 1, k))).alias("token_no"), F.lit("-----BEGIN").alias("token"), t.alias("block")))
+    both = F.concat(F.transform(tokens, lambda x: F.struct(x.token_no, x.token, F.lit(None).cast("string").alias("block"))), blocks)
+    words_before = lambda n: F.when(n > 0, F.slice("w", F.greatest(n - 2, F.lit(1)), F.least(n, F.lit(3)))).otherwise(none)
+    found = F.transform(both, lambda x: F.struct(x.token_no.cast("long").alias("token_no"), x.token.alias("token"), x.block.alias("block"), words_before(x.token_no).alias("before")))
+    out = gaps.select("doc_id", "key", F.explode(found).alias("c")).select("doc_id", "key", "c.*")
+
+    # every dotted part of a token, with the text before and behind it
+    out = out.withColumn("parts", F.when(F.col("block").isNull(), F.regexp_extract_all("token", F.lit(DOTTED), F.lit(0))).otherwise(F.array("block"))).withColumn("gaps", F.when(F.col("block").isNull(), F.split("token", DOTTED, -1)).otherwise(F.array(F.lit(""), F.lit(""))))
+    part = F.transform("parts", lambda p, i: F.struct(i.alias("i"), p.alias("part"), F.coalesce(F.get("parts", i - 1), F.lit("")).alias("prev"), F.get("gaps", i).alias("gap"), F.get("gaps", i + 1).alias("after"), F.coalesce(F.get("parts", i + 1), F.lit("")).alias("next")))
+    first = F.regexp_extract("token", r"^[\"'(\[{<]*([A-Za-z_.\-]+)\"?'?[=:]", 1)
+    header = F.regexp_extract("block", HEADER, 0)
+    out = out.select("doc_id", "key", "token_no", "before", F.when(F.col("block").isNull(), first).otherwise(header).alias("first"), F.col("block").isNotNull().alias("is_block"), F.explode(part).alias("p")).select("*", "p.*").drop("p")
+    names_next = F.col("part").rlike(NAME_ONLY) & (F.col("after").rlike(r"^[\"'\\]*[=:]") | F.col("part").endswith("=") & F.concat("after", "next").rlike(r"^[\"'\\(\[{<]*[A-Za-z0-9+/_.$%@!~\-]"))
+    out = out.where(F.col("is_block") | ~names_next)
+    pre = F.right(F.concat("prev", "gap"), F.lit(NEAR))
+    pre = F.when(F.col("part").startswith("//"), F.regexp_replace(pre, r"[A-Za-z0-9+.\-]+:$", "")).otherwise(pre)  # a scheme is no name
+    own = F.regexp_extract(pre, r"([A-Za-z_.\-]+)[\"'\\]*[=:]+[\"'\\(\[{<]*$", 1)
+    name = F.when(F.col("is_block") | (own == "") & (F.col("i") == 0), F.col("first")).otherwise(own)
+    said = F.filter(F.split(F.right(F.concat(F.when(F.col("prev").rlike(NAME_ONLY), F.col("prev")).otherwise(""), "gap"), F.lit(NEAR)), r"[^A-Za-z0-9_\-]+"), lambda w: w != "")
+    said = F.reverse(F.slice(F.reverse(said), 1, 3))
+    before = F.when(F.col("i") == 0, F.concat("before", said)).when(F.size(said) > 0, said).otherwise(F.col("before"))
+    field = F.concat(F.regexp_replace("gap", f"(?s)^.*[{BETWEEN}]", ""), "part", F.regexp_extract("after", f"^[^{BETWEEN}]*", 0))
+    runs = F.when(F.col("is_block"), F.array("part")).otherwise(F.regexp_extract_all("part", F.lit(RUN), F.lit(0)))
+    token = F.when(F.col("is_block"), F.lit("-----BEGIN")).otherwise(field)
+    return out.select("doc_id", "key", "token_no", token.alias("token"), name.alias("name"), before.alias("before"), F.explode(runs).alias("value"))
 
 
 def features(found: DataFrame) -> DataFrame:

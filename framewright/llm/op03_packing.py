@@ -11,8 +11,10 @@ lengths from the longest: a piece no other fits with is alone; a piece with an
 exact complement is fixed with it; a piece whose residual holds no two of the
 shortest remaining pieces is fixed with the longest single piece that fits,
 which dominates every other choice; and a piece whose residual holds at most two
-is fixed with two pieces that fill it exactly.  What no rule fixes is packed
-best-fit, longest first, whole runs of equal pieces at a time.  The plan is a list of
+is fixed with the longest piece that fits and the longest that fits beside it, if
+no pair that fits has a longer second piece (the two then dominate every choice).
+What no rule fixes stays open to later pieces' rules and is packed best-fit in the
+end, longest first, whole runs of equal pieces at a time.  The plan is a list of
 (length, first rank, count, first sequence, offset), bounded by the capacity too.
 
 Stage 3 (tasks): a piece's rank within its length (the task's offset from a sum
@@ -27,7 +29,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -204,54 +206,73 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[int, in
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     dealt = dict.fromkeys(left, 0)
-    lengths = sorted(left)
+    lengths = sorted(left)  # of all pieces that no rule has fixed
+    open_ = len(lengths)  # the first of them are still to be looked at, the longer ones are for best fit
     plan: list[tuple[int, int, int, int, int]] = []
     sequences = 0
 
-    def take(n: int, count: int, sequence: int, offset: int) -> None:
-        plan.append((n, dealt[n], count, sequence, offset))
-        dealt[n] += count
-        left[n] -= count
-        if not left[n]:
-            lengths.pop(bisect_left(lengths, n))
-
-    def fix(members: list[int], count: int) -> None:
-        nonlocal sequences
+    def fix(members: list[int]) -> None:
+        """As many sequences of these lengths as there are pieces for."""
+        nonlocal sequences, open_
+        count = min(left[m] // members.count(m) for m in members)
         offset = 0
         for m in members:
-            take(m, count, sequences, offset)
+            plan.append((m, dealt[m], count, sequences, offset))
+            dealt[m] += count
+            left[m] -= count
             offset += m
         sequences += count
+        for m in set(members):
+            if not left[m]:
+                at = bisect_left(lengths, m)
+                lengths.pop(at)
+                open_ -= at < open_
+
+    def longest(limit: int, used: list[int]) -> int:
+        """The longest piece of at most this length beside those used, 0 if there is none."""
+        at = bisect_right(lengths, limit) - 1
+        while at >= 0 and left[lengths[at]] <= used.count(lengths[at]):
+            at -= 1
+        return lengths[at] if at >= 0 else 0
+
+    def shortest(count: int, big: int) -> list[int]:
+        """The shortest pieces beside one of length ``big``."""
+        out: list[int] = []
+        for n in lengths[: count + 1]:
+            out += [n] * min(count, left[n] - (n == big))
+        return out[:count]
+
+    def second_of_pairs(room: int, big: int) -> int:
+        """The longest piece that fits together with another one at least as long."""
+        y = longest(room // 2, [big])
+        if not y or left[y] - (y == big) >= 2:
+            return y
+        above = bisect_right(lengths, y)
+        if above < len(lengths) and lengths[above] == big and left[big] == 1:
+            above += 1
+        if above < len(lengths) and lengths[above] <= room - y:
+            return y
+        return longest(y - 1, [big])  # beside y itself
 
     # Reduction: fix every set that provably dominates all other sets with its largest piece.
-    free: list[tuple[int, int]] = []  # (length, count) for best fit
-    while lengths:
-        big = lengths[-1]
-        room, small = capacity - big, lengths[0]
-        if small > room or len(lengths) == 1 and left[big] == 1:
-            fix([big], left[big] if small > room else 1)
-            continue
-        if room in left and left[room] and room != big:
-            fix([big, room], min(left[big], left[room]))
-            continue
-        if room == big and left[big] >= 2:
-            fix([big, big], left[big] // 2)
-            continue
-        second = small if left[small] - (small == big) >= 2 else (lengths[1] if len(lengths) > 1 else big)
-        if small + second > room:  # at most one more piece: the longest that fits dominates
-            mate = lengths[bisect_left(lengths, room + 1) - 1]
-            if mate == big:
-                fix([big, big], left[big] // 2) if left[big] >= 2 else fix([big], 1)
-            else:
-                # until the pieces that justify it run out
-                fix([big, mate], min(left[big], left[mate]))
-            continue
-        free.append((big, left[big]))
-        count = left.pop(big)
-        lengths.pop()
-        left[big] = 0
-        dealt.setdefault(big, 0)
-        del count
+    while open_:
+        big = lengths[open_ - 1]
+        room, small = capacity - big, shortest(3, big)
+        if not small or small[0] > room:
+            fix([big])
+        elif left.get(room, 0) > (room == big):
+            fix([big, room])
+        elif len(small) < 2 or small[0] + small[1] > room:  # at most one more piece: the longest that fits dominates
+            fix([big, longest(room, [big])])
+        else:
+            if len(small) < 3 or sum(small) > room:  # at most two more
+                a = longest(room, [big])
+                b = longest(room - a, [big, a])
+                if b and second_of_pairs(room, big) <= b:
+                    fix([big, a, b])
+                    continue
+            open_ -= 1
+    free = [(n, left[n]) for n in reversed(lengths)]
     # Best fit, longest first, for what no rule has fixed; open sequences by residual.
     bins: dict[int, list[tuple[int, int]]] = {}  # residual -> [(first sequence, count)]
     order: list[int] = []

@@ -168,6 +168,64 @@ def test_plan_covers_every_piece_and_is_near_the_bound():
         assert len(seqs) <= 1.25 * sum(n * c for n, c in h.items()) / cap + 2 or all(n > cap // 3 for n in h)
 
 
+def best_count(pieces, cap):
+    """The least number of sequences, by search."""
+    pieces, best = sorted(pieces, reverse=True), len(pieces)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= pieces[i]:
+                rest = list(rooms)
+                rest.remove(r)
+                go(i + 1, [*rest, r - pieces[i]])
+        go(i + 1, [*rooms, cap - pieces[i]])
+
+    go(0, [])
+    return best
+
+
+def sequences_of(h, cap):
+    filled = Counter()
+    dealt = Counter()
+    for n, _, count, seq, _ in op3.plan_packing(dict(h), cap):
+        dealt[n] += count
+        filled.update({seq + k: n for k in range(count)})
+    assert dealt == Counter(h) and all(x <= cap for x in filled.values()) and set(filled) == set(range(len(filled)))
+    return len(filled)
+
+
+def test_plan_opens_no_sequence_that_nothing_forces():
+    assert sequences_of({1400: 1, 1600: 1, 1800: 1, 2000: 1}, 4096) == 2
+    assert sequences_of({100: 1, 200: 1, 300: 1}, 4096) == 1
+    assert sequences_of({n: 3 for n in range(1366, 2049)}, 4096) == -(-3 * 683 // 2)
+    assert sequences_of({60: 1, 25: 1, 15: 1, 20: 1, 40: 1}, 100) == 2
+    rnd = random.Random(7)
+    for _ in range(300):  # more than a third each: pairs, which the rules alone pack best
+        cap = rnd.choice([12, 30, 100])
+        h = Counter(rnd.randint(cap // 3 + 1, cap) for _ in range(rnd.randint(1, 40)))
+        sizes, pairs, low = sorted(h.elements()), 0, 0
+        for high in range(len(sizes) - 1, -1, -1):
+            if low < high and sizes[low] + sizes[high] <= cap:
+                low, pairs = low + 1, pairs + 1
+            elif low >= high:
+                break
+        assert sequences_of(h, cap) == len(sizes) - pairs
+    over = 0
+    for _ in range(300):
+        cap = rnd.choice([12, 30, 100])
+        h = Counter(rnd.randint(1, cap) for _ in range(rnd.randint(1, 9)))
+        more = sequences_of(h, cap) - best_count(list(h.elements()), cap)
+        assert 0 <= more <= 1
+        over += more
+    assert over <= 6
+
+
 def test_exact_topk(spark):
     def vec():
         return [RND.gauss(0, 1) for _ in range(5)]

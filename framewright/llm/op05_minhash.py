@@ -7,13 +7,16 @@ further work is on one text a class.
 1. Sketch: the ``KEEP`` smallest hashes of the set.
 2. Inverted lists of the retained values, over all classes.  A class publishes
    its values from the rarest list on.  Two sets of similarity 0.8 share at
-   least ``SHARED`` of ``KEEP`` retained values (chance of fewer: about 1e-6; for
-   sketches that hold the whole set the bound is exact), so sharing one of the
-   first ``KEEP - SHARED + 1`` published values is necessary.  Values of a passage
+   least ``SHARED`` of ``KEEP`` retained values (for sketches that hold the whole
+   set the bound is exact), so sharing one of the first
+   ``KEEP - SHARED + 1`` published values is necessary.  Values of a passage
    that very many documents share come last and are seldom published.
 3. Lists of up to ``LIST_ROWS`` members generate pairs; the similarity estimated
-   from the bottom-k sketch of the union must reach ``ESTIMATE``.  Longer lists,
-   which only near copies of one text form, link every member with the smallest.
+   from the bottom-k sketch of the union must reach ``SHARED / KEEP``, too.  Longer
+   lists, which only near copies of one text form, link every member with the
+   smallest.  Values of the union's sketch in both sets are in both sketches, so
+   one chance covers both bounds: at similarity 0.8, 27 or fewer of 64 have a
+   chance of 3.4e-11 a pair (binomial).
 4. Connected candidates are brought together by their texts.  Buckets of bounded
    size search all links among their members on full sets, by exact Jaccard.
    Candidates beyond ``GROUP_SHINGLES`` are cut in blocks; every pair of blocks
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import _P2, LOWER, NONSPACE, Rolling, expand, flat, mix, pieces, small_side, table, text_col, words, written
 
 SHINGLE, NUM, DEN = 4, 80, 100
-KEEP, SHARED, LIST_ROWS, ESTIMATE = 64, 36, 48, 0.6
+KEEP, SHARED, LIST_ROWS = 64, 28, 48
 BUCKET_SHINGLES, GROUP_SHINGLES = 400_000, 1_500_000
 
 
@@ -179,7 +182,7 @@ def near_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: i
     pairs = pairs.join(held.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(held.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, KEEP)
     in_both = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    likely = pairs.where(in_both >= ESTIMATE * F.size(union)).select("a", "b")
+    likely = pairs.where(in_both * KEEP >= F.size(union) * SHARED).select("a", "b")
     groups = written(connected(likely.unionByName(long_lists)), "groups")
 
     size_of = classes.select(F.col("key").alias("node"), "n")

@@ -273,6 +273,31 @@ def test_near_duplicates_against_all_pairs(spark, hostile, empty):
     assert op5.near_components(empty).count() == 0
 
 
+def test_near_duplicates_with_unlucky_sketches(spark):
+    # the changed words are those of the smallest hashes: Jaccard stays over 0.8, the sketches share far less
+    rnd = random.Random(2)
+    base = ["w%d" % rnd.randrange(10**9) for _ in range(803)]
+
+    def hashes(ws):
+        b = " ".join(ws).encode()
+        return op5.shingle_sets(np.frombuffer(b, np.uint8), np.array([0, len(b)]), 4)[1].tolist()
+
+    def of_shingle(k):
+        return hashes(base[k : k + 4])[0]
+
+    order = sorted(range(800), key=of_shingle)
+    other, shared = list(base), op5.KEEP
+    for k in order:
+        if shared <= 34:
+            break
+        other[k] = "x%d" % k
+        a, b = set(hashes(base)), set(hashes(other))
+        shared = sum(v in a and v in b for v in sorted(a | b)[: op5.KEEP])
+    assert 30 <= shared <= 34 and len(a & b) >= 0.8 * len(a | b)
+    got = {r.doc_id: r.component_id for r in op5.near_components(table(spark, [(1, " ".join(base)), (2, " ".join(other)), (3, passage(50))])).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_secrets(spark, hostile, empty):
     rnd = random.Random(3)
     hexed = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))

@@ -111,3 +111,15 @@ def test_empty_table(spark):
     df = frames(spark, [])
     for out in (windows.count_windows(df, 3, 1), windows.time_windows(df, 3, 1), windows.contiguous_intervals(df), stats.attack_free_gaps(df)):
         assert out.count() == 0
+
+
+def test_kernel_model_in_blocks(spark, monkeypatch):
+    pts = spark.createDataFrame([(i % 7, float(i * i % 11)) for i in range(60)], "can_id int, hz double")
+    scale = detect.fit_minmax(pts)
+
+    def scores():
+        return sorted((r.can_id, r.hz, r.gamma, round(r.score, 9)) for r in detect.kernel_scores(pts, detect.kernel_model(pts, scale), scale, [1.0, 10.0]).collect())
+
+    whole = scores()
+    monkeypatch.setattr(detect, "MODEL_ROWS", 12)
+    assert len(whole) == 120 and scores() == whole

@@ -166,6 +166,8 @@ def shared_dir(spark: SparkSession, what: str) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -188,6 +190,22 @@ def small_side(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+#: Keys of one table that may each stand for over this share of its rows; so many rows may be broadcast.
+HOT_KEYS = 20_000
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, total: int, how: str) -> DataFrame:
+    """An inner or left semi join of rows with one row a key, in which no key brings many rows to one task.
+
+    ``weight`` counts a key's rows, ``total`` all of them: at most ``HOT_KEYS`` keys can hold over
+    ``total / HOT_KEYS`` rows each.  These keys are broadcast; only the others are joined by a shuffle.
+    """
+    limit = max(1000, total // HOT_KEYS)
+    hot = F.broadcast(keyed.where(F.col(weight) > limit).drop(weight))
+    rest = keyed.where(F.col(weight) <= limit).drop(weight)
+    return rows.join(hot, on, how).unionByName(rows.join(hot, on, "left_anti").join(rest, on, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

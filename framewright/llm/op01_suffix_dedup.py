@@ -22,11 +22,15 @@ within a run the neighbour's match shrinks by just one byte; the larger of the
 two sides is the longest match anywhere else in the bucket.  Windows are marked
 where it reaches ``size``.
 
-Hot anchors, whose different segments exceed ``GROUP_BYTES``, are not held in a
-task: their windows are counted one by one by 128-bit content hashes.
+Hot anchors, whose different segments exceed ``GROUP_BYTES``, are dealt again by
+another hash of the slices, segment by segment, up to ``LEVELS`` times, and then
+indexed like the others.  Only anchors that no hash can part (one slice in very
+many different windows) are counted window by window, by 128-bit content hashes.
 
 Defined cases: null text is empty; texts shorter than ``size`` keep all bytes;
-repeated rows are copies of each other; other columns are ignored.
+texts beyond ``PIECE_BYTES`` are dealt in parts that overlap by ``size - 1``;
+repeated rows are copies of each other; equal hashes of slices go to the leftmost;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +40,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _P1, _P2, PIECE_BYTES, Rolling, expand, flat, pieces, table, text_col, written
+from .common import _P1, _P2, PIECE_BYTES, Rolling, expand, flat, mix, pieces, spread_join, table, text_col, written
 
 SIZE, GRAM = 400, 64
-BUCKET_BYTES, GROUP_BYTES = 256 << 10, 4 << 20
+BUCKET_BYTES, GROUP_BYTES, LEVELS = 256 << 10, 4 << 20, 4
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -58,13 +62,15 @@ def _cuts(buf: np.ndarray, offs: np.ndarray, size: int):
                 yield part, np.array([0, len(part)]), i, p
 
 
-def segments(buf: np.ndarray, offs: np.ndarray, size: int, gram: int):
-    """Windows by anchor: row, first window, number of windows, anchor hash, two content hashes."""
+def segments(buf: np.ndarray, offs: np.ndarray, size: int, gram: int, level: int = 0):
+    """Windows by anchor: row, first window, number of windows, anchor hash, two content hashes; each level has its own order of slices."""
     none = np.zeros(0, np.int64)
     if len(buf) < size:
         return none, none, none, none, none, none
     first, second = Rolling(buf, _P1), Rolling(buf, _P2)
     gh = first.every(gram)
+    if level:
+        gh = mix(gh + np.uint64(level))
     low = (gh & ~_LOW) | np.arange(len(gh), dtype=np.uint64)
     w, m = size - gram + 1, 1
     while 2 * m <= w:
@@ -185,6 +191,8 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 SEGMENTS = "h long, c1 long, c2 long, key binary, s long, n long, copied boolean"
+CUT = "h long, key binary, s long, n long, settled boolean, bytes binary, hot boolean"
+FINER = "h long, c1 long, c2 long, key binary, s long, n long, settled boolean, bytes binary"
 MARKS = "key binary, a long, b long"
 
 
@@ -212,10 +220,31 @@ def _cut_out(size: int):
             for r, want in enumerate(batch.column(2).to_pylist()):
                 data = buf[offs[r] : offs[r + 1]].tobytes()
                 key = batch.column(0)[r].as_py()
-                rows = [(w["h"], key, w["s"], w["n"], w["settled"], data[w["s"] : w["s"] + w["n"] - 1 + size]) for w in want]
+                rows = [(w["h"], key, w["s"], w["n"], w["settled"], data[w["s"] : w["s"] + w["n"] - 1 + size], w["hot"]) for w in want]
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "key", "s", "n", "settled", "bytes"])
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "key", "s", "n", "settled", "bytes", "hot"])
+
+    return run
+
+
+def _split_again(size: int, gram: int, level: int):
+    """Segments of hot anchors, cut by the anchors of another level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = flat(batch.column(3))
+            for i, j in pieces(offs):
+                part, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                row, s, n, h, c1, c2 = segments(part, o, size, gram, level)
+                data = part.tobytes()
+                own = [data[a : a + k - 1 + size] for a, k in zip(s.tolist(), n.tolist(), strict=True)]
+                at = pa.array(row + i)
+                start = batch.column(1).to_numpy()[row + i] + s - o[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(c1), pa.array(c2), batch.column(0).take(at), pa.array(start), pa.array(n), batch.column(2).take(at), pa.array(own, pa.binary())],
+                    names=["h", "c1", "c2", "key", "s", "n", "settled", "bytes"],
+                )
 
     return run
 
@@ -255,7 +284,7 @@ def _single_windows(size: int):
                 row = pa.array(group + i)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(Rolling(part, _P1).of(at, at + size).view(np.int64)), pa.array(Rolling(part, _P2).of(at, at + size).view(np.int64)), batch.column(0).take(row), pa.array(s[i:j][group] + nth), batch.column(1).take(row)],
-                    names=["w1", "w2", "key", "a", "settled"],
+                    names=["c1", "c2", "key", "s", "settled"],
                 )
 
     return run
@@ -298,33 +327,57 @@ def _remove(size: int):
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and whether anything was removed (repeats)."""
     gram = min(gram, size)
     key = F.unhex(F.md5("text"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"))
     texts = source.groupBy(key.alias("key")).agg(F.first("text").alias("text"), (F.count("*") > 1).alias("copied"))
     seg = written(texts.where(F.octet_length("text") >= size).mapInArrow(_all_segments(size, gram), SEGMENTS), "segments")
+    total = seg.count()
+    kinds = seg.groupBy("h", "c1", "c2").agg((F.max("copied") | (F.count("*") > 1)).alias("settled"), F.count("*").alias("m"), F.min(F.struct("key", "s", "n")).alias("at"))
+    parts = [_repeated(seg.where(~F.col("copied")), kinds, total)]
+    want = _different(kinds, F.col("at.n") + size - 1, group_bytes, total).select("h", "at.*", "settled", "hot")
+    per_text = want.groupBy("key").agg(F.collect_list(F.struct("h", "s", "n", "settled", "hot")).alias("want"))
+    cut = written(texts.join(per_text, "key").select("key", "text", "want").mapInArrow(_cut_out(size), CUT), "kinds")
+
+    for level in range(1, LEVELS + 1):
+        held = cut.groupBy("hot").agg(F.count("*").alias("n"), F.sum(F.octet_length("bytes")).alias("b")).collect()  # two rows
+        held = {r.hot: r for r in held}
+        if False in held:
+            buckets = max(1, -(-held[False].b // bucket_bytes))
+            parts.append(cut.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(_index_bucket(size), MARKS))
+        if True not in held:
+            break
+        hot = cut.where("hot")
+        if level == LEVELS:
+            single = written(hot.select("key", "settled", "s", "n", "bytes").mapInArrow(_single_windows(size), "c1 long, c2 long, key binary, s long, settled boolean"), "windows")
+            often = single.groupBy("c1", "c2").agg((F.max("settled") | (F.count("*") > 1)).alias("settled"), F.count("*").alias("m"))
+            parts.append(_repeated(single.where("not settled").withColumn("n", F.lit(1)), often, single.count(), ["c1", "c2"]))
+            break
+        finer = written(hot.select("key", "s", "settled", "bytes").mapInArrow(_split_again(size, gram, level), FINER), "segments")
+        total = finer.count()
+        kinds = finer.groupBy("h", "c1", "c2").agg((F.max("settled") | (F.count("*") > 1)).alias("settled"), F.count("*").alias("m"), F.min(F.struct("key", "s", "n", "bytes")).alias("at"))
+        parts.append(_repeated(finer.where("not settled"), kinds, total))
+        cut = written(_different(kinds, F.octet_length("at.bytes"), group_bytes, total).select("h", "at.*", "settled", "hot"), "kinds")
+
+    marks = parts[0]
+    for part in parts[1:]:
+        marks = marks.unionByName(part)
+    spans = marks.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    kept = texts.join(spans, "key", "left").select("key", "text", "copied", "marks").mapInArrow(_remove(size), OUT)
+    return source.select("doc_id", key.alias("key")).join(kept, "key").drop("key").withColumn("repeats", F.col("n_removed") > 0)
 
-    kinds = seg.groupBy("h", "c1", "c2").agg((F.max("copied") | (F.count("*") > 1)).alias("settled"), F.min(F.struct("key", "s", "n")).alias("at"))
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.col("at.n") + size - 1).alias("held")).where(F.col("kinds") > 1)
-    repeated = seg.where(~F.col("copied")).join(kinds.where("settled").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi")
-    marks = repeated.select("key", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
 
-    want = kinds.join(groups, "h").select("h", "at.*", "settled", (F.col("held") > group_bytes).alias("hot"))
-    per_text = want.groupBy("key").agg(F.collect_list(F.struct("h", "s", "n", "settled", "hot")).alias("want"))
-    cut = texts.join(per_text, "key").select("key", "text", "want").mapInArrow(_cut_out(size), "h long, key binary, s long, n long, settled boolean, bytes binary")
-    cut = written(cut.join(groups.select("h", (F.col("held") > group_bytes).alias("hot")), "h"), "kinds")
-    total = cut.where("not hot").agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).alias("b")).first().b
-    buckets = max(1, -(-total // bucket_bytes))
-    indexed = cut.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(_index_bucket(size), MARKS)
+def _repeated(places: DataFrame, kinds: DataFrame, total: int, on: list[str] | None = None) -> DataFrame:
+    """Marks of the places whose kind is settled."""
+    on = on or ["h", "c1", "c2"]
+    return spread_join(places, kinds.where("settled").select(*on, "m"), on, "m", total, "left_semi").select("key", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
 
-    single = cut.where("hot").select("key", "settled", "s", "n", "bytes").mapInArrow(_single_windows(size), "w1 long, w2 long, key binary, a long, settled boolean")
-    often = single.groupBy("w1", "w2").agg((F.max("settled") | (F.count("*") > 1)).alias("again")).where("again").select("w1", "w2")
-    singles = single.where(~F.col("settled")).join(often, ["w1", "w2"], "left_semi").select("key", "a", (F.col("a") + 1).alias("b"))
 
-    spans = marks.unionByName(indexed).unionByName(singles).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    kept = texts.join(spans, "key", "left").select("key", "text", "copied", "marks").mapInArrow(_remove(size), OUT)
-    return source.select("doc_id", key.alias("key")).join(kept, "key").drop("key")
+def _different(kinds: DataFrame, size_of: Column, group_bytes: int, total: int) -> DataFrame:
+    """The kinds of anchors that have more than one, and whether these are too large for one task."""
+    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(size_of).alias("held")).where(F.col("kinds") > 1)
+    return spread_join(kinds, groups.select("h", "kinds", (F.col("held") > group_bytes).alias("hot")), ["h"], "kinds", total, "inner")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +400,8 @@ parts AS (
   FROM keep JOIN d USING (r) GROUP BY r
 )
 SELECT doc_id, CAST(len(x)//2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE head || x[2*last_b+1:] END)) AS kept_sha256
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE head || x[2*last_b+1:] END)) AS kept_sha256,
+       coalesce(n_removed, 0) > 0 AS repeats
 FROM d LEFT JOIN parts USING (r)
 """
 }

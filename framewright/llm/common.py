@@ -12,7 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once (single longer texts come alone).
@@ -32,9 +32,9 @@ NONSPACE = np.ones(256, dtype=bool)
 NONSPACE[32] = NONSPACE[9:14] = False
 
 
-def text_col(name: str = "text"):
+def text_col(name: str | Column = "text") -> Column:
     """The text as a non-null string column."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce((F.col(name) if isinstance(name, str) else name).cast("string"), F.lit(""))
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +181,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few short columns that a join may broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of their longest columns, that a join may broadcast; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
-def small_side(rows: DataFrame) -> DataFrame:
-    """A written table of keys, marked for broadcast if its row count is within the bound."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+def small_side(rows: DataFrame, size: Column | None = None) -> DataFrame:
+    """A written table of keys, marked for broadcast if its rows (and the bytes that ``size`` gives for each) are within the bounds."""
+    held = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0)).alias("b")).first()
+    return F.broadcast(rows) if held.n <= BROADCAST_ROWS and held.b <= BROADCAST_BYTES else rows
 
 
 #: Keys of one table that may each stand for over this share of its rows; so many rows may be broadcast.

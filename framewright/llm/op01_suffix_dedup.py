@@ -377,7 +377,8 @@ def _repeated(places: DataFrame, kinds: DataFrame, total: int, on: list[str] | N
 def _different(kinds: DataFrame, size_of: Column, group_bytes: int, total: int) -> DataFrame:
     """The kinds of anchors that have more than one, and whether these are too large for one task."""
     groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(size_of).alias("held")).where(F.col("kinds") > 1)
-    return spread_join(kinds, groups.select("h", "kinds", (F.col("held") > group_bytes).alias("hot")), ["h"], "kinds", total, "inner")
+    groups = written(groups.select("h", "kinds", (F.col("held") > group_bytes).alias("hot")), "groups")
+    return spread_join(kinds, groups, ["h"], "kinds", total, "inner")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

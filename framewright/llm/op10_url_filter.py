@@ -11,11 +11,14 @@ active rules whose path starts the url's path, the one with the longest
 ``host + path`` wins (then the longer host).
 
 Rules go to the tasks in blocks of at most ``RULE_BYTES``; with more rules the
-same sorted pages are swept once a block, keeping the better rule.
+same sorted pages are swept once a block, keeping the better rule by the same
+order, so block sizes change nothing.
 
 Defined cases: a null url or one without ``://`` has empty host and path and no
-rule; a rule without a host or null takes no part; repeated rules act once;
-repeated pages give repeated rows; other columns are ignored.
+rule; very long urls are judged whole; a rule without a host or null takes no
+part; repeated rules act once, and of equal rules with different verdicts the
+first verdict in the alphabet holds; repeated pages give repeated rows; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +80,7 @@ def _sweep(block: list[tuple[str, str, str, str]]):
         active: list[int] = []
         nxt, last = 0, None
         for batch in batches:
-            rule, verdict = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            rule, verdict, of_host = (batch.column(k).to_pylist() for k in (4, 5, 6))
             for n, (key, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 if key != last:
                     while nxt < len(keys) and keys[nxt] <= key:  # intervals that have begun
@@ -91,10 +94,10 @@ def _sweep(block: list[tuple[str, str, str, str]]):
                 for k in active:
                     if path.startswith(block[k][2]):
                         mine = block[k][1] + block[k][2]
-                        if rule[n] is None or len(mine) > len(rule[n]):
-                            rule[n], verdict[n] = mine, block[k][3]
+                        if rule[n] is None or (len(mine), len(block[k][1])) > (len(rule[n]), of_host[n]):
+                            rule[n], verdict[n], of_host[n] = mine, block[k][3], len(block[k][1])
                         break
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(of_host, pa.int32())], names=batch.schema.names)
 
     return run
 
@@ -102,7 +105,7 @@ def _sweep(block: list[tuple[str, str, str, str]]):
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow", rule_bytes: int = RULE_BYTES) -> DataFrame:
     """page_id, host, path, the winning rule (``host + path``) and the verdict; without a rule the default holds."""
     none = F.lit(None).cast("string")
-    rows = url_parts(pages).select("page_id", "key", "host", "path", none.alias("rule"), none.alias("verdict"))
+    rows = url_parts(pages).select("page_id", "key", "host", "path", none.alias("rule"), none.alias("verdict"), F.lit(None).cast("int").alias("of_host"))
     rows = rows.repartitionByRange("key", "path", "page_id").sortWithinPartitions("key", "path", "page_id")
     for block in _blocks(rules, rule_bytes):
         rows = rows.mapInArrow(_sweep(block), rows.schema)

@@ -231,16 +231,16 @@ def test_exact_topk(spark):
         return [RND.gauss(0, 1) for _ in range(5)]
 
     rows = [(i, vec()) for i in range(300)] + [(20, vec()), (40, None), (60, [1.0, None, 0.0, 0.0, 0.0]), (80, [float("nan")] * 5), (None, vec())]
-    rows += [(5, rows[5][1]), (40, rows[40][1])]
+    rows += [(5, rows[5][1]), (40, rows[40][1]), (1000, [1e30, 2.0, 0.0, 0.0, 0.0]), (1001, [1e30, -3.0, 0.0, 0.0, 0.0]), (1020, [-2e12, 1.5, 3.0, 0.1, 0.0]), (1040, [1.7e308, -1e300, 0.0, 0.0, 1.0]), (1060, []), (1061, []), (1080, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string").repartition(3)
-    good = [(i, [int(np.floor(64 * c)) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    good = [(i, [int(np.floor(np.nan_to_num(64 * np.float64(c)))) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     want = Counter()
     for n, (q, v) in enumerate(good):
         if q % 20 == 0:
-            ranked = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(good) if m != n)[:20]
+            ranked = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for m, (i, w) in enumerate(good) if m != n and len(w) == len(v))[:20]
             want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(ranked))
     for shard, block in ((10_000, 1000), (40, 3)):
-        assert Counter(tuple(r) for r in op4.exact_topk(df, shard_rows=shard, block_rows=block).collect()) == want
+        assert Counter(tuple(r) for r in op4.exact_topk(df, shard_rows=shard, query_rows=block).collect()) == want
     assert op4.exact_topk(df.limit(0)).count() == 0
 
 
@@ -375,8 +375,8 @@ def test_edited_counts_equal_encoding_again(spark, hostile, empty):
 
 def test_url_rules_against_all_rules(spark):
     hosts = ["a.com", "x.a.com", "y.x.a.com", "ba.com", "com", "A.Com", "q.net", "", "a.com:80", "org.a"]
-    urls = [None, "nothing", "http://", "x://?q"] + [f"h://{h}{p}" for h in hosts for p in ("", "/", "/en", "/en/1?u=://b/", "/fr/#x", "?/en/")]
-    rules = [("com", "/", "allow"), ("a.com", "/en", "block"), ("x.a.com", "", "block"), ("net", "/fr/", "block"), ("a.com", "/en", "block"), ("", "/", "block"), ("y.x.a.com", "/en/1", "allow")]
+    urls = [None, "nothing", "http://", "x://?q"] + [f"h://{h}{p}" for h in hosts for p in ("", "/", "/en", "/en/1?u=://b/", "/fr/#x", "?/en/")] + ["h://x.a.com/en/" + "long" * 50_000]
+    rules = [("com", "/", "allow"), ("a.com", "/en", "block"), ("x.a.com", "", "block"), ("net", "/fr/", "block"), ("a.com", "/en", "block"), ("", "/", "block"), ("y.x.a.com", "/en/1", "allow"), ("q.net", "/en", "block"), ("x.a.com", "/e", "allow"), ("a.com", "/en", "allow")]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls * 2)], "page_id long, url string, host string")
 
     def judge(u):
@@ -385,10 +385,10 @@ def test_url_rules_against_all_rules(spark):
         path = rest[len(host) :]
         path = next((path[:i] for i, c in enumerate(path) if c in "?#"), path)
         host = host.lower()
-        fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
-        return (host, path, *(max(fit)[2:] if fit else (None, "allow")))
+        fit = [(-len(h + p), -len(h), v, h + p) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *(min(fit)[:1:-1] if fit else (None, "allow")))
 
-    for size in (1 << 20, 80):
+    for size in (1 << 20, 200, 80, 1):
         got = op10.judge_urls(df, rules, rule_bytes=size).collect()
         assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == Counter((i, *judge(u)) for i, u in enumerate(urls * 2))
     assert op10.judge_urls(df.limit(0)).count() == 0

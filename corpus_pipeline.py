@@ -11,12 +11,17 @@ columns of documents.
 * decontamination: documents that hold a window of a benchmark item go.
 * secrets: values that the forest calls secrets are replaced in the texts.
 * packing: the remaining documents are packed in sequences of 4096 tokens.
+
+Defined cases: null and empty texts count as clean and stay; very long texts are
+judged whole, and cut only by packing; of repeated rows of a document one stays;
+extra columns pass through every stage but the last, whatever their names; an
+empty table gives an empty table in every stage.
 """
 
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import op03_packing, op05_minhash, op06_secrets, op07_toxicity, op08_decontaminate
@@ -32,16 +37,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(op05_minhash.near_components(docs, size=SHINGLE), "components")
     stays = F.col("kept") | F.col("component_id").isNull() | (F.col("n_shingles") == 0)
-    gone = found.where(~stays).select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
-    gone = small_side(written(gone, "gone"))
+    gone = small_side(written(found.where(~stays).select("doc_id", "key").distinct(), "gone"))
     again = found.where(stays & (F.col("n_shingles") > 0)).groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
-    again = small_side(written(again.select(F.col("doc_id").alias("_again_id"), F.col("key").alias("_again_key"), F.lit(True).alias("_again")), "again"))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(text_col()))).withColumn("_id", F.col("doc_id").cast("long"))
-    left = keyed.join(gone, keyed["_id"].eqNullSafe(gone["_gone_id"]) & (keyed["_key"] == gone["_gone_key"]), "left_anti")
+    again = small_side(written(again.select("doc_id", "key"), "again"))
+
+    def same(table_: DataFrame) -> Column:
+        """The rows of a table of ids and text keys that fit a document; no column is added, so none can clash."""
+        return docs["doc_id"].cast("long").eqNullSafe(table_["doc_id"]) & (F.unhex(F.md5(text_col(docs["text"]))) == table_["key"])
+
+    left = docs.join(gone, same(gone), "left_anti")
     # repeated rows of a document that stays: one of them does
-    marked = left.join(again, F.col("_id").eqNullSafe(F.col("_again_id")) & (F.col("_key") == F.col("_again_key")), "left")
-    once = marked.where("_again").dropDuplicates(["_id", "_key"])
-    return marked.where("_again IS NULL").unionByName(once).select(*docs.columns)
+    once = left.join(again, same(again), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.md5(text_col()).alias("key"))
+    once = once.groupBy("id", "key").agg(F.first("row").alias("row")).select("row.*")
+    return left.join(again, same(again), "left_anti").unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,33 +2,47 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z
 lower-cased.  An item's windows are its runs of ``size`` words (one shorter
-window for an item of fewer words).  A window occurs only where all its words
-stand, so its necessary prefix is one token: its rarest word by the number of
-occurrences in all documents.  Document words are joined with those prefix
-tokens; length and position bounds (the window must lie inside the document)
-drop pairs, a hash of the item-sized window filters, and the words are compared
-one by one.
+window for an item of fewer words).
+
+1. Windows: a table of the distinct windows of all items, with the hashes of
+   their words, and a table of the items that hold each.
+2. Order: a window's shingles are its pairs of neighbouring words (the word of a
+   window of one word).  They are ordered by the number of their places in all
+   documents.  A window stands only where all its shingles stand, so its
+   necessary prefix is its rarest shingle, the first of them at ties.
+3. Join: document shingles that are a prefix are joined with the windows of that
+   prefix.  Positional and length bounds (the window must lie inside the
+   document) drop pairs, and the words around the shingle are compared with all
+   words of the window.
+
+Nothing of the benchmark but hashes of its shingles reaches the driver: at most
+``BLOCK_TOKENS`` at once, which a pass over the documents looks its shingles up
+in; with more, every block of them has its own pass.  The windows are broadcast
+to the join within the bound of ``small_side``, and shuffled beyond it.
 
 Defined cases: a null text has no words; an item without words has no window;
-items with a null id hit words but are not counted; repeated documents give
-repeated rows; other columns of either table are ignored.
+items with a null id hit words but are not counted; very long texts are judged
+whole; repeated documents give repeated rows; an empty table of documents gives
+an empty result, an empty benchmark leaves all documents clean; other columns of
+either table are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Rolling, expand, flat, hash_words, pieces, table, text_col, words
+from .common import _P1, _P2, ALNUM, LOWER, expand, flat, mix, pieces, small_side, table, text_col, words, written
 
 WINDOW = 10
-#: Bytes of benchmark text that go to the tasks at once; more items are taken in blocks.
-BLOCK_BYTES = 32 << 20
+#: Distinct shingles that go to the tasks at once (eight bytes each).
+BLOCK_TOKENS = 4 << 20
+#: Parts that the places of one shingle are dealt to where windows are joined by a shuffle.
+SALTS = 16
 
 
 def item_words(text: str | None) -> list[str]:
@@ -39,203 +53,208 @@ def item_words(text: str | None) -> list[str]:
     return [low[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts, ends, strict=True)]
 
 
-def count_words(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """Occurrences in all documents of each word of a sorted array of word hashes."""
+def pair_hashes(h: np.ndarray) -> np.ndarray:
+    """Hash of each word with the next one."""
+    return mix(h[:-1] * np.uint64(_P1) + mix(h[1:] + np.uint64(_P2)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), np.int64)
-        for batch in batches:
-            buf, offs = flat(batch.column(0))
-            for i, j in pieces(offs):
-                _, _, h, _ = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM)
-                at = np.searchsorted(vocabulary, h)
-                at[at == len(vocabulary)] = 0
-                total += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["w", "n"])
-
-    out = np.zeros(len(vocabulary), np.int64)
-    if len(vocabulary):
-        rows = docs.select(text_col().alias("text")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-        for r in rows:  # at most one row a vocabulary word
-            out[r.w] = r.n
-    return out
 
+def single_hashes(h: np.ndarray) -> np.ndarray:
+    return mix(h ^ np.uint64(_P2))
 
-class WindowIndex:
-    """The windows of a block of items, by their rarest word."""
-
-    def __init__(self, items: list[tuple[object, list[str]]], size: int, frequency: dict[str, int]):
-        seen: dict[tuple[str, ...], int] = {}
-        self.holders: list[set[str]] = []
-        for key, ws in items:
-            if not ws:
-                continue
-            spans = [tuple(ws[k : k + size]) for k in range(len(ws) - size + 1)] if len(ws) >= size else [tuple(ws)]
-            for span in spans:
-                k = seen.setdefault(span, len(seen))
-                if k == len(self.holders):
-                    self.holders.append(set())
-                if key is not None:
-                    self.holders[k].add(str(key))
-        spans = list(seen)
-        vocabulary = sorted({w for s in spans for w in s})
-        hashes = dict(zip(vocabulary, hash_words(vocabulary), strict=True))
-        self.length = np.array([len(s) for s in spans], np.int64)
-        self.words = np.zeros((len(spans), size), np.uint64)
-        for k, s in enumerate(spans):
-            self.words[k, : len(s)] = [hashes[w] for w in s]
-        self.place = np.array([min(range(len(s)), key=lambda j: (frequency.get(s[j], 0), j)) for s in spans], np.int64)
-        self.whole = np.zeros(len(spans), np.uint64)
-        for n in np.unique(self.length):
-            own = self.length == n
-            self.whole[own] = Rolling(self.words[own, :n].ravel()).of(np.arange(own.sum()) * n, (np.arange(own.sum()) + 1) * n)
-        prefix = self.words[np.arange(len(spans)), self.place] if len(spans) else np.zeros(0, np.uint64)
-        order = np.argsort(prefix, kind="stable")
-        self.tokens, first = np.unique(prefix[order], return_index=True)
-        self.first, self.by_token = np.append(first, len(order)), order
-
-    def find(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, first word, window) of each occurrence in a piece; rows: first word of each row, and the end."""
-        none = np.zeros(0, np.int64)
-        if not len(self.tokens) or not len(hashes):
-            return none, none, none
-        at = np.searchsorted(self.tokens, hashes)
-        at[at == len(self.tokens)] = 0
-        where = np.flatnonzero(self.tokens[at] == hashes)
-        token = at[where]
-        group, nth = expand(self.first[token + 1] - self.first[token])
-        window = self.by_token[self.first[token[group]] + nth]
-        start = where[group] - self.place[window]
-        row = np.searchsorted(rows, where, side="right")[group] - 1
-        keep = (start >= rows[row]) & (start + self.length[window] <= rows[row + 1])
-        start, row, window = start[keep], row[keep], window[keep]
-        if not len(start):
-            return none, none, none
-        keep = Rolling(hashes).of(start, start + self.length[window]) == self.whole[window]
-        start, row, window = start[keep], row[keep], window[keep]
-        for j in range(self.words.shape[1]):
-            live = j < self.length[window]
-            same = np.ones(len(start), bool)
-            same[live] = hashes[start[live] + j] == self.words[window[live], j]
-            start, row, window = start[same], row[same], window[same]
-        return row, start, window
-
-
-def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
-    new = np.ones(len(start), bool)
-    new[1:] = start[1:] > end[:-1]
-    lead = np.flatnonzero(new)
-    return start[lead], end[np.append(lead[1:], len(start)) - 1] if len(start) else end
-
-
-def _items(benchmark: DataFrame, block: int, blocks: int) -> list[tuple[object, list[str]]]:
-    part = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else benchmark
-    return [(r[0], item_words(r[1])) for r in part.collect()]
-
-
-def _scan(index: WindowIndex, batch: pa.RecordBatch, column: int):
-    """For each row of a batch: number of words, merged hit runs, ids of items found."""
-    buf, offs = flat(batch.column(column))
-    for i, j in pieces(offs):
-        _, _, hashes, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM)
-        row, start, window = index.find(hashes, rows)
-        order = np.argsort(row, kind="stable")
-        row, start, window = row[order], start[order], window[order]
-        cut = np.searchsorted(row, np.arange(j - i + 1))
-        for k in range(j - i):
-            a, b = cut[k], cut[k + 1]
-            s, e = _merged(start[a:b] - rows[k], start[a:b] - rows[k] + index.length[window[a:b]])
-            ids: set[str] = set().union(*(index.holders[w] for w in set(window[a:b].tolist()))) if b > a else set()
-            yield i + k, int(rows[k + 1] - rows[k]), s, e, ids
-
-
-def _sha(ids) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-
-
-OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-def window_indexes(source: DataFrame, benchmark: DataFrame, size: int, block_bytes: int) -> list[WindowIndex]:
-    """One index a block of items; a block's texts are at most about ``block_bytes``."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_col().alias("text"))
-    held = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    blocks = max(1, -(-held // block_bytes))
-    indexes = []
-    for b in range(blocks):
-        own = _items(items, b, blocks)
-        vocabulary = sorted({w for _, ws in own for w in ws})
-        h = hash_words(vocabulary)
-        order = np.argsort(h)
-        counts = count_words(source, h[order])
-        indexes.append(WindowIndex(own, size, {vocabulary[o]: int(c) for o, c in zip(order, counts, strict=True)}))
-    return indexes
 
+class TokenSet:
+    """Shingle hashes to look others up in: a bit table drops most, the sorted hashes decide."""
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: words, words inside any occurrence of an item window, items found."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"))
-    indexes = window_indexes(source, benchmark, size, block_bytes)
-    if len(indexes) == 1:
-        index = indexes[0]
+    def __init__(self, tokens: np.ndarray):
+        self.sorted = np.sort(tokens.view(np.uint64))
+        bits = int(np.clip(np.ceil(np.log2(max(len(tokens), 1) * 32)), 12, 27))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[self.sorted >> self.shift] = True
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = list(_scan(index, batch, 1))
-                hit = [int((e - s).sum()) for _, _, s, e, _ in found]
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers in the set) of the tokens that are in the set."""
+        where = np.flatnonzero(self.table[tokens >> self.shift])
+        at = np.searchsorted(self.sorted, tokens[where])
+        at[at == len(self.sorted)] = 0
+        same = self.sorted[at] == tokens[where] if len(self.sorted) else np.zeros(0, bool)
+        return where[same], at[same]
+
+
+WINDOWS = "w1 long, w2 long, n int, words array<long>, tokens array<long>, text_key binary"
+
+
+def item_windows(benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(distinct windows, holders): windows by two hashes, with word and shingle hashes; the item ids of each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = flat(batch.column(1))
+            for i, j in pieces(offs):
+                _, _, h, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM)
+                many = np.diff(rows)
+                row, nth = expand(np.where(many >= size, many - size + 1, np.minimum(many, 1)))
+                start, n = rows[:-1][row] + nth, np.minimum(many[row], size)
+                group, k = expand(n)
+                at = start[group] + k
+                of_pair, q = expand(np.maximum(n - 1, 1))
+                first = start[of_pair] + q
+                token = np.where(n[of_pair] > 1, pair_hashes(np.append(h, np.uint64(0)))[first], single_hashes(h)[first]) if len(h) else np.zeros(0, np.uint64)
+                weight = [mix(mix(h[at] + np.uint64(s)) * (2 * k.astype(np.uint64) + np.uint64(1))) for s in (_P1, _P2)]
+                whole = [np.add.reduceat(w, np.append(0, np.cumsum(n))[:-1]) if len(n) else np.zeros(0, np.uint64) for w in weight]
+                lists = lambda counts, v: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(v.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([f[1] for f in found], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(f[4]) for f in found], pa.int64()), pa.array([_sha(f[4]) for f in found], pa.string()), pa.array([x > 0 for x in hit], pa.bool_())],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                    [pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), pa.array(n, pa.int32()), lists(n, h[at]), lists(np.maximum(n - 1, 1), token), batch.column(0).take(pa.array(row + i))],
+                    names=["w1", "w2", "n", "words", "tokens", "text_key"],
                 )
 
-        return source.mapInArrow(run, OUT)
-    return _in_blocks(source, indexes)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_col().alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
+    texts = items.groupBy("text_key").agg(F.first("text").alias("text"))
+    made = written(texts.mapInArrow(run, WINDOWS), "windows")
+    distinct = made.groupBy("w1", "w2", "n").agg(F.first("words").alias("words"), F.first("tokens").alias("tokens"))
+    named = items.where(F.col("item_id").isNotNull()).select("text_key", "item_id").distinct()
+    return distinct, made.select("w1", "w2", "n", "text_key").distinct().join(named, "text_key").select("w1", "w2", "n", "item_id").distinct()
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in which no item window occurs, with all their columns."""
-    at = docs.columns.index("text")
-    for index in window_indexes(docs, benchmark, size, block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], index: WindowIndex = index) -> Iterator[pa.RecordBatch]:
+def token_blocks(tokens: DataFrame, limit: int) -> Iterator[np.ndarray]:
+    """Sorted hashes of the distinct tokens, at most about ``limit`` at once."""
+    held = tokens.count()
+    blocks = max(1, -(-held // limit))
+    for b in range(blocks):
+        part = tokens.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b) if blocks > 1 else tokens
+        yield part.toArrow().column(0).to_numpy()
+
+
+def _text_tokens(hashes: np.ndarray, rows: np.ndarray, singles: bool):
+    """(tokens, place of the first word) of a piece: pairs inside a row, and single words if any window needs them."""
+    if not len(hashes):
+        return
+    pair = pair_hashes(hashes)
+    inside = np.ones(len(pair), bool)
+    ends = rows[1:-1] - 1
+    inside[ends[(ends >= 0) & (ends < len(pair))]] = False
+    yield pair[inside], np.flatnonzero(inside)
+    if singles:
+        yield single_hashes(hashes), np.arange(len(hashes))
+
+
+def count_tokens(docs: DataFrame, tokens: DataFrame, singles: bool, limit: int) -> DataFrame:
+    """(token, places): how often each token stands in all documents; tokens that never do are left out."""
+    out = None
+    for block in token_blocks(tokens, limit):
+
+        def run(batches: Iterator[pa.RecordBatch], block: np.ndarray = block) -> Iterator[pa.RecordBatch]:
+            known = TokenSet(block)
+            total = np.zeros(len(block), np.int64)
             for batch in batches:
-                yield batch.filter(pa.array([len(f[2]) == 0 for f in _scan(index, batch, at)], pa.bool_()))
+                buf, offs = flat(batch.column(0))
+                for i, j in pieces(offs):
+                    _, _, h, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM)
+                    for token, _ in _text_tokens(h, rows, singles):
+                        total += np.bincount(known.find(token)[1], minlength=len(total))
+            found = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(known.sorted[found].view(np.int64)), pa.array(total[found])], names=["token", "places"])
+
+        part = docs.select(text_col().alias("text")).mapInArrow(run, "token long, places long").groupBy("token").agg(F.sum("places").alias("places"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
 
+def prefixed_windows(docs: DataFrame, benchmark: DataFrame, size: int, limit: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(windows with their prefix token and its place, holders, whether there are windows of one word)."""
+    distinct, holders = item_windows(benchmark, size)
+    distinct = written(distinct, "distinct")
+    placed = distinct.select("w1", "w2", "n", F.posexplode("tokens").alias("place", "token"))
+    tokens = written(placed.select("token").distinct(), "tokens")
+    singles = bool(distinct.where("n = 1").limit(1).count())
+    counts = count_tokens(docs, tokens, singles, limit)
+    ranked = placed.join(counts, "token", "left").groupBy("w1", "w2", "n").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "place", "token")).alias("p"))
+    # a prefix that stands nowhere ends its window here
+    out = ranked.where("p.places > 0").join(distinct.drop("tokens"), ["w1", "w2", "n"]).select("w1", "w2", "n", "words", "p.place", "p.token")
+    return written(out, "prefixes"), written(holders, "holders"), singles
 
-def _in_blocks(source: DataFrame, indexes: list[WindowIndex]) -> DataFrame:
-    """More items than one block holds: every block passes over all distinct texts, and runs are merged per text."""
-    keyed = source.withColumn("key", F.sha2("text", 256))
-    texts = keyed.select("key", "text").dropDuplicates(["key"])
-    parts = []
-    for index in indexes:
 
-        def run(batches: Iterator[pa.RecordBatch], index: WindowIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = list(_scan(index, batch, 1))
-                spans = [[{"s": int(a), "e": int(b)} for a, b in zip(s, e, strict=True)] for _, _, s, e, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([f[1] for f in found], pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array([sorted(f[4]) for f in found], pa.list_(pa.string()))],
-                    names=["key", "n_words", "spans", "ids"],
-                )
+CANDIDATES = "id long, key binary, n_words long, found array<struct<token:long,at:long,around:array<long>,middle:int>>"
+_FOUND = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int64()), ("around", pa.list_(pa.int64())), ("middle", pa.int32())]))
+
+
+def _candidates(block: np.ndarray, size: int, singles: bool):
+    """For each text: number of words, and its prefix tokens with the words around them."""
 
-        parts.append(texts.mapInArrow(run, "key string, n_words long, spans array<struct<s:long,e:long>>, ids array<string>"))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionAll(p)
-    per = both.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TokenSet(block)
+        for batch in batches:
+            buf, offs = flat(batch.column(2))
+            for i, j in pieces(offs):
+                _, _, h, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM)
+                found = [(token[at], place[at]) for token, place in _text_tokens(h, rows, singles) for at in [known.find(token)[0]]]
+                token = np.concatenate([np.zeros(0, np.uint64), *(f[0] for f in found)])
+                place = np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)])
+                row = np.searchsorted(rows, place, side="right") - 1
+                by = np.argsort(row, kind="stable")
+                token, place, row = token[by], place[by], row[by]
+                low, high = np.maximum(place - size + 1, rows[row]), np.minimum(place + size, rows[row + 1])
+                group, k = expand(high - low)
+                around = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(high - low)), pa.int32()), pa.array(h[low[group] + k].view(np.int64)))
+                rows_of = pa.StructArray.from_arrays([pa.array(token.view(np.int64)), pa.array(place - rows[row]), around, pa.array((place - low).astype(np.int32))], fields=list(_FOUND.value_type))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32()), rows_of)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(rows)), lists], names=["id", "key", "n_words", "found"])
+
+    return run
+
+
+def window_hits(docs: DataFrame, benchmark: DataFrame, size: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: id, key of the text, n_words), (hits: key, start, end, window), (holders of the windows)."""
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), text_col().alias("text")).select("id", F.unhex(F.md5("text")).alias("key"), "text")
+    windows, holders, singles = prefixed_windows(docs, benchmark, size, limit)
+    prefixes = written(windows.select("token").distinct(), "tokens")
+    scanned = [written(source.mapInArrow(_candidates(block, size, singles), CANDIDATES), "scanned") for block in token_blocks(prefixes, limit)]
+    found = None
+    for part in scanned:
+        # equal texts are joined once
+        own = part.where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("found")).select("key", F.explode("found").alias("f")).select("key", "f.*")
+        found = own if found is None else found.unionByName(own)
+    side = small_side(windows, F.octet_length(F.lit("")) + F.lit(8) * F.size("words") + F.lit(48))
+    salted = F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int")
+    if side is windows:
+        found, side = found.withColumn("salt", salted), windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = found.join(side, ["token", "salt"])
+    else:
+        met = found.join(side, "token")
+    start = F.col("at") - F.col("place")
+    first = F.col("middle") - F.col("place")
+    inside = (first >= 0) & (first + F.col("n") <= F.size("around"))
+    same = F.slice("around", first + 1, F.col("n")) == F.col("words")  # needs a start of at least 1
+    hits = met.where(F.when(inside, same).otherwise(False)).select("key", start.alias("s"), (start + F.col("n")).alias("e"), "w1", "w2", "n")
+    return scanned[0].select("id", "key", "n_words"), written(hits, "hits"), holders
+
+
+def covered(spans: Column) -> Column:
+    """Number of words in the union of an array of runs."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
-    per = per.withColumn(
-        "n_hit",
-        F.aggregate(F.array_sort("spans"), zero, lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x.e - F.greatest(x.s, a.to))).alias("n"), F.greatest(a.to, x.e).alias("to")), lambda a: a.n),
-    )
-    out = per.select("key", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-    return keyed.select("doc_id", "key").join(out, "key").drop("key")
+    add = lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x.e - F.greatest(x.s, a.to))).alias("n"), F.greatest(a.to, x.e).alias("to"))
+    return F.aggregate(F.array_sort(spans), zero, add, lambda a: a.n)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per document: words, words inside any occurrence of an item window, items found."""
+    texts, hits, holders = window_hits(docs, benchmark, size, block_tokens)
+    spans = hits.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    items = hits.select("key", "w1", "w2", "n").distinct().join(small_side(holders, F.lit(32) + F.octet_length("item_id")), ["w1", "w2", "n"]).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    per = spans.join(items, "key", "left").select("key", covered(F.col("spans")).alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+    per = written(per.select("key", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256")), "found")
+    hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return texts.join(small_side(per), "key", "left").select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The documents in which no item window occurs, with all their columns."""
+    _, hits, _ = window_hits(docs, benchmark, size, block_tokens)
+    gone = small_side(written(hits.select("key").distinct(), "contaminated"))
+    return docs.join(gone, F.unhex(F.md5(text_col(docs["text"]))) == gone["key"], "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from framewright.llm import common
 from framewright.llm import op01_suffix_dedup as op1
 from framewright.llm import op02_license as op2
 from framewright.llm import op03_packing as op3
@@ -332,10 +333,10 @@ def test_toxicity_grammar(spark, hostile, empty):
     assert op7.score_documents(empty, plain).count() == 0
 
 
-def test_decontamination_against_scanning(spark, hostile, empty):
-    items = [(1, passage(30)), (2, passage(10)), (3, "two words"), (4, ""), (5, None), (None, passage(12)), (6, items_text := passage(25)), (7, items_text)]
+def test_decontamination_against_scanning(spark, hostile, empty, monkeypatch):
+    items = [(8, "words"), (9, "Two"), (1, passage(30)), (2, passage(10)), (3, "two words"), (4, ""), (5, None), (None, passage(12)), (6, items_text := passage(25)), (7, items_text)]
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, n_words int")
-    texts = list(HOSTILE) + [(200 + k, passage(15) + " " + " ".join((items[k % 8][1] or "x").split()[: RND.randint(5, 30)]) + ". " + passage(5) + " Two, words") for k in range(40)]
+    texts = list(HOSTILE) + [(200 + k, passage(15) + " " + " ".join((items[2 + k % 8][1] or "x").split()[: RND.randint(5, 30)]) + ". " + passage(5) + " Two, words") for k in range(40)]
     want = Counter()
     for d, t in texts:
         ws, hit, found = alnum(t), set(), set()
@@ -348,8 +349,9 @@ def test_decontamination_against_scanning(spark, hostile, empty):
                         found |= {str(i)} if i is not None else set()
         want[d, len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
     df = table(spark, texts)
-    for block in (1 << 20, 100):
-        assert Counter(tuple(r) for r in op8.decontaminate(df, bench, block_bytes=block).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()) == want
+    for block, rows in ((1 << 20, 10**6), (20, 3)):  # the second looks up in blocks and joins by a shuffle
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+        assert Counter(tuple(r) for r in op8.decontaminate(df, bench, block_tokens=block).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()) == want
     assert op8.keep_clean(df, bench).count() == sum(n for k, n in want.items() if not k[5])
     assert op8.decontaminate(empty, bench).count() == 0
     assert op8.decontaminate(hostile, bench.limit(0)).where("contaminated").count() == 0

@@ -1,24 +1,28 @@
 """License scans with a positional rare-token index.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased.  Every
-template is a short notice with a mandatory key phrase.  One pass over all
-documents counts in how many each licence word stands; the inverse document
-frequency decides which word of a key phrase is its rare token.  The second
-pass looks up the rare tokens that a file holds, turns each posting
-(template, place in the key phrase) into a start by its relative position,
-verifies the whole key phrase there, and weighs the template words that stand
-at their relative positions by IDF.
+template is a licence text or a short notice with a mandatory key phrase.  One
+pass over all documents counts in how many each licence word stands; the inverse
+document frequency decides which words of a key phrase are its ``RARE`` rare
+tokens (the first at ties).  The second pass looks up the rare tokens that a file
+holds: a posting (template, place in the key phrase) of a word gives a start by
+its relative position.  The postings of a template are intersected: a start stays
+where all its rare tokens agree on it.  There the whole mandatory key phrase is
+verified, and the template words that stand at their relative positions are
+weighed by IDF.
 
 A template counts as found where its key phrase stands and at least
 ``MIN_SHARE`` of its IDF mass stands around it.  The three base phrases are
 templates that are nothing but their key phrase, so all their places are found.
 
 Defined cases: null text is an empty text (no words, score 0, empty labels);
-repeated rows give repeated rows; other columns are ignored.
+very long texts are scanned whole; repeated rows give repeated rows; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +49,29 @@ NOTICES = [
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("reserved", "all rights reserved", "all rights reserved"),
 ]
-MIN_SHARE = 0.5
+#: Licence texts and standard headers (fixed values), without their copyright lines: label, text, mandatory key phrase
+TEXTS = [
+    ("mit-text", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""", "permission is hereby granted free of charge"),
+    ("isc-text", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", "for any purpose with or without fee is hereby granted"),
+    ("bsd-2-clause-text", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""", "redistribution and use in source and binary forms"),
+    ("bsd-3-clause-text", """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""", "may be used to endorse or promote products derived from this software"),
+    ("apache-2.0-header", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""", "apache license version 2 0"),
+    ("gpl-3.0-header", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""", "general public license as published by the free software foundation"),
+    ("mpl-2.0-header", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""", "mozilla public license v 2 0"),
+    ("zlib-text", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""", "the origin of this software must not be misrepresented"),
+]
+MIN_SHARE, RARE = 0.5, 2
+
+
+def template_words(text: str) -> list[str]:
+    return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
 
 
 class Templates:
-    """Notices as word numbers, and after ``weigh`` the postings of their rare tokens."""
+    """Templates as word numbers, and after ``weigh`` the postings of their rare tokens."""
 
-    def __init__(self, base: dict[str, str] = BASE, notices: list[tuple[str, str, str]] = NOTICES):
-        rows = [(label, p.split(), p.split(), True) for label, p in base.items()] + [(label, t.split(), k.split(), False) for label, t, k in notices]
+    def __init__(self, base: dict[str, str], notices: list[tuple[str, str, str]]):
+        rows = [(label, *[template_words(p)] * 2, True) for label, p in base.items()] + [(label, template_words(t), template_words(k), False) for label, t, k in notices]
         self.labels = [r[0] for r in rows]
         self.base = np.array([r[3] for r in rows])
         vocabulary = sorted({w for r in rows for w in r[1]})
@@ -71,11 +90,13 @@ class Templates:
 
     def weigh(self, documents: int, holding: np.ndarray) -> Templates:
         self.idf = np.log((1 + documents) / (1 + holding)) + 1e-3
-        self.anchor = np.array([int(np.argmax(self.idf[k])) for k in self.key])
-        token = np.array([k[a] for k, a in zip(self.key, self.anchor, strict=True)])
+        rare = [np.argsort(-self.idf[k], kind="stable")[:RARE] for k in self.key]  # places in the key phrase
+        self.rare = np.array([len(r) for r in rare])
+        template, self.place = np.repeat(np.arange(len(rare)), self.rare), np.concatenate(rare)
+        token = np.array([self.key[t][p] for t, p in zip(template, self.place, strict=True)])
         order = np.argsort(token, kind="stable")
-        counts = np.bincount(token, minlength=len(self.hashes))
-        self.postings, self.first = order, np.append(0, np.cumsum(counts))
+        self.postings, self.place = template[order], self.place[order]
+        self.first = np.append(0, np.cumsum(np.bincount(token, minlength=len(self.hashes))))
         return self
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -88,14 +109,20 @@ class Templates:
         where = np.flatnonzero(numbers >= 0)
         token = numbers[where]
         group, nth = expand(self.first[token + 1] - self.first[token])
-        template = self.postings[self.first[token[group]] + nth]
-        pos = where[group]
-        row = np.searchsorted(rows, pos, side="right") - 1
+        at = self.first[token[group]] + nth
+        # the postings of a template are intersected: all its rare tokens must give the same start
+        most = max(map(len, self.key))
+        wide = len(numbers) + 2 * most
+        votes, count = np.unique(self.postings[at] * wide + where[group] - self.place[at] + most, return_counts=True)
+        template, starts = votes // wide, votes % wide - most
+        agreed = count == self.rare[template]
+        template, starts = template[agreed], starts[agreed]
         out = []
-        for t in range(len(self.labels)):
-            own = template == t
-            start, r = pos[own] - self.anchor[t], row[own]
-            ok = (start >= rows[r]) & (start + len(self.key[t]) <= rows[r + 1])
+        for t in np.unique(template):
+            start = starts[template == t]
+            start = start[(start >= 0) & (start < len(numbers))]
+            r = np.searchsorted(rows, start, side="right") - 1
+            ok = start + len(self.key[t]) <= rows[r + 1]
             start, r = start[ok], r[ok]
             for j, w in enumerate(self.key[t]):
                 same = numbers[start + j] == w
@@ -142,7 +169,7 @@ def holding_documents(source: DataFrame, templates: Templates) -> tuple[int, np.
 OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: list[tuple[str, str, str]] = NOTICES) -> DataFrame:
+def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: list[tuple[str, str, str]] = NOTICES + TEXTS) -> DataFrame:
     """One row per document: words, places of base phrases, labels found, and the best share of IDF mass as score."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"))
     templates = Templates(base, notices)

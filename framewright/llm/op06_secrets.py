@@ -6,25 +6,31 @@ Candidates are all runs of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]``
 in the white-space tokens of which one such run holds a digit, except those that
 only name what follows, and key blocks from BEGIN to END (lines of a block are
 candidates of their own too).  The name of a run is the ``name=`` or ``name:``
-before it in the token.  Features of a candidate: its length; shares of digits, upper and lower case and hex digits; the share of
-places where the character class changes; the share of different characters;
-the share covered by words of a small dictionary; path marks (slashes, dots, a
-scheme) in its field of the token; and its neighbours: whether its name, a word
-between it and the run before, or, for the first run and where there is none, one
-of the three words before the token speaks of credentials, or of anything that
-usually carries harmless numbers.
+before it in the token.
+
+Features of a candidate: its length; shares of digits, upper and lower case, hex
+digits and different characters; how often each class of characters (digit, upper
+case, lower case, other) gives way to each other class, and the share of common
+letter pairs; the share of its characters in dictionary words; path marks
+(slashes, dots, a scheme) in its field of the token; and its neighbours: whether
+its name, a word between it and the run before, one of three words before or three
+words behind it speaks of credentials, or of what usually carries harmless
+numbers, and whether something is assigned to it.  The dictionary is the corpus' own: words of
+``WORD`` letters or more that at least ``LEAST_SHARE`` of all documents (and three)
+hold, with a few fixed ones.
 
 Labelled findings train the forest.  A caller may give them (columns of
-``candidates`` plus ``label``); by default they are taken from the corpus by two
-narrow rules that leave most candidates unlabelled: issued key formats and
-values assigned to a credential name are secrets, and plain decimal numbers,
-paths, dictionary-covered runs and runs without a credential neighbour and
-with few class changes are not.  At most ``SAMPLE`` findings of each label are
-used, in the order of a hash.  The forest judges every candidate, whatever rule
-it met.  If one of the labels is missing, the rules' own label decides.
-
-Defined cases: null or empty texts have no candidates; repeated rows give
-repeated findings; other columns are ignored.
+``candidates`` plus ``label``).  By default they are the candidates whose nature
+their form or an assignment tells: issued key formats, key blocks and values
+assigned to a credential name are secrets; decimal numbers, UUIDs, links and
+values assigned to a harmless name are not.  Where both or neither hold a
+candidate has no label, and only the forest judges it.  At most ``SAMPLE``
+findings of each label are used, in the order of a hash.  The forest judges every
+candidate, labelled or not.  If one of the labels is missing, the label decides.
+
+Defined cases: null or empty texts have no candidates; runs without a digit in
+their token are none; very long texts are scanned whole; repeated rows give
+repeated findings; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +45,8 @@ from pyspark.sql import functions as F
 
 from .common import small_side, table, text_col, written
 
-LEAST, SAMPLE, TREES, DEPTH, SEED = 16, 5000, 20, 6, 7
+LEAST, SAMPLE, TREES, DEPTH, SEED = 16, 5000, 30, 6, 7
+WORD, LEAST_SHARE = 4, 1e-5
 RUN = r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % LEAST
 CANDIDATE = r"(?:^|[^A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{%d}" % LEAST
 LONG_RUN = r"[A-Za-z0-9+/_\-]{%d}" % LEAST
@@ -58,11 +65,19 @@ CREDENTIAL = r"(?i)passw|passwd|pwd|secret|token|api[_\-]?key|apikey|access[_\-]
 HARMLESS = r"(?i)^(?:card|phone|tel|mail|version|commit|sha|sha1|sha256|md5|hash|id|uuid|isbn|number|no|order|page|ref|build|revision)[:=]?$"
 DICTIONARY = "the and for with that this from have version license example sample test demo dummy placeholder change your name user page index image media static content article blog news http https www html com org net file path data list view item value string number default public".split()
 
-FEATURES = ("length", "digits", "upper", "lower", "hex", "changes", "different", "words", "path", "credential", "harmless", "assigned")
+#: Frequent letter pairs of the languages of the corpus (fixed values).
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt se ha ou le de hi ri ro ic ne ea ra ce li ch ll me ma si us ue qu ei ie ge un".split()
+CLASSES = {"digit": "[0-9]", "upper": "[A-Z]", "lower": "[a-z]", "other": "[^A-Za-z0-9]"}
+MOVES = [(a, b) for a in CLASSES for b in CLASSES if a != b]
+#: Words of a value: parts between digits, marks and changes of case.
+WORDS = "[A-Z]?[a-z]+|[A-Z]+"
+UUID = r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
+
+FEATURES = ("length", "digits", "upper", "lower", "hex", *(f"{a}_{b}" for a, b in MOVES), "pairs", "different", "words", "path", "credential", "credential_behind", "harmless", "assigned")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Every candidate: key (MD5 of the text), doc_id, token_no, name, value, before (neighbour words), token (its field)."""
+    """Every candidate: key (MD5 of the text), doc_id, token_no, name, value, before and behind (neighbour words), token (its field)."""
     text = text_col()
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     # cheap tests first: a digit and a long run somewhere in the text, or a block header
@@ -81,7 +96,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     blocks = F.transform("b", lambda t, k: F.struct((total(F.slice("sg", 1, k + 1)) + total(F.slice("sb", 1, k))).alias("token_no"), F.lit("-----BEGIN").alias("token"), t.alias("block")))
     both = F.concat(F.transform(tokens, lambda x: F.struct(x.token_no, x.token, F.lit(None).cast("string").alias("block"))), blocks)
     words_before = lambda n: F.when(n > 0, F.slice("w", F.greatest(n - 2, F.lit(1)), F.least(n, F.lit(3)))).otherwise(none)
-    found = F.transform(both, lambda x: F.struct(x.token_no.cast("long").alias("token_no"), x.token.alias("token"), x.block.alias("block"), words_before(x.token_no).alias("before")))
+    found = F.transform(both, lambda x: F.struct(x.token_no.cast("long").alias("token_no"), x.token.alias("token"), x.block.alias("block"), words_before(x.token_no).alias("before"), F.when(x.block.isNull(), F.slice("w", x.token_no + 2, 3)).otherwise(none).alias("behind")))
     out = gaps.select("doc_id", "key", F.explode(found).alias("c")).select("doc_id", "key", "c.*")
 
     # every dotted part of a token, with the text before and behind it
@@ -89,7 +104,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     part = F.transform("parts", lambda p, i: F.struct(i.alias("i"), p.alias("part"), F.coalesce(F.get("parts", i - 1), F.lit("")).alias("prev"), F.get("gaps", i).alias("gap"), F.get("gaps", i + 1).alias("after"), F.coalesce(F.get("parts", i + 1), F.lit("")).alias("next")))
     first = F.regexp_extract("token", r"^[\"'(\[{<]*([A-Za-z_.\-]+)\"?'?[=:]", 1)
     header = F.regexp_extract("block", HEADER, 0)
-    out = out.select("doc_id", "key", "token_no", "before", F.when(F.col("block").isNull(), first).otherwise(header).alias("first"), F.col("block").isNotNull().alias("is_block"), F.explode(part).alias("p")).select("*", "p.*").drop("p")
+    out = out.select("doc_id", "key", "token_no", "before", "behind", F.when(F.col("block").isNull(), first).otherwise(header).alias("first"), F.col("block").isNotNull().alias("is_block"), F.explode(part).alias("p")).select("*", "p.*").drop("p")
     names_next = F.col("part").rlike(NAME_ONLY) & (F.col("after").rlike(r"^[\"'\\]*[=:]") | F.col("part").endswith("=") & F.concat("after", "next").rlike(r"^[\"'\\(\[{<]*[A-Za-z0-9+/_.$%@!~\-]"))
     out = out.where(F.col("is_block") | ~names_next)
     pre = F.right(F.concat("prev", "gap"), F.lit(NEAR))
@@ -102,17 +117,34 @@ def candidates(docs: DataFrame) -> DataFrame:
     field = F.concat(F.regexp_replace("gap", f"(?s)^.*[{BETWEEN}]", ""), "part", F.regexp_extract("after", f"^[^{BETWEEN}]*", 0))
     runs = F.when(F.col("is_block"), F.array("part")).otherwise(F.regexp_extract_all("part", F.lit(RUN), F.lit(0)))
     token = F.when(F.col("is_block"), F.lit("-----BEGIN")).otherwise(field)
-    return out.select("doc_id", "key", "token_no", token.alias("token"), name.alias("name"), before.alias("before"), F.explode(runs).alias("value"))
+    return out.select("doc_id", "key", "token_no", token.alias("token"), name.alias("name"), before.alias("before"), "behind", F.explode(runs).alias("value"))
+
+
+def value_words(found: DataFrame) -> DataFrame:
+    """(value, word, times) of the words of every different value."""
+    parts = F.transform(F.regexp_extract_all("value", F.lit(WORDS), F.lit(0)), F.lower)
+    return found.select("value").distinct().select("value", F.explode(F.filter(parts, lambda w: F.length(w) >= WORD)).alias("word")).groupBy("value", "word").agg(F.count("*").alias("times"))
+
 
+def dictionary(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """Those of the given words (word) that enough of all documents hold, and the fixed ones."""
+    wanted = small_side(written(words.select("word").distinct(), "words"))
+    held = docs.select(F.array_distinct(F.split(F.lower(text_col()), "[^a-z]+")).alias("w"))
+    total = held.agg(F.count("*").alias("total"))
+    counts = held.select(F.explode("w").alias("word")).where(F.length("word") >= WORD).join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    often = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(3.0), F.col("total") * LEAST_SHARE)).select("word")
+    return often.unionByName(wanted.where(F.col("word").isin(DICTIONARY))).distinct()
 
-def features(found: DataFrame) -> DataFrame:
-    """The candidates with a double column per feature."""
+
+def features(found: DataFrame, known: DataFrame) -> DataFrame:
+    """The candidates with a double column per feature; known: dictionary words (word)."""
     v, n = F.col("value"), F.length("value").cast("double")
 
-    def share(pattern: str) -> Column:
-        return F.regexp_count(v, F.lit(pattern)) / n
+    def share(pattern: str, of: Column = v) -> Column:
+        return F.regexp_count(of, F.lit(pattern)) / n
 
-    covered = n - F.length(F.regexp_replace(F.lower(v), "(?:" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")", ""))
+    covered = value_words(found).join(small_side(known), "word").groupBy(F.col("value").alias("_value")).agg(F.sum(F.length("word") * F.col("times")).alias("_covered"))
+    covered = small_side(written(covered, "covered"), F.octet_length("_value"))
     near = F.concat(F.array("name"), "before")
     columns = {
         "length": n,
@@ -120,23 +152,32 @@ def features(found: DataFrame) -> DataFrame:
         "upper": share("[A-Z]"),
         "lower": share("[a-z]"),
         "hex": share("[0-9a-f]"),
-        "changes": share("(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
+        **{f"{a}_{b}": share(f"(?<={CLASSES[a]})(?={CLASSES[b]})") for a, b in MOVES},
+        "pairs": share("(?=" + "|".join(PAIRS) + ")", F.lower(v)),
         "different": F.size(F.array_distinct(F.split(v, ""))) / n,
-        "words": covered / n,
+        "words": F.col("_covered") / n,
         "path": F.regexp_count(F.col("token"), F.lit(r"[/.@]|://")).cast("double"),
         "credential": F.exists(near, lambda w: w.rlike(CREDENTIAL)).cast("double"),
-        "harmless": F.exists(near, lambda w: w.rlike(HARMLESS)).cast("double"),
-        "assigned": (F.col("name") != "").cast("double"),
+        "credential_behind": F.exists("behind", lambda w: w.rlike(CREDENTIAL)).cast("double"),
+        "harmless": F.exists(F.concat(near, "behind"), lambda w: w.rlike(HARMLESS)).cast("double"),
+        "assigned": (owner() != "").cast("double"),
     }
-    return reduce(lambda df, c: df.withColumn(f"f_{c[0]}", F.coalesce(c[1], F.lit(0.0))), columns.items(), found)
+    both = found.join(covered, found["value"] == covered["_value"], "left")
+    return reduce(lambda df, c: df.withColumn(f"f_{c[0]}", F.coalesce(c[1], F.lit(0.0))), columns.items(), both).drop("_value", "_covered")
+
+
+def owner() -> Column:
+    """What a candidate is assigned to: its name, or the word before a mark of assignment."""
+    last, second = F.coalesce(F.get(F.reverse("before"), F.lit(0)), F.lit("")), F.coalesce(F.get(F.reverse("before"), F.lit(1)), F.lit(""))
+    return F.when(F.col("name") != "", F.col("name")).when(last.rlike("^[=:]{1,2}$"), second).when(last.rlike("[=:]$"), last).otherwise(F.lit(""))
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """Candidates with features and the label that the narrow rules give them (null: none)."""
+    """Candidates with the label that their form or an assignment gives them (null: none)."""
     v = F.col("value")
-    secret = v.rlike(FORMATS) | v.startswith("-----BEGIN") | ((F.col("f_credential") > 0) & (F.col("f_changes") >= 0.2) & (F.col("f_words") < 0.3))
-    harmless = v.rlike(r"^[0-9]+$") | (F.col("f_words") >= 0.4) | (F.col("f_path") >= 2) | ((F.col("f_credential") == 0) & (F.col("f_changes") < 0.12))
-    return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
+    secret = v.rlike(FORMATS) | v.startswith("-----BEGIN") | owner().rlike(CREDENTIAL)
+    harmless = v.rlike("^[0-9]+$") | v.rlike(UUID) | F.col("token").rlike("://") | owner().rlike(HARMLESS)
+    return found.withColumn("label", F.when(secret & ~harmless, 1.0).when(harmless & ~secret, 0.0))
 
 
 def bounded(rows: DataFrame, sample: int) -> DataFrame:
@@ -148,8 +189,11 @@ def bounded(rows: DataFrame, sample: int) -> DataFrame:
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """Every candidate with its probability of being a secret: doc_id, key, token_no, value, probability, secret."""
-    found = written(labelled(features(candidates(docs))), "candidates")  # the texts are scanned once
-    known = features(findings.drop("label")).withColumn("label", findings["label"].cast("double")) if findings is not None else found
+    found = written(candidates(docs), "candidates")  # the candidates are searched once
+    values = found.select("value") if findings is None else found.select("value").unionByName(findings.select("value"))
+    known_words = written(dictionary(docs, value_words(values)), "dictionary")
+    found = written(labelled(features(found, known_words)), "features")
+    known = found if findings is None else features(findings.withColumn("label", F.col("label").cast("double")), known_words)
     train = bounded(known, sample)
     there = {r.label for r in train.select("label").distinct().collect()}
     if len(there) < 2:
@@ -163,15 +207,16 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every secret's value replaced by a mark; all columns stay, n_chars follows the text."""
-    key = F.unhex(F.md5(text_col()))
-    per_text = scan_secrets(docs).where("secret").groupBy(F.col("key").alias("_secret_key")).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_secret_values"))
-    per_text = small_side(written(per_text, "secrets"))
-    joined = docs.withColumn("_secret_key", key).join(per_text, "_secret_key", "left")
-    clean = F.aggregate(F.coalesce("_secret_values", F.array().cast("array<string>")), F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
-    out = joined.withColumn("text", F.when(F.col("_secret_values").isNull(), F.col("text")).otherwise(clean))
+    found = scan_secrets(docs).where("secret").groupBy("key").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("found"))
+    found = small_side(written(found, "secrets"), F.aggregate("found", F.lit(16), lambda n, v: n + F.octet_length(v)))
+    # all columns go as one, so that no name of theirs can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(text_col())).alias("key"))
+    joined, text = rows.join(found, "key", "left"), F.col("row.text")
+    clean = F.aggregate("found", text, lambda t, v: F.replace(t, v, F.lit(mark)))
+    new = {"text": clean}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_secret_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length(clean).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(F.when(F.col("found").isNotNull(), new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

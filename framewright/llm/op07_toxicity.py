@@ -5,24 +5,29 @@ marks of ``.!?;:`` and line ends divide them in clauses.  Each word becomes a
 symbol: insult (with a lexical weight), threat, target, negation, report or
 other.
 
-Transducers, applied one after the other to a clause that holds an insult or
-a threat (others can't match): *report* turns what follows a verb of saying
-into reported symbols; *negation* weakens insults and threats within three words
-of a negation; *target* binds an insult or threat to a person or pronoun within
-four words.  Each emits an event - insult or threat, aimed or bare, plain,
-negated or reported - and the document's score is a logistic function of the
-weighted event counts.
+Transducers, composed on a clause that holds an insult or a threat (others can't
+match): each reads the tape that the one before it has written.  *Report* marks
+what follows a verb of saying as reported.  *Negation* reads that tape and marks
+what stands within three words of a negation; a negation before a verb of saying
+ends with it, so that it doesn't reach into the reported words.  *Target* reads
+both marks and binds an insult or threat to a person or pronoun within four words
+in the same layer of speech.  *Events* reads the last tape and emits an event for
+each insult or threat - aimed or bare, plain, negated or reported - and the
+document's score is a logistic function of the weighted event counts.
 
 Learning.  Insults are whole words or word beginnings, found by their log-odds
 between toxic and clean labelled documents; the arc weights of the events are
 fitted by logistic regression.  Both use a bounded sample of labelled rows with
 crc32(doc_id as text) mod 5 not 0: at most ``SAMPLE`` of each label, in the
 order of a hash of the id.  Only texts are inputs of a score.  Without usable
-labels a small seed lexicon and fixed weights hold.
-
-Defined cases: null or empty texts score as texts without events; labels that
-are null are ignored, and of repeated labels the largest counts; repeated
-documents give repeated rows; other columns are ignored.
+labels a small seed lexicon and fixed weights hold.  Every word or beginning that
+is telling enough enters the lexicon; each must stand in ``LEAST_DOCS`` toxic
+documents of the bounded sample, which bounds their number.
+
+Defined cases: null or empty texts score as texts without events; very long texts
+are scored whole; labels that are null are ignored, and of repeated labels the
+largest counts; repeated documents give repeated rows; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ from .common import ALNUM, LOWER, Rolling, flat, hash_words, pieces, table, text
 FOLDS, SAMPLE = 5, 8000
 #: Bytes of word beginnings that may become lexicon entries, besides whole words (0).
 STEMS = (4, 5, 6, 7, 8, 0)
-LEAST_DOCS, LEAST_ODDS, MOST_ENTRIES = 8, 2.5, 5000
+LEAST_DOCS, LEAST_ODDS = 8, 2.5
 #: Words and beginnings whose counts a task holds at once.
 HELD_COUNTS = 50_000
 
@@ -59,44 +64,57 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?;:\n\r"]] = True
 
 
-def report_transducer(symbols: list[int]) -> list[int]:
-    """Tape of 0/1: the words that stand in reported speech (state 1 begins after a verb of saying)."""
-    state, tape = 0, []
-    for s in symbols:
-        tape.append(state)
+#: Marks that the transducers add to a symbol.
+REPORTED, NEGATED, AIMED = 8, 16, 32
+
+
+def report_transducer(tape: list[int]) -> list[int]:
+    """Marks the words in reported speech (state 1 begins after a verb of saying)."""
+    state, out = 0, []
+    for s in tape:
+        out.append(s | REPORTED * state)
         if s == REPORT:
             state = 1
-    return tape
+    return out
 
 
-def negation_transducer(symbols: list[int]) -> list[int]:
-    """Tape of 0/1: the words within a few words of a negation (the state counts down)."""
-    state, tape = 0, []
-    for s in symbols:
-        if s == NEGATION:
+def negation_transducer(tape: list[int]) -> list[int]:
+    """Marks the words within a few words of a negation (the state counts down, and ends where reported speech begins)."""
+    state, layer, out = 0, 0, []
+    for s in tape:
+        if s & REPORTED != layer:
+            state, layer = 0, s & REPORTED
+        if s & 7 == NEGATION:
             state = NEAR_NEGATION + 1
-        tape.append(int(state > 0))
+        out.append(s | NEGATED * (state > 0))
         state = max(0, state - 1)
-    return tape
+    return out
 
 
-def target_transducer(symbols: list[int]) -> list[int]:
-    """Tape of 0/1: the words with a target within a few words on either side (one run each way)."""
-    tape = [0] * len(symbols)
-    for order in (range(len(symbols)), range(len(symbols) - 1, -1, -1)):
-        state = 0
+def target_transducer(tape: list[int]) -> list[int]:
+    """Marks the words with a target within a few words on either side, in the same layer of speech (one run each way)."""
+    out = list(tape)
+    for order in (range(len(tape)), range(len(tape) - 1, -1, -1)):
+        state, layer = 0, -1
         for k in order:
-            if symbols[k] == TARGET:
+            if tape[k] & REPORTED != layer:
+                state, layer = 0, tape[k] & REPORTED
+            if tape[k] & 7 == TARGET:
                 state = NEAR_TARGET + 1
-            tape[k] |= int(state > 0)
+            out[k] |= AIMED * (state > 0)
             state = max(0, state - 1)
-    return tape
+    return out
+
+
+def event_transducer(tape: list[int]) -> list[tuple[int, int]]:
+    """(place, event) for each marked insult or threat."""
+    kind = lambda s: (6 if s & 7 == THREAT else 0) + (0 if s & AIMED else 3) + (2 if s & REPORTED else 1 if s & NEGATED else 0)
+    return [(k, kind(s)) for k, s in enumerate(tape) if s & 7 in (INSULT, THREAT)]
 
 
 def clause_events(symbols: list[int]) -> list[tuple[int, int]]:
-    """(place, event) for each insult or threat of a clause: the composition of the three transducers."""
-    reported, negated, aimed = report_transducer(symbols), negation_transducer(symbols), target_transducer(symbols)
-    return [(k, (6 if s == THREAT else 0) + (0 if aimed[k] else 3) + (2 if reported[k] else 1 if negated[k] else 0)) for k, s in enumerate(symbols) if s in (INSULT, THREAT)]
+    """(place, event) for each insult or threat of a clause: the composition of the four transducers."""
+    return event_transducer(target_transducer(negation_transducer(report_transducer(symbols))))
 
 
 @dataclass
@@ -194,7 +212,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 
 def _lexicon(sample: DataFrame, n_bad: int, n_good: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
-    rows = _word_counts(sample).where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("bad"), "size", "stem").limit(MOST_ENTRIES).collect()
+    rows = _word_counts(sample).where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).collect()
     # the shortest beginning that is nearly as telling stands for the longer ones
     best: dict[bytes, float] = {}
     chosen: dict[int, list[tuple[bytes, float]]] = {}

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framewright.llm import common
 from framewright.llm import op01_suffix_dedup as op1
@@ -121,6 +123,40 @@ def test_license_places_everywhere(spark):
         assert "cc-by-nc-4.0" in r.labels
 
 
+def test_license_labels_against_all_places(spark):
+    rows = [*((k, p, p, True) for k, p in op2.BASE.items()), *((k, t, p, False) for k, t, p in op2.NOTICES + op2.TEXTS)]
+    templates = [(k, op2.template_words(t), op2.template_words(p), b) for k, t, p, b in rows]
+    texts = []
+    for i in range(40):
+        out = [passage(RND.randint(0, 8))]
+        for _ in range(RND.randint(0, 3)):
+            ws = op2.template_words(RND.choice(rows)[1])
+            a = RND.randint(0, len(ws) // 2) if RND.random() < 0.5 else 0
+            part = ws[a : RND.randint(a, len(ws)) + 1]
+            if RND.random() < 0.3 and part:
+                part[RND.randrange(len(part))] = "changed"
+            out += [" * ".join(part).upper(), passage(RND.randint(0, 5))]
+        texts.append((i, " ".join(out)))
+    words = {d: alnum(t) for d, t in texts}
+    licence = {w for _, n, _, _ in templates for w in n}
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in ws for ws in words.values()))) + 1e-3 for w in licence}
+    got = {r.doc_id: r for r in op2.scan_licenses(table(spark, texts)).collect()}
+    some = 0
+    for d, ws in words.items():
+        found, best = set(), 0.0
+        for label, n, key, _ in templates:
+            shift = next(i for i in range(len(n)) if n[i : i + len(key)] == key)
+            for s in range(len(ws) - len(key) + 1):
+                if ws[s : s + len(key)] == key:
+                    share = sum(idf[w] for j, w in enumerate(n) if 0 <= s + j - shift < len(ws) and ws[s + j - shift] == w) / sum(idf[w] for w in n)
+                    if share >= op2.MIN_SHARE:
+                        found.add(label)
+                        best = max(best, share)
+        some += len(found)
+        assert got[d].labels == ",".join(sorted(found)) and got[d].score == pytest.approx(min(best, 1.0))
+    assert some > 20
+
+
 def test_packing_is_a_packing(hostile, empty):
     tok = op3.codec_of(op3.default_tokenizer()).tok
     rows = op3.pack_documents(hostile, op3.default_tokenizer()).collect()
@@ -321,6 +357,19 @@ def test_toxicity_grammar(spark, hostile, empty):
     assert op7.clause_events([op7.TARGET, op7.OTHER, op7.INSULT]) == [(2, 0)]
     assert op7.clause_events([op7.NEGATION, op7.OTHER, op7.INSULT]) == [(2, 4)]
     assert op7.clause_events([op7.REPORT, op7.TARGET, op7.INSULT]) == [(2, 2)]
+    assert op7.clause_events([op7.NEGATION, op7.REPORT, op7.TARGET, op7.INSULT]) == [(3, 2)]
+    assert op7.clause_events([op7.TARGET, op7.REPORT, op7.THREAT]) == [(2, 11)]
+    for _ in range(300):
+        clause = [RND.choice([op7.OTHER, op7.OTHER, op7.INSULT, op7.THREAT, op7.TARGET, op7.NEGATION, op7.REPORT]) for _ in range(RND.randint(0, 14))]
+        said = clause.index(op7.REPORT) if op7.REPORT in clause else len(clause)
+        want = []
+        for k, sym in enumerate(clause):
+            if sym in (op7.INSULT, op7.THREAT):
+                layer = [j for j in range(len(clause)) if (j > said) == (k > said)]
+                aimed = any(clause[j] == op7.TARGET and abs(j - k) <= op7.NEAR_TARGET for j in layer)
+                negated = any(clause[j] == op7.NEGATION and 0 <= k - j <= op7.NEAR_NEGATION for j in layer)
+                want.append((k, 6 * (sym == op7.THREAT) + 3 * (not aimed) + (2 if k > said else int(negated))))
+        assert op7.clause_events(clause) == want
     texts = [(i, passage(30) + (" you are a blorgon fool. " if i % 3 == 0 else " ") + passage(10)) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts] + [(5, None)], "doc_id long, toxic int")
     df = table(spark, texts)
@@ -427,3 +476,37 @@ def test_secrets_of_one_token(spark):
     assert clean[2] == "password,[secret],secret,[secret]" and clean[3] == "token=[secret].[secret].[secret]"
     assert clean[4] == "aws_secret_access_key=[secret]" and clean[5] == "before\n[secret] after it"
     assert clean[6] == 'x {"private_key":"[secret]"} y' and clean[7] == "key=[secret]"
+
+
+def test_forest_overrules_the_labels_of_the_rules(spark):
+    rnd = random.Random(9)
+    mixed = lambda n: "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n - 1)) + "7"
+    plain = ["chapter", "section", "overview", "introduction", "summary", "appendix", "reference"]
+    holder = lambda: "-".join(rnd.sample(plain, 4)) + f"-{rnd.randrange(9)}"
+
+    def corpus(first, n):
+        out = []
+        for i in range(n):
+            kind = i % 5
+            value, secret = (mixed(rnd.randint(20, 36)), True) if kind in (0, 1) else (holder(), False) if kind in (2, 3) else (str(rnd.randrange(10**15, 10**16)), False)
+            text = [f"password={value} x", f"the secret follows {value} here", f"password={value} x", f"see the {value} part", f"card {value} ok"][kind]
+            out.append((first + i, f"{passage(4)} {text} {' '.join(rnd.sample(plain, 2))}", value, secret))
+        return out
+
+    old, new = corpus(0, 200), corpus(1000, 200)
+    frame = lambda rows: table(spark, [r[:2] for r in rows])
+    truth = {r[2]: r[3] for r in old + new}
+    found = op6.candidates(frame(old))
+    known = spark.createDataFrame(list(truth.items()), "value string, real boolean")
+    findings = found.join(known, "value").withColumn("label", F.col("real").cast("double")).drop("real")
+    got = op6.scan_secrets(frame(new), findings).collect()
+    assert len(got) == 200
+    right = sum(r.secret for r in got if truth[r.value])
+    assert right >= 0.95 * sum(truth[r.value] for r in got) and right >= 0.95 * sum(r.secret for r in got)
+    # placeholders assigned to a credential name: the rules call them secrets, the forest doesn't
+    rules = op6.labelled(found).where(op6.owner().rlike("password")).join(known, "value").where("NOT real")
+    assert rules.where("label = 1").count() == 40
+    assert sum(r.secret for r in got if r.doc_id % 5 == 2) <= 2
+    # without findings, what has no label is judged by the forest that the labelled rest has trained
+    alone = op6.scan_secrets(frame(new)).collect()
+    assert sum(r.secret for r in alone if r.doc_id % 5 == 1) >= 36 and sum(r.secret for r in alone if r.doc_id % 5 == 3) <= 2

@@ -22,8 +22,9 @@ hold, with a few fixed ones.
 Labelled findings train the forest.  A caller may give them (columns of
 ``candidates`` plus ``label``).  By default they are the candidates whose nature
 their form or an assignment tells: issued key formats, key blocks and values
-assigned to a credential name are secrets; decimal numbers, UUIDs, links and
-values assigned to a harmless name are not.  Where both or neither hold a
+assigned to a credential name are secrets; decimal numbers, UUIDs, links, names
+all of whose letters are dictionary words, and values assigned to a harmless name
+are not.  Where both or neither hold a
 candidate has no label, and only the forest judges it.  At most ``SAMPLE``
 findings of each label are used, in the order of a hash.  The forest judges every
 candidate, labelled or not.  If one of the labels is missing, the label decides.
@@ -176,7 +177,7 @@ def labelled(found: DataFrame) -> DataFrame:
     """Candidates with the label that their form or an assignment gives them (null: none)."""
     v = F.col("value")
     secret = v.rlike(FORMATS) | v.startswith("-----BEGIN") | owner().rlike(CREDENTIAL)
-    harmless = v.rlike("^[0-9]+$") | v.rlike(UUID) | F.col("token").rlike("://") | owner().rlike(HARMLESS)
+    harmless = v.rlike("^[0-9]+$") | v.rlike(UUID) | F.col("token").rlike("://") | owner().rlike(HARMLESS) | (F.round(F.col("f_words") * F.length(v)) == F.regexp_count(v, F.lit("[A-Za-z]")))
     return found.withColumn("label", F.when(secret & ~harmless, 1.0).when(harmless & ~secret, 0.0))
 
 

@@ -482,13 +482,14 @@ def test_forest_overrules_the_labels_of_the_rules(spark):
     rnd = random.Random(9)
     mixed = lambda n: "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n - 1)) + "7"
     plain = ["chapter", "section", "overview", "introduction", "summary", "appendix", "reference"]
-    holder = lambda: "-".join(rnd.sample(plain, 4)) + f"-{rnd.randrange(9)}"
+    holder = lambda: "-".join(rnd.sample(plain, 4)) + f"-{rnd.randrange(10**4)}"
+    branded = lambda: "-".join(rnd.sample(plain, 3)) + "-" + "".join(rnd.choice("abcdefgh") for _ in range(5)) + "-1"
 
     def corpus(first, n):
         out = []
         for i in range(n):
             kind = i % 5
-            value, secret = (mixed(rnd.randint(20, 36)), True) if kind in (0, 1) else (holder(), False) if kind in (2, 3) else (str(rnd.randrange(10**15, 10**16)), False)
+            value, secret = (mixed(rnd.randint(20, 36)), True) if kind in (0, 1) else (branded() if kind == 2 else holder(), False) if kind in (2, 3) else (str(rnd.randrange(10**15, 10**16)), False)
             text = [f"password={value} x", f"the secret follows {value} here", f"password={value} x", f"see the {value} part", f"card {value} ok"][kind]
             out.append((first + i, f"{passage(4)} {text} {' '.join(rnd.sample(plain, 2))}", value, secret))
         return out
@@ -504,7 +505,7 @@ def test_forest_overrules_the_labels_of_the_rules(spark):
     right = sum(r.secret for r in got if truth[r.value])
     assert right >= 0.95 * sum(truth[r.value] for r in got) and right >= 0.95 * sum(r.secret for r in got)
     # placeholders assigned to a credential name: the rules call them secrets, the forest doesn't
-    rules = op6.labelled(found).where(op6.owner().rlike("password")).join(known, "value").where("NOT real")
+    rules = op6.labelled(op6.features(found, op6.dictionary(frame(old), op6.value_words(found)))).where(op6.owner().rlike("password")).join(known, "value").where("NOT real")
     assert rules.where("label = 1").count() == 40
     assert sum(r.secret for r in got if r.doc_id % 5 == 2) <= 2
     # without findings, what has no label is judged by the forest that the labelled rest has trained

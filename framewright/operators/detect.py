@@ -107,9 +107,7 @@ def one_class_fit(points: DataFrame, features: int = 32, nu: float = 0.1, gamma:
 
     rnd = random.Random(seed)
     freq = [[rnd.gauss(0, math.sqrt(2 * gamma)), rnd.gauss(0, math.sqrt(2 * gamma)), rnd.uniform(0, 2 * math.pi)] for _ in range(features)]
-    weighed = points.groupBy("x", "y").agg(F.count("*").alias("n"))
-    z = fourier(freq)
-    weighed = weighed.withColumn("z", z)
+    weighed = points.groupBy("x", "y").agg(F.count("*").alias("n")).withColumn("z", fourier(freq)).cache()  # one pass over it each step
     total = weighed.agg(F.sum("n")).first()[0]
     w, rho = [1.0 / features] * features, 0.0
     for step in range(steps):
@@ -119,6 +117,7 @@ def one_class_fit(points: DataFrame, features: int = 32, nu: float = 0.1, gamma:
         eta = rate / (1 + step)
         w = [a - eta * (a - (sums[f"z{k}"] or 0.0) / (nu * total)) for k, a in enumerate(w)]
         rho -= eta * ((sums["m"] or 0) / (nu * total) - 1)
+    weighed.unpersist()
     return freq, w, rho
 
 
@@ -268,19 +267,43 @@ def pca_residual(train: DataFrame, test: DataFrame, features: str, k: int) -> Da
     return out.withColumn("score", mse).drop("_v", "_z", "_p", "_pa", "_za")
 
 
+#: Blocks that the rows of a signal are cut in.
+BLOCKS = 1024
+
+
+def running_share(df: DataFrame, rows: int = 10) -> DataFrame:
+    """Mean of ``hit`` over the last ``rows`` rows of each signal, as ``run``; row_id is a number.
+
+    A signal's rows are cut in blocks of row_id; the last rows before a block are
+    carried into it, so that no task holds a whole signal.
+    """
+    ends = df.groupBy("signal").agg(F.min("row_id").alias("_lo"), F.max("row_id").alias("_hi"))
+    part = df.join(ends, "signal").withColumn("_b", F.floor((F.col("row_id") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)) * (BLOCKS - 1)).cast("int")).drop("_lo", "_hi")
+    block = Window.partitionBy("signal", "_b")
+    last = part.withColumn("_k", F.row_number().over(block.orderBy(F.desc("row_id")))).where(F.col("_k") < rows)
+    tails = last.groupBy("signal", "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "hit"))), lambda x: x.hit).alias("_t"))
+    # every block that exists has a row, so rows - 1 blocks are enough
+    held = F.flatten(F.collect_list("_t").over(Window.partitionBy("signal").orderBy("_b").rowsBetween(1 - rows, -1)))
+    tails = tails.select("signal", "_b", held.alias("_p"))
+    inside = block.orderBy("row_id").rowsBetween(1 - rows, 0)
+    out = part.withColumns({"_s": F.sum("hit").over(inside), "_c": F.count("hit").over(inside)}).join(tails, ["signal", "_b"])
+    more = F.least(F.size("_p"), rows - F.col("_c")).cast("int")
+    before = F.when(more > 0, F.aggregate(F.slice("_p", F.size("_p") - more + 1, F.greatest(more, F.lit(0))), F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
+    return out.withColumn("run", (F.col("_s") + before) / (F.col("_c") + F.greatest(more, F.lit(0)))).drop("_b", "_s", "_c", "_p")
+
+
 def three_step_threshold(train: DataFrame, test: DataFrame, loss_q: float, time_q: float, signal_q: float) -> DataFrame:
     """Losses (row_id, signal, loss): per-signal loss limit, per-signal limit on the running share of violations, and a limit on the share of violating signals."""
     loss = train.groupBy("signal").agg(F.percentile("loss", loss_q).alias("loss_limit"))
 
     def violations(df: DataFrame) -> DataFrame:
-        w = Window.partitionBy("signal").orderBy("row_id").rowsBetween(-9, 0)
-        return df.join(F.broadcast(loss), "signal").withColumn("run", F.avg((F.col("loss") > F.col("loss_limit")).cast("double")).over(w))
+        return running_share(df.join(loss, "signal").withColumn("hit", (F.col("loss") > F.col("loss_limit")).cast("double")))
 
     a = violations(train)
     time = a.groupBy("signal").agg(F.percentile("run", time_q).alias("time_limit"))
 
     def shares(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(time), "signal").groupBy("row_id").agg(F.avg((F.col("run") > F.col("time_limit")).cast("double")).alias("share"))
+        return df.join(time, "signal").groupBy("row_id").agg(F.avg((F.col("run") > F.col("time_limit")).cast("double")).alias("share"))
 
     limit = shares(a).agg(F.percentile("share", signal_q).alias("signal_limit"))
     return shares(violations(test)).crossJoin(F.broadcast(limit)).select("row_id", "share", (F.col("share") > F.col("signal_limit")).cast("int").alias("pred"))
@@ -291,15 +314,14 @@ def score_ensemble(scores: DataFrame, periods: int) -> DataFrame:
     return scores.groupBy("row").agg(F.count_distinct("period").alias("_p"), F.avg("loss").alias("loss"), F.avg("label").alias("_l")).where(F.col("_p") == periods).select("row", "loss", (F.col("_l") >= 0.5).cast("int").alias("label"))
 
 
-def correlated_groups(pairs: DataFrame, limit: float, rounds: int = 20) -> DataFrame:
-    """Groups of features whose correlation distance is at most ``limit``, by spreading the smallest name."""
+def correlated_groups(pairs: DataFrame, limit: float) -> DataFrame:
+    """Groups of features whose correlation distance is at most ``limit``, by spreading the smallest name until nothing moves."""
     near = pairs.where(1 - F.abs("r") <= limit)
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(pairs.select("a", F.col("a").alias("b"))).unionByName(pairs.select(F.col("b").alias("a"), "b")).distinct()
-    label = both.select("a").distinct().withColumn("grp", F.col("a"))
-    for _ in range(rounds):
-        moved = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("grp").alias("grp"))
-        rows = moved.collect()  # one row a feature column
-        if {(r.a, r.grp) for r in rows} == {(r.a, r.grp) for r in label.collect()}:
-            break
-        label = pairs.sparkSession.createDataFrame(rows, "a string, grp string")
-    return label
+    known = {r.a: r.a for r in both.select("a").distinct().collect()}  # one row a feature column
+    while True:
+        label = pairs.sparkSession.createDataFrame(sorted(known.items()), "b string, grp string")
+        moved = {r.a: r.grp for r in both.join(label, "b").groupBy("a").agg(F.min("grp").alias("grp")).collect()}
+        if moved == known:  # names only get smaller, so this is reached
+            return label.withColumnRenamed("b", "a")
+        known = moved

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of scores whose running sums are formed apart and joined by their totals.
 RANGES = 1024
+#: Slices with both classes.
+TWO = "pos > 0 AND neg > 0"
 
 
 def _with(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,6 +66,13 @@ def average_precision(scores: DataFrame, keys: list[str] | None = None) -> DataF
     return curve(scores, keys).groupBy(*keys).agg(F.sum((F.col("tpr") - F.col("tpr_before")) * F.col("precision")).alias("average_precision"))
 
 
+def _or_median(best: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """The threshold of each slice, or its median score where the slice has one class."""
+    median = scores.groupBy(*keys).agg(F.percentile("score", 0.5).alias("median"))
+    joined = median.join(best, keys, "left") if keys else median.join(best, F.lit(True), "left")
+    return joined.select(*keys, F.coalesce("threshold", "median").alias("threshold"))
+
+
 def _best(c: DataFrame, keys: list[str], value: Column, highest_threshold: bool = True) -> DataFrame:
     tie = F.col("threshold") if highest_threshold else -F.col("threshold")
     return c.groupBy(*keys).agg(F.max_by("threshold", F.struct(value, tie)).alias("threshold"))
@@ -72,22 +81,20 @@ def _best(c: DataFrame, keys: list[str], value: Column, highest_threshold: bool
 def youden_threshold(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Threshold of the largest tpr - fpr, the highest at ties; the median score where a slice has one class."""
     keys = keys or []
-    best = _best(curve(scores, keys).where("pos > 0 AND neg > 0"), keys, F.col("tpr") - F.col("fpr"))
-    median = scores.groupBy(*keys).agg(F.percentile("score", 0.5).alias("median"))
-    joined = median.join(best, keys, "left") if keys else median.join(best, F.lit(True), "left")
-    return joined.select(*keys, F.coalesce("threshold", "median").alias("threshold"))
+    best = _best(curve(scores, keys).where(TWO), keys, F.col("tpr") - F.col("fpr"))
+    return _or_median(best, scores, keys)
 
 
 def best_f1_threshold(scores: DataFrame, keys: list[str] | None = None, highest: bool = True) -> DataFrame:
-    """Threshold of the largest F1 over all distinct scores; ties go to the highest (ROC rule) or lowest (PR rule)."""
+    """Threshold of the largest F1 over all distinct scores; ties go to the highest (ROC rule) or lowest (PR rule); the median score where a slice has one class."""
     keys = keys or []
-    return _best(curve(scores, keys), keys, F.col("f1"), highest)
+    return _or_median(_best(curve(scores, keys).where(TWO), keys, F.col("f1"), highest), scores, keys)
 
 
 def threshold_for_fpr(scores: DataFrame, target: float, keys: list[str] | None = None) -> DataFrame:
-    """Threshold whose fpr is nearest to the target, the highest at ties."""
+    """Threshold whose fpr is nearest to the target, the highest at ties; the median score where a slice has one class."""
     keys = keys or []
-    return _best(curve(scores, keys), keys, -F.abs(F.col("fpr") - target))
+    return _or_median(_best(curve(scores, keys).where(TWO), keys, -F.abs(F.col("fpr") - target)), scores, keys)
 
 
 def last_threshold_below_fpr(scores: DataFrame, limit: float, keys: list[str] | None = None) -> DataFrame:
@@ -166,10 +173,13 @@ RULES = ("youden", "best_f1", "three_sigma", "fpr_0.001", "fpr_0.01", "fpr_0.05"
 
 
 def evaluate_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Per slice and rule: threshold and confusion at score >= threshold, with the slice's AUC; keys are not empty."""
+    """Per slice and rule: threshold and confusion at score >= threshold, with the slice's AUC and size; keys are not empty.
+
+    A slice with one class has one row, without rule and metrics, and a note.
+    """
     c = curve(scores, keys)
     top = lambda value: F.max_by("threshold", F.struct(value, F.col("threshold")))
-    by_curve = c.where("pos > 0 AND neg > 0").groupBy(*keys).agg(
+    by_curve = c.where(TWO).groupBy(*keys).agg(
         top(F.col("tpr") - F.col("fpr")).alias("youden"), top(F.col("f1")).alias("best_f1"),
         *(top(-F.abs(F.col("fpr") - t)).alias(f"fpr_{t}") for t in (0.001, 0.01, 0.05)),
     )
@@ -179,7 +189,8 @@ def evaluate_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     counts = scores.groupBy(*keys, "score", "label").agg(F.count("*").alias("n"))
     met = counts.join(rules, keys).withColumn("hit", F.col("score") >= F.col("threshold"))
     sums = met.groupBy(*keys, "rule", "threshold").agg(*(F.coalesce(F.sum(F.when(F.col("hit") == a, F.when(F.col("label") == b, F.col("n")))), F.lit(0)).alias(n) for n, a, b in (("tp", True, 1), ("fp", True, 0), ("fn", False, 1), ("tn", False, 0))))
-    return sums.join(roc_auc(scores, keys), keys, "left")
+    sizes = single_class_report(scores, keys)
+    return sizes.join(sums.join(roc_auc(scores, keys), keys, "left"), keys, "left")
 
 
 def single_class_report(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -206,17 +217,34 @@ def macro_average(metrics: DataFrame, values: list[str], two_class: str) -> Data
     return metrics.agg(*(F.avg(v).alias(f"{v}_all") for v in values), *(F.avg(F.when(F.col(two_class), F.col(v))).alias(f"{v}_two_class") for v in values))
 
 
+def placed(df: DataFrame, order: Column, keys: list[str] | None = None) -> DataFrame:
+    """Each row's place (_nth, from 0) in the order and the number of rows (_n), by slice or over all rows.
+
+    Over all rows the order must be a number: rows are ranked in ``RANGES`` ranges of
+    it, and the ranges' sizes are summed, so that no task orders the whole.
+    """
+    if keys:
+        part = Window.partitionBy(*keys)
+        return df.withColumn("_n", F.count("*").over(part)).withColumn("_nth", F.row_number().over(part.orderBy(order)) - 1)
+    rows = df.withColumn("_o", order.cast("double"))
+    bounds = rows.agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
+    at = (F.col("_o") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300)) * (RANGES - 1)
+    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("_r", F.floor(at).cast("int")).drop("_lo", "_hi")
+    sizes = rows.groupBy("_r").agg(F.count("*").alias("_c"))  # at most RANGES rows
+    everything = Window.partitionBy(F.lit(0))
+    sizes = sizes.select("_r", F.sum("_c").over(everything).alias("_n"), F.coalesce(F.sum("_c").over(everything.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return rows.join(F.broadcast(sizes), "_r").withColumn("_nth", F.col("_b") + F.row_number().over(Window.partitionBy("_r").orderBy("_o")) - 1).drop("_o", "_r", "_b")
+
+
 def stride_sample(df: DataFrame, order: Column, most: int, keys: list[str] | None = None) -> DataFrame:
     """Every k-th row of the order, k = ceil(n / most)."""
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
-    k = F.greatest(F.lit(1), F.ceil(F.count("*").over(part) / most))
-    return df.withColumn("_k", k).withColumn("_nth", F.row_number().over(part.orderBy(order)) - 1).where("_nth % _k = 0").drop("_k", "_nth")
+    k = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
+    return placed(df, order, keys).where(F.col("_nth") % k == 0).drop("_n", "_nth")
 
 
 def linspace_sample(df: DataFrame, order: Column, n: int, keys: list[str] | None = None) -> DataFrame:
     """The rows at places floor(i (N - 1) / (n - 1)), i = 0 .. n - 1."""
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
-    rows = df.withColumn("_n", F.count("*").over(part)).withColumn("_nth", F.row_number().over(part.orderBy(order)) - 1)
+    rows = placed(df, order, keys)
     # the row at place r is chosen if some i has floor(i (N - 1) / (n - 1)) = r
     i = F.ceil(F.col("_nth") * (n - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
     return rows.where((F.floor(i * (F.col("_n") - 1) / (n - 1)) == F.col("_nth")) & (i <= n - 1)).drop("_n", "_nth")

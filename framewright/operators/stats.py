@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import windows as W
-
 
 def window_attack_type(df: DataFrame, *keys: str) -> DataFrame:
     """The single attack type of each window's attack rows; two different ones are an error."""
@@ -40,10 +38,9 @@ def per_attack_consistency(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.sum("n_attack").alias("n_attack"), (F.min("n_benign") == F.max("n_benign")).alias("same_benign"))
 
 
-def message_rate(df: DataFrame, low: int = 2, high: int = 400, default: int = 5, rows: int = 300_000) -> DataFrame:
-    """Messages a second of each id over its files with more than two rows, rounded and held in [low, high]; the sample is the first rows of each file."""
-    sample = df.withColumn("_nth", F.row_number().over(W.by_file())).where(F.col("_nth") <= rows)
-    per = sample.groupBy("can_id", "source_file").agg(F.count("*").alias("n"), ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("s"))
+def message_rate(df: DataFrame, low: int = 2, high: int = 400, default: int = 5) -> DataFrame:
+    """Messages a second of each id over its files with more than two rows, rounded and held in [low, high]."""
+    per = df.groupBy("can_id", "source_file").agg(F.count("*").alias("n"), ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("s"))
     good = (F.col("n") > 2) & (F.col("s") > 0)
     sums = per.groupBy("can_id").agg(F.sum(F.when(good, F.col("n"))).alias("n"), F.sum(F.when(good, F.col("s"))).alias("s"))
     return sums.select("can_id", F.coalesce(F.least(F.greatest(F.round(F.col("n") / F.col("s")), F.lit(float(low))), F.lit(float(high))), F.lit(float(default))).cast("int").alias("rate"))

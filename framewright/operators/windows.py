@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = ("ts_us", "idx_src")
+#: Spans that one time bucket of a trailing count holds.
+SPANS = 8
 
 
 def by_file(*more: str):
@@ -86,10 +88,14 @@ def trace_time_windows(df: DataFrame, span_us: int, stride_us: int, label: str =
 
 def trailing_id_count(df: DataFrame, span_us: int, name: str = "trailing") -> DataFrame:
     """Messages of the same id in [t - span, t] seen so far; of messages at one time only the earlier ones count."""
-    upto = Window.partitionBy("can_id").orderBy("ts_us").rangeBetween(-span_us, Window.currentRow)
-    peers = Window.partitionBy("can_id", "ts_us")
+    bucket = SPANS * max(span_us, 1)
+    at = lambda t: F.floor(t / bucket)
+    # a busy id is cut in buckets of time; rows of the last span of a bucket stand in the next one, too
+    placed = df.withColumn("_own", at(F.col("ts_us"))).withColumn("_b", F.explode(F.array_distinct(F.array("_own", at(F.col("ts_us") + span_us)))))
+    upto = Window.partitionBy("can_id", "_b").orderBy("ts_us").rangeBetween(-span_us, Window.currentRow)
+    peers = Window.partitionBy("can_id", "_b", "ts_us")
     later = F.count("*").over(peers) - F.row_number().over(peers.orderBy("idx_src"))
-    return df.withColumn(name, F.count("*").over(upto) - later)
+    return placed.withColumn(name, F.count("*").over(upto) - later).where("_b = _own").drop("_own", "_b")
 
 
 def ngrams(df: DataFrame, n: int, symbol: str, trace: str | None = "source_file", name: str = "gram") -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import evaluate as E
 from ..operators import windows as W
 from ..functions import scalars as S
 from ..registry import Registry
+from .q_sources import scratch
 
 R = Registry()
 HOUR = 3_600_000_000
@@ -258,7 +259,10 @@ def _(spark, sf):
 
 
 def count_items(spark, sf):
-    e = W.message_count_windows(W.row_index(f(spark, sf).withColumn("can_id", F.col("can_id") % 10)), 90, 45)
+    """Exploded windows, written once for all that read them, and their items."""
+    path = scratch(spark, "windows")
+    W.message_count_windows(W.row_index(f(spark, sf).withColumn("can_id", F.col("can_id") % 10)), 90, 45).write.parquet(path)
+    e = spark.read.parquet(path)
     return e, items(e)
 
 

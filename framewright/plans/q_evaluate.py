@@ -19,10 +19,10 @@ def typed(spark, sf):
 
 def scores(spark, sf):
     """Scores with ties, one slice per payload length, and attack labels."""
-    return typed(spark, sf).select("idx_src", "source_file", F.round("signal1").alias("score"), F.col("attack").alias("label"), "attack_type", "dlc", F.lit(1).alias("one"))
+    return typed(spark, sf).select("idx_src", "source_file", F.round("signal1").alias("score"), F.col("attack").alias("label"), "attack_type", "dlc", "can_id")
 
 
-SC = "WITH " + bridge.DUCK_TYPES + ", s AS (SELECT idx_src, source_file, round(signal1) AS score, attack AS label, attack_type, dlc FROM a)"
+SC = "WITH " + bridge.DUCK_TYPES + ", s AS (SELECT idx_src, source_file, round(signal1) AS score, attack AS label, attack_type, dlc, can_id FROM a)"
 
 
 def curve_sql(key: str) -> str:
@@ -133,9 +133,9 @@ def _(spark, sf):
     return rounded(E.confusion(predicted(spark, sf), ["source_file"]))
 
 
-@R.add("confusion_nullable", PRED.replace("FROM a)", "FROM a WHERE idx_src % 40 = 3)") + f" SELECT source_file, tp, fp, fn, tn, {rates(True)} FROM q")
+@R.add("confusion_nullable", PRED.replace("SELECT source_file, count(*) FILTER", "SELECT source_file, can_id, count(*) FILTER").replace("GROUP BY 1)", "GROUP BY 1, 2)") + f" SELECT source_file, can_id, tp, fp, fn, tn, {rates(True)} FROM q")
 def _(spark, sf):
-    return rounded(E.confusion(predicted(spark, sf).where("idx_src % 40 = 3"), ["source_file"], nullable=True))
+    return rounded(E.confusion(predicted(spark, sf), ["source_file", "can_id"], nullable=True))
 
 
 @R.add("confusion_rates", PRED + " SELECT source_file, round(tp / (tp + fn), 9) AS hit, round(fp / (fp + tn), 9) AS false_alarm, round(fn / (tp + fn), 9) AS miss, round(tn / (fp + tn), 9) AS correct_reject FROM q")
@@ -157,9 +157,10 @@ def bundle(key: str) -> str:
     """Thresholds of six rules and their confusion counts per slice."""
     pick = lambda rule, value: f"SELECT * FROM (SELECT k, '{rule}' AS rule, threshold FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY {value}, threshold DESC) = 1)"
     rules = " UNION ALL ".join([pick("youden", "tpr - fpr DESC"), pick("best_f1", "f1 DESC"), *(pick(f"fpr_{t}", f"abs(fpr - {t})") for t in (0.001, 0.01, 0.05)), f"SELECT {key}, 'three_sigma', avg(score) FILTER (label = 0) + 3 * stddev_pop(score) FILTER (label = 0) FROM s GROUP BY 1"])
-    return curve_sql(key) + f""", t AS ({rules}), z AS (SELECT k, round({AUC}, 9) AS auc FROM {LAGGED} GROUP BY k)
-SELECT t.k AS slice, rule, round(threshold, 6) AS threshold, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label = 0) AS fp, count(*) FILTER (score < threshold AND label = 1) AS fn, count(*) FILTER (score < threshold AND label = 0) AS tn, any_value(auc) AS auc
-FROM s JOIN t ON t.k = {key} JOIN z ON z.k = t.k GROUP BY t.k, rule, threshold"""
+    return curve_sql(key) + f""", t AS ({rules}), sz AS (SELECT {key} AS k, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_attack FROM s GROUP BY 1), c2 AS (SELECT * FROM sz WHERE n_attack NOT IN (0, n)), z AS (SELECT k, round({AUC}, 9) AS auc FROM {LAGGED} GROUP BY k)
+SELECT t.k AS slice, rule, round(threshold, 6) AS threshold, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label = 0) AS fp, count(*) FILTER (score < threshold AND label = 1) AS fn, count(*) FILTER (score < threshold AND label = 0) AS tn, any_value(auc) AS auc, any_value(c2.n) AS n, any_value(c2.n_attack) AS n_attack, NULL AS note
+FROM s JOIN t ON t.k = {key} JOIN z ON z.k = t.k JOIN c2 ON c2.k = t.k GROUP BY t.k, rule, threshold
+UNION ALL SELECT k, NULL, NULL, NULL, NULL, NULL, NULL, NULL, n, n_attack, CASE WHEN n_attack = 0 THEN 'benign only' ELSE 'attack only' END FROM sz WHERE n_attack IN (0, n)"""
 
 
 def bundled(df, keys):
@@ -172,9 +173,10 @@ def _(spark, sf):
     return bundled(scores(spark, sf), ["dlc"]).withColumnRenamed("dlc", "slice")
 
 
-@R.add("evaluate_files", SC + bundle("source_file"))
+@R.add("evaluate_files", SC + bundle("source_file || '/' || can_id"))
 def _(spark, sf):
-    return bundled(scores(spark, sf), ["source_file"]).withColumnRenamed("source_file", "slice")
+    """Each id of each file: many of these slices have one class."""
+    return bundled(scores(spark, sf).withColumn("slice", F.concat_ws("/", "source_file", F.col("can_id").cast("string"))), ["slice"])
 
 
 @R.add("evaluate_per_attack", SC.replace(", s AS (", ", s0 AS (") + ", s AS (SELECT score, label, attack_type AS dlc FROM s0 WHERE label = 1 UNION ALL SELECT score, label, t FROM s0, (SELECT DISTINCT attack_type AS t FROM s0 WHERE label = 1) WHERE label = 0)" + bundle("dlc"))
@@ -187,9 +189,9 @@ def _(spark, sf):
     return E.confusion(predicted(spark, sf), ["source_file"]).select("source_file", "tp", "fp", "fn", "tn")
 
 
-@R.add("single_class_report", SC + " SELECT source_file, dlc, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_attack, CASE WHEN sum(label) = 0 THEN 'benign only' WHEN sum(label) = count(*) THEN 'attack only' END AS note FROM s WHERE idx_src % 20 = 3 GROUP BY ALL")
+@R.add("single_class_report", SC + " SELECT source_file, can_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_attack, CASE WHEN sum(label) = 0 THEN 'benign only' WHEN sum(label) = count(*) THEN 'attack only' END AS note FROM s GROUP BY ALL")
 def _(spark, sf):
-    return E.single_class_report(scores(spark, sf).where("idx_src % 20 = 3"), ["source_file", "dlc"])
+    return E.single_class_report(scores(spark, sf), ["source_file", "can_id"])
 
 
 @R.add("score_contract", SC + " SELECT count(*) FILTER (NOT isfinite(score)) AS not_finite, count(*) FILTER (label NOT IN (0, 1)) AS bad_label, count(*) FILTER (score NOT IN (0, 1)) AS not_binary FROM s")
@@ -224,12 +226,12 @@ def _(spark, sf):
 
 @R.add("roc_downsample", CURVE + ", p AS (SELECT threshold, row_number() OVER (ORDER BY threshold DESC) - 1 AS nth, count(*) OVER () AS n FROM r) SELECT threshold FROM p WHERE nth % greatest(1, CAST(ceil(n / 20.0) AS BIGINT)) = 0")
 def _(spark, sf):
-    return E.stride_sample(E.curve(scores(spark, sf)), F.desc("threshold"), 20).select("threshold")
+    return E.stride_sample(E.curve(scores(spark, sf)), -F.col("threshold"), 20).select("threshold")
 
 
 @R.add("downsample_linspace", CURVE + ", p AS (SELECT threshold, row_number() OVER (ORDER BY threshold DESC) - 1 AS nth, count(*) OVER () AS n FROM r) SELECT threshold FROM p WHERE nth IN (SELECT CAST(floor(i * (n - 1) / 9.0) AS BIGINT) FROM range(10) t(i), (SELECT count(*) AS n FROM r))")
 def _(spark, sf):
-    return E.linspace_sample(E.curve(scores(spark, sf)), F.desc("threshold"), 10).select("threshold")
+    return E.linspace_sample(E.curve(scores(spark, sf)), -F.col("threshold"), 10).select("threshold")
 
 
 @R.add("downsample_stride", "WITH " + bridge.DUCK + ", p AS (SELECT idx_src, row_number() OVER (PARTITION BY source_file ORDER BY ts_us, idx_src) - 1 AS nth, count(*) OVER (PARTITION BY source_file) AS n FROM f) SELECT idx_src FROM p WHERE nth % greatest(1, CAST(ceil(n / 50.0) AS BIGINT)) = 0")

@@ -20,7 +20,11 @@ TS = "CAST(ts_us AS DECIMAL(20,6)) / 1000000"
 
 def scratch(spark, what):
     """A new folder in the shared folder of the cluster; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.mkdtemp(prefix="spark-"))
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -142,9 +146,9 @@ def _(spark, sf):
     return found.select(F.regexp_extract("source_file", "day_(.*)_masquerade", 1).alias("source_file"), "injected_id", "start_s", "end_s")
 
 
-@R.add("scan_attack_markers", WITH + "SELECT can_id, min(dlc)::DOUBLE AS start_s, CASE WHEN can_id % 3 = 0 THEN 'inf'::DOUBLE ELSE max(dlc) + 1.0 END AS end_s FROM f WHERE can_id < 20 GROUP BY can_id")
+@R.add("scan_attack_markers", WITH + "SELECT can_id, min(dlc)::DOUBLE AS start_s, CASE WHEN can_id % 3 = 0 THEN 'inf'::DOUBLE ELSE max(dlc) + 1.0 END AS end_s FROM f GROUP BY can_id")
 def _(spark, sf):
-    d = f(spark, sf).where("can_id < 20").groupBy("can_id").agg(F.min("dlc").cast("double").alias("a"), (F.max("dlc") + 1.0).alias("b"))
+    d = f(spark, sf).groupBy("can_id").agg(F.min("dlc").cast("double").alias("a"), (F.max("dlc") + 1.0).alias("b"))
     m = lambda what, at: F.struct(F.lit(what).alias("description"), F.col(at).alias("time"), hexid().alias("packet_ID"))
     marks = d.select(F.explode(F.array(m("Start of the attack", "a"), F.when(F.col("can_id") % 3 != 0, m("End of the attack", "b")))).alias("m")).where("m IS NOT NULL")
     path = scratch(spark, "markers")
@@ -167,10 +171,10 @@ def _(spark, sf):
     return I.concat_time_offset(rebase_time(f(spark, sf))).select("idx_src", "ts_us")
 
 
-@R.add("scan_signal_mask", WITH + "SELECT can_id, dlc AS index, dlc * 4 AS start, dlc * 4 + 8 AS stop FROM f WHERE can_id < 30 GROUP BY ALL")
+@R.add("scan_signal_mask", WITH + "SELECT can_id, dlc AS index, dlc * 4 AS start, dlc * 4 + 8 AS stop FROM f GROUP BY ALL")
 def _(spark, sf):
     path = scratch(spark, "mask")
-    f(spark, sf).where("can_id < 30").select(F.concat(F.lit("0x"), hexid()).alias("id"), F.col("dlc").alias("index"), (F.col("dlc") * 4).alias("start"), (F.col("dlc") * 4 + 8).alias("stop")).distinct().write.csv(path, header=True)
+    f(spark, sf).select(F.concat(F.lit("0x"), hexid()).alias("id"), F.col("dlc").alias("index"), (F.col("dlc") * 4).alias("start"), (F.col("dlc") * 4 + 8).alias("stop")).distinct().write.csv(path, header=True)
     return I.read_signal_mask(spark, path)
 
 
@@ -225,29 +229,32 @@ def _(spark, sf):
     return O.metrics_json(O.metrics_long(wide_metrics(spark, sf), ["source_file"], ["n", "attacks"]), ["source_file"])
 
 
-@R.add("scan_zip_csv")
-def _(spark, sf):
-    """Bridge rows zipped by executors as binary files, and read again."""
-    import io
-    import zipfile
+#: Rows of a file that go to one archive.
+ZIP_ROWS = 1_000_000
+
 
-    rows = f(spark, sf).where("source_file < '2024-01-04'").select("source_file", F.concat_ws(",", "idx_src", "can_id", "label").alias("line"))
-    packed = rows.groupBy("source_file").agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
+@R.add("scan_zip_csv", WITH + "SELECT source_file, idx_src, can_id, label FROM f")
+def _(spark, sf):
+    """Bridge rows zipped by executors, an archive for each file and block of rows, and read again."""
     path = scratch(spark, "zips")
-    # a handful of small files: written by the driver to the shared folder through Spark's file system
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(fs_path)
-    for r in packed.collect():
+
+    def zipped(key, rows):
+        import io
+        import zipfile
+
+        from pyarrow import fs
+
         held = io.BytesIO()
-        with zipfile.ZipFile(held, "w") as z:
-            z.writestr("trace.csv", r.body)
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{r.source_file}.zip"))
-        out.write(bytearray(held.getvalue()))
-        out.close()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("trace.csv", "\n".join(rows["line"].to_pylist()))
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder)
+        with system.open_output_stream(f"{folder}/{key[0].as_py()}_{key[1].as_py()}.zip") as out:
+            out.write(held.getvalue())
+        return rows.slice(0, 1).select(["line"])
+
+    rows = f(spark, sf).select("source_file", F.floor(F.col("idx_src") / ZIP_ROWS).alias("block"), F.concat_ws(",", "idx_src", "can_id", "label").alias("line"))
+    rows.groupBy("source_file", "block").applyInArrow(zipped, "line string").count()
     lines = I.read_zip_lines(spark, f"{path}/*.zip")
     parts = F.split("line", ",")
-    return lines.select("source_file", parts[0].cast("bigint").alias("idx_src"), parts[1].cast("bigint").alias("can_id"), parts[2].cast("int").alias("label"))
-
-
-R.sql["scan_zip_csv"] = WITH + "SELECT source_file, idx_src, can_id, label FROM f WHERE source_file < '2024-01-04'"
+    return lines.select(F.regexp_replace("source_file", "_[0-9]+$", "").alias("source_file"), parts[0].cast("bigint").alias("idx_src"), parts[1].cast("bigint").alias("can_id"), parts[2].cast("int").alias("label"))

@@ -185,15 +185,15 @@ def binned(spark, sf):
     return df.crossJoin(F.broadcast(df.agg(F.min("ts_us").alias("t0")))).withColumn("window_no", F.floor((F.col("ts_us") - F.col("t0")) / (6 * HOUR)))
 
 
-@R.add("window_label_any", TYPED + BINS + "SELECT window_no, max(attack) AS label_window, round(avg(attack), 6) AS frac_attack FROM b WHERE dlc = 3 GROUP BY 1")
+@R.add("window_label_any", TYPED + BINS + "SELECT window_no, max(attack) AS label_window, round(avg(attack), 6) AS frac_attack FROM b GROUP BY 1")
 def _(spark, sf):
-    s = W.window_summary(binned(spark, sf).where("dlc = 3"), "window_no", label="attack")
+    s = W.window_summary(binned(spark, sf), "window_no", label="attack")
     return r9(s.select("window_no", "label_window", "frac_attack"), "frac_attack")
 
 
-@R.add("window_attack_type", TYPED + BINS + "SELECT window_no, coalesce(min(attack_type) FILTER (label = 1), 'benign') AS attack_type FROM b WHERE dlc = 3 GROUP BY 1")
+@R.add("window_attack_type", TYPED + BINS + "SELECT window_no, coalesce(min(attack_type) FILTER (label = 1), 'benign') AS attack_type FROM b GROUP BY 1")
 def _(spark, sf):
-    return T.window_attack_type(binned(spark, sf).where("dlc = 3"), "window_no")
+    return T.window_attack_type(binned(spark, sf), "window_no")
 
 
 @R.add("window_mode_attack_type", TYPED + BINS + "SELECT window_no, scenario AS attack_type FROM (SELECT window_no, scenario, count(*) AS n FROM b GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY window_no ORDER BY n DESC, scenario) = 1")

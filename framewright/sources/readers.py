@@ -110,7 +110,7 @@ def read_signal_csv_wide(spark: SparkSession, paths: str | list[str]) -> DataFra
 
 
 def read_zip_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of the first CSV file in each zip archive, in their order."""
+    """Lines of the first CSV file in each zip archive, in their order; an archive (below 2 GB) is one row, its lines stream."""
 
     def run(batches: Iterator) -> Iterator:
         import io
@@ -151,9 +151,9 @@ def match_captures(files: DataFrame, captures: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     base = F.regexp_replace("source_file", "_masquerade$", "")
-    low = F.lower(F.col("capture"))
-    found = files.join(captures, (low == F.lower(F.col("source_file"))) | (low == F.lower(base)), "left")
-    rank = F.when(F.col("capture") == F.col("source_file"), 0).when(F.col("capture") == base, 1).otherwise(2)
+    names = files.withColumn("_k", F.explode(F.array_distinct(F.array(F.lower("source_file"), F.lower(base)))))
+    found = names.join(captures.withColumn("_k", F.lower("capture")), "_k", "left").drop("_k")
+    rank = F.when(F.col("capture") == F.col("source_file"), 0).when(F.col("capture") == base, 1).when(F.col("capture").isNotNull(), 2).otherwise(3)
     return found.withColumn("_r", F.row_number().over(Window.partitionBy("source_file").orderBy(rank, "capture"))).where("_r = 1").drop("_r")
 
 

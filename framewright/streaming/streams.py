@@ -46,7 +46,7 @@ def dedup(df: DataFrame, keys: list[str], delay: str) -> DataFrame:
 
 def enrich(df: DataFrame, intervals: DataFrame) -> DataFrame:
     """Stream-static labelling: one interval a file, a small dimension."""
-    out = df.drop("label").join(F.broadcast(intervals), "source_file", "left")
+    out = df.drop("label").join(intervals, "source_file", "left")
     return out.withColumn("label", F.coalesce(F.col("ts_us").between(F.col("start_us"), F.col("end_us")).cast("int"), F.lit(0))).drop("start_us", "end_us")
 
 

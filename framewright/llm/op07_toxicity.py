@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import ALNUM, LOWER, Rolling, flat, hash_words, pieces, table, text_col, words, written
 
@@ -301,7 +302,9 @@ def keep_clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scored(batch, at, grammar) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    # numbered names, since a user's may hold dots
+    plain = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)])
+    return docs.toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,17 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task turns into numpy arrays at once (single longer texts come alone).
 PIECE_BYTES = 1 << 19
 
-# Python workers outlive their tasks: arrays of a megabyte or more go back to the system as soon as they are
-# freed, instead of staying in the worker (glibc only; elsewhere nothing changes).
-with contextlib.suppress(OSError, AttributeError):
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+def return_arrays() -> None:
+    """Lets this worker give arrays of a megabyte or more back to the system as soon as they are freed.
+
+    Python workers outlive their tasks, and those of a pipeline run one stage after the other; what a stage
+    has freed is not held beside the next.  It costs page faults, so only operators with few large arrays
+    call it.  Without glibc nothing changes.
+    """
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
 
 _P1 = 0x9E3779B97F4A7C15
 _P2 = 0xD1342543DE82EF95

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, expand, flat, pieces, table, text_col, written
+from .common import Rolling, expand, flat, pieces, return_arrays, table, text_col, written
 
 CAPACITY, END_ID = 4096, 1
 #: Words that a Python worker remembers with their ids.
@@ -162,6 +162,7 @@ _codecs: dict[str, WordCodec] = {}
 
 def codec_of(path: str) -> WordCodec:
     """The codec of this Python worker; its memory of words outlives a task."""
+    return_arrays()
     if path not in _codecs:
         _codecs[path] = WordCodec(path)
     return _codecs[path]

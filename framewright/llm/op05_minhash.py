@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _P2, LOWER, NONSPACE, Rolling, expand, flat, mix, pieces, small_side, table, text_col, words, written
+from .common import _P2, LOWER, NONSPACE, Rolling, expand, flat, mix, pieces, return_arrays, small_side, table, text_col, words, written
 
 SHINGLE, NUM, DEN = 4, 80, 100
 KEEP, SHARED, LIST_ROWS = 64, 28, 48
@@ -45,6 +45,7 @@ BUCKET_SHINGLES, GROUP_SHINGLES = 400_000, 1_500_000
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of a piece, by row and hash."""
+    return_arrays()
     _, _, h, rows = words(LOWER[buf], offs, NONSPACE)
     n = np.diff(rows)
     many = np.where(n >= size, n - size + 1, np.minimum(n, 1))

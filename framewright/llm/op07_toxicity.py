@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import ALNUM, LOWER, Rolling, flat, hash_words, pieces, table, text_col, words, written
+from .common import ALNUM, LOWER, Rolling, flat, hash_words, pieces, return_arrays, table, text_col, words, written
 
 FOLDS, SAMPLE = 5, 8000
 #: Bytes of word beginnings that may become lexicon entries, besides whole words (0).
@@ -155,6 +155,7 @@ class Grammar:
 
     def events(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weighted event counts of each row of a piece, and its number of words."""
+        return_arrays()
         low = LOWER[buf]
         starts, ends, hashes, rows = words(low, offs, ALNUM)
         out = np.zeros((len(offs) - 1, EVENTS))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _P1, _P2, ALNUM, LOWER, expand, flat, mix, pieces, small_side, table, text_col, words, written
+from .common import _P1, _P2, ALNUM, LOWER, expand, flat, mix, pieces, return_arrays, small_side, table, text_col, words, written
 
 WINDOW = 10
 #: Distinct shingles that go to the tasks at once (eight bytes each).
@@ -66,6 +66,7 @@ class TokenSet:
     """Shingle hashes to look others up in: a bit table drops most, the sorted hashes decide."""
 
     def __init__(self, tokens: np.ndarray):
+        return_arrays()
         self.sorted = np.sort(tokens.view(np.uint64))
         bits = int(np.clip(np.ceil(np.log2(max(len(tokens), 1) * 32)), 12, 27))
         self.shift = np.uint64(64 - bits)

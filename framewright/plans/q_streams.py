@@ -72,14 +72,18 @@ def _(spark, sf):
 
 @R.add("stream_ngram_score", WITH + ", g AS (SELECT idx_src, CASE WHEN row_number() OVER w >= 3 THEN concat_ws(' ', lag(can_id % 12, 2) OVER w, lag(can_id % 12) OVER w, can_id % 12) END AS gram, source_file FROM f WINDOW w AS (PARTITION BY source_file ORDER BY ts_us, idx_src)) SELECT idx_src, CASE WHEN gram IS NULL OR gram IN (SELECT gram FROM g WHERE source_file < '" + bridge.TRAIN_BEFORE + "' AND gram IS NOT NULL) THEN 0 ELSE 1 END AS score FROM g WHERE source_file >= '" + bridge.TRAIN_BEFORE + "'")
 def _(spark, sf):
-    """Grams roll in state on the stream; the model of the earlier days joins afterwards."""
+    """Grams roll in state and are scored on the stream; the model is a table of the earlier days."""
     from ..operators.detect import ngram_fit
 
-    grams = in_two_runs(spark, sf, X.rolling_grams, ["source_file", "idx_src", "ts_us", "symbol"])
-    grams = grams.join(bridge.frames(spark, sf).where(f"source_file >= '{bridge.TRAIN_BEFORE}'").select("idx_src"), "idx_src", "left_semi")
     train = bridge.frames(spark, sf).where(f"source_file < '{bridge.TRAIN_BEFORE}'").withColumn("symbol", F.col("can_id") % 12)
-    model = ngram_fit(train, 3, "symbol").select(F.array_join("gram", " ").alias("gram"), F.lit(1).alias("seen"))
-    return grams.join(model, "gram", "left").select("idx_src", F.when(F.col("gram").isNull() | F.col("seen").isNotNull(), 0).otherwise(1).alias("score"))
+    path = scratch(spark, "model")
+    ngram_fit(train, 3, "symbol").select(F.array_join("gram", " ").alias("gram")).write.parquet(path)
+    model = spark.read.schema("gram string").parquet(path)
+
+    def verb(df):
+        return X.score_grams(X.rolling_grams(df).where(f"source_file >= '{bridge.TRAIN_BEFORE}'"), model).select("idx_src", "score")
+
+    return in_two_runs(spark, sf, verb, ["source_file", "idx_src", "ts_us", "symbol"])
 
 
 @R.add("stream_trailing_freq", WITH + f"SELECT idx_src, count(*) OVER (PARTITION BY can_id ORDER BY ts_us RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW) AS trailing FROM f")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,12 +62,14 @@ class RollingGrams(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
         held = list(self.last.get()[0]) if self.last.exists() else []
         batch = pd.concat(list(rows)).sort_values(["ts_us", "idx_src"])
-        grams = []
-        for s in batch["symbol"].tolist():
-            held = [*held, int(s)][-self.n :]
-            grams.append(" ".join(map(str, held)) if len(held) == self.n else None)
-        self.last.update((held[-(self.n - 1) :],))
-        yield pd.DataFrame({"source_file": key[0], "idx_src": batch["idx_src"].to_numpy(), "gram": grams})
+        symbols = np.concatenate([np.asarray(held, np.int64), batch["symbol"].to_numpy(np.int64)])
+        text = pd.Series(symbols).astype(str).astype(object)
+        gram = text
+        for k in range(1, self.n):
+            gram = text.shift(k) + " " + gram  # null as long as a symbol is missing
+        gram = gram.where(gram.notna(), None).iloc[len(held) :]
+        self.last.update((symbols[max(0, len(symbols) - self.n + 1) :].tolist(),))
+        yield pd.DataFrame({"source_file": key[0], "idx_src": batch["idx_src"].to_numpy(), "gram": gram.to_numpy()})
 
     def close(self) -> None:
         pass
@@ -77,6 +80,12 @@ def rolling_grams(df: DataFrame) -> DataFrame:
     return df.groupBy("source_file").transformWithStateInPandas(RollingGrams(), outputStructType="source_file string, idx_src bigint, gram string", outputMode="Append", timeMode="None")
 
 
+def score_grams(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """1 for an n-gram of a stream that the model, a table of known ``gram``s, does not hold; 0 for known and unfinished ones."""
+    known = model.select("gram", F.lit(1).alias("_seen"))
+    return grams.join(known, "gram", "left").withColumn("score", F.when(F.col("gram").isNull() | F.col("_seen").isNotNull(), 0).otherwise(1)).drop("_seen")
+
+
 class TrailingCounts(StatefulProcessor):
     """Times of an id's messages within a span, oldest first; emits how many lie in [t - span, t]."""
 
@@ -88,16 +97,11 @@ class TrailingCounts(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
         held = list(self.times.get()[0]) if self.times.exists() else []
         batch = pd.concat(list(rows)).sort_values(["ts_us", "idx_src"])
-        counts = []
-        for t in batch["ts_us"].tolist():
-            held.append(t)
-            first = 0
-            while held[first] < t - self.span_us:
-                first += 1
-            held = held[first:]
-            counts.append(len(held))
-        self.times.update((held,))
-        yield pd.DataFrame({"idx_src": batch["idx_src"].to_numpy(), "trailing": counts})
+        t = np.concatenate([np.asarray(held, np.int64), batch["ts_us"].to_numpy(np.int64)])
+        first = np.searchsorted(t, t - self.span_us)
+        counts = np.arange(1, len(t) + 1) - first
+        self.times.update((t[first[-1] :].tolist(),))
+        yield pd.DataFrame({"idx_src": batch["idx_src"].to_numpy(), "trailing": counts[len(held) :]})
 
     def close(self) -> None:
         pass

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import BYTES
 from . import windows as W
+from .blocks import carried, with_start
 
 
 def rebase_time(df: DataFrame) -> DataFrame:
     """Times of each file from its first row."""
-    return df.withColumn("ts_us", F.col("ts_us") - F.first("ts_us").over(W.by_file()))
+    return with_start(df).withColumn("ts_us", F.col("ts_us") - F.col("_t0")).drop("_t0")
 
 
 def null_benign_attack_type(df: DataFrame) -> DataFrame:
@@ -70,22 +71,21 @@ def exclude_prefixes(df: DataFrame, prefixes: list[str], column: str = "source_f
 
 def fill(df: DataFrame, columns: list[str]) -> DataFrame:
     """Forward, then backward fill within each file; rows with nothing to fill from go."""
-    before = W.by_file().rowsBetween(Window.unboundedPreceding, 0)
-    after = W.by_file().rowsBetween(0, Window.unboundedFollowing)
-    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) for c in columns}
-    return df.withColumns(filled).dropna(subset=columns)
+    same = {c: F.col(c) for c in columns}
+    return carried(carried(df, same), same, back=True).dropna(subset=columns)
 
 
 def time_slice(df: DataFrame, start: float, end: float, relative: bool = False) -> DataFrame:
     """Messages of [start, end] microseconds, from the file's first message if relative."""
-    at = F.col("ts_us") - F.min("ts_us").over(Window.partitionBy("source_file")) if relative else F.col("ts_us")
-    return df.withColumn("_at", at).where(F.col("_at").between(start, end)).drop("_at")
+    if not relative:
+        return df.where(F.col("ts_us").between(start, end))
+    return with_start(df).where((F.col("ts_us") - F.col("_t0")).between(start, end)).drop("_t0")
 
 
 def signals_wide(df: DataFrame, ids: list[int], value: str = "signal1") -> DataFrame:
     """One forward-filled column per id at each message of a file."""
-    upto = W.by_file().rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("source_file", "ts_us", "idx_src", *(F.last(F.when(F.col("can_id") == i, F.col(value)), ignorenulls=True).over(upto).alias(f"Sig_1_of_ID_{i}") for i in ids))
+    wide = {f"Sig_1_of_ID_{i}": F.when(F.col("can_id") == i, F.col(value)) for i in ids}
+    return carried(df.select("source_file", "ts_us", "idx_src", "can_id", value), wide).select("source_file", "ts_us", "idx_src", *wide)
 
 
 def limit_files(df: DataFrame, n: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows as W
+from .blocks import carried, last_values, with_start
 
 # n-grams ----------------------------------------------------------------------
 
@@ -30,8 +31,7 @@ def ngram_sweep(train: DataFrame, test: DataFrame, sizes: list[int], symbol: str
     """Confusion counts for every n in one job: grams of all sizes in one (n, gram) table."""
 
     def every(df: DataFrame) -> DataFrame:
-        w = Window.partitionBy("source_file").orderBy(*W.ORDER)
-        whole = df.withColumn("_g", F.collect_list(symbol).over(w.rowsBetween(-(max(sizes) - 1), 0)))
+        whole = last_values(df, max(sizes), F.col(symbol), name="_g")
         return whole.withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).withColumn("gram", F.when(F.size("_g") >= F.col("n"), F.slice("_g", -F.col("n"), F.col("n")))).drop("_g")
 
     model = every(train).where("gram IS NOT NULL").select("n", "gram").distinct().withColumn("_seen", F.lit(True))
@@ -240,16 +240,14 @@ def asof_align(df: DataFrame, values: dict[int, int], cutoff_us: int = 0) -> Dat
     mine = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
     rows = df.where(F.col("can_id").isin(*values)).withColumn("_n", F.try_element_at(mine, F.col("can_id").cast("int")))
     longest = max(values.values())
-    q = F.collect_list("signal1").over(W.by_file("can_id").rowsBetween(-(longest - 1), 0))
-    rows = rows.withColumn("_q", F.slice(q, -F.least(F.col("_n"), F.size(q)), F.least(F.col("_n"), F.size(q))))
-    upto = W.by_file().rowsBetween(Window.unboundedPreceding, 0)
-    for k, n in values.items():
-        rows = rows.withColumn(f"seq_{k}", F.last(F.when((F.col("can_id") == k) & (F.size("_q") == n), F.col("_q")), ignorenulls=True).over(upto))
-    t0 = F.min("ts_us").over(Window.partitionBy("source_file"))
+    q = F.filter("_q", lambda x: x.isNotNull())
+    rows = last_values(rows, longest, F.col("signal1"), ("source_file", "can_id"), "_q").withColumn("_q", q)
+    rows = rows.withColumn("_q", F.slice("_q", -F.least(F.col("_n"), F.size("_q")), F.least(F.col("_n"), F.size("_q"))))
+    rows = carried(rows, {f"seq_{k}": F.when((F.col("can_id") == k) & (F.size("_q") == n), F.col("_q")) for k, n in values.items()})
     ready = F.col("ts_us") > F.col("_t0") + cutoff_us
     for k in values:
         ready = ready & F.col(f"seq_{k}").isNotNull()
-    return rows.withColumn("_t0", t0).where(ready).drop("_q", "_n", "_t0")
+    return with_start(rows).where(ready).drop("_q", "_n", "_t0")
 
 
 def pca_residual(train: DataFrame, test: DataFrame, features: str, k: int) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import place
 
 #: Ranges of scores whose running sums are formed apart and joined by their totals.
 RANGES = 1024
@@ -217,32 +218,32 @@ def macro_average(metrics: DataFrame, values: list[str], two_class: str) -> Data
     return metrics.agg(*(F.avg(v).alias(f"{v}_all") for v in values), *(F.avg(F.when(F.col(two_class), F.col(v))).alias(f"{v}_two_class") for v in values))
 
 
-def placed(df: DataFrame, order: Column, keys: list[str] | None = None) -> DataFrame:
+def placed(df: DataFrame, order: Column | None, keys: list[str] | None = None) -> DataFrame:
     """Each row's place (_nth, from 0) in the order and the number of rows (_n), by slice or over all rows.
 
-    Over all rows the order must be a number: rows are ranked in ``RANGES`` ranges of
-    it, and the ranges' sizes are summed, so that no task orders the whole.
+    The order is a number (nulls first), or None for that of the messages.  Rows are ranked
+    in ``RANGES`` ranges of it, whose sizes are summed, so that no task orders a whole slice.
     """
-    if keys:
-        part = Window.partitionBy(*keys)
-        return df.withColumn("_n", F.count("*").over(part)).withColumn("_nth", F.row_number().over(part.orderBy(order)) - 1)
-    rows = df.withColumn("_o", order.cast("double"))
-    bounds = rows.agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
+    if order is None:
+        return place(df, tuple(keys or ()), total="_n")
+    rows = df.withColumns({"_k": F.struct(*keys) if keys else F.struct(F.lit(0)), "_o": order.cast("double")})
+    bounds = rows.groupBy("_k").agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))  # one row a slice
     at = (F.col("_o") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300)) * (RANGES - 1)
-    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("_r", F.floor(at).cast("int")).drop("_lo", "_hi")
-    sizes = rows.groupBy("_r").agg(F.count("*").alias("_c"))  # at most RANGES rows
-    everything = Window.partitionBy(F.lit(0))
-    sizes = sizes.select("_r", F.sum("_c").over(everything).alias("_n"), F.coalesce(F.sum("_c").over(everything.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return rows.join(F.broadcast(sizes), "_r").withColumn("_nth", F.col("_b") + F.row_number().over(Window.partitionBy("_r").orderBy("_o")) - 1).drop("_o", "_r", "_b")
+    rows = rows.join(bounds, "_k").withColumn("_r", F.coalesce(F.floor(at).cast("int"), F.lit(-1))).drop("_lo", "_hi")
+    by_slice = Window.partitionBy("_k")
+    before = F.coalesce(F.sum("_c").over(by_slice.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("_k", "_r").agg(F.count("*").alias("_c")).select("_k", "_r", F.sum("_c").over(by_slice).alias("_n"), before.alias("_b"))
+    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_k", "_r").orderBy("_o")) - 1).join(sizes, ["_k", "_r"])
+    return ranked.withColumn("_nth", F.col("_b") + F.col("_i")).drop("_k", "_o", "_r", "_b", "_i")
 
 
-def stride_sample(df: DataFrame, order: Column, most: int, keys: list[str] | None = None) -> DataFrame:
+def stride_sample(df: DataFrame, order: Column | None, most: int, keys: list[str] | None = None) -> DataFrame:
     """Every k-th row of the order, k = ceil(n / most)."""
     k = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
     return placed(df, order, keys).where(F.col("_nth") % k == 0).drop("_n", "_nth")
 
 
-def linspace_sample(df: DataFrame, order: Column, n: int, keys: list[str] | None = None) -> DataFrame:
+def linspace_sample(df: DataFrame, order: Column | None, n: int, keys: list[str] | None = None) -> DataFrame:
     """The rows at places floor(i (N - 1) / (n - 1)), i = 0 .. n - 1."""
     rows = placed(df, order, keys)
     # the row at place r is chosen if some i has floor(i (N - 1) / (n - 1)) = r

@@ -10,19 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = ("ts_us", "idx_src")
+from .blocks import last_values, place
+
 #: Spans that one time bucket of a trailing count holds.
 SPANS = 8
 
 
-def by_file(*more: str):
-    return Window.partitionBy("source_file", *more).orderBy(*ORDER)
-
-
 def inter_arrival(df: DataFrame, per_id: bool = False, name: str = "inter_arrival_us") -> DataFrame:
     """Time since the previous message of the file (or of the id in the file); the first one has 0."""
-    w = by_file("can_id") if per_id else by_file()
-    return df.withColumn(name, F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w), F.lit(0)))
+    pair = last_values(df, 2, F.col("ts_us"), ("source_file", "can_id") if per_id else ("source_file",), "_pair")
+    return pair.withColumn(name, F.coalesce(F.when(F.size("_pair") == 2, F.col("ts_us") - F.col("_pair")[0]), F.lit(0))).drop("_pair")
 
 
 def row_index(df: DataFrame, name: str = "row") -> DataFrame:
@@ -30,7 +27,7 @@ def row_index(df: DataFrame, name: str = "row") -> DataFrame:
     sizes = df.groupBy("source_file").agg(F.count("*").alias("n"))
     # one row a file
     begin = sizes.select("source_file", F.coalesce(F.sum("n").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    return df.withColumn("_nth", F.row_number().over(by_file()) - 1).join(begin, "source_file").withColumn(name, F.col("begin") + F.col("_nth")).drop("_nth", "begin")
+    return place(df).join(begin, "source_file").withColumn(name, F.col("begin") + F.col("_nth")).drop("_nth", "begin")
 
 
 def _explode_windows(df: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -100,30 +97,27 @@ def trailing_id_count(df: DataFrame, span_us: int, name: str = "trailing") -> Da
 
 def ngrams(df: DataFrame, n: int, symbol: str, trace: str | None = "source_file", name: str = "gram") -> DataFrame:
     """The last n symbols ending at each message of a trace; null for the first n - 1."""
-    w = (Window.partitionBy(trace) if trace else Window.partitionBy(F.lit(0))).orderBy(*ORDER)
-    parts = [F.col(symbol) if k == 0 else F.lag(symbol, k).over(w) for k in range(n - 1, -1, -1)]
-    return df.withColumn(name, F.when(F.row_number().over(w) >= n, F.array(*parts)))
+    return last_values(df, n, F.col(symbol), (trace,) if trace else (), name).withColumn(name, F.when(F.size(name) == n, F.col(name)))
 
 
 def sequence_windows(df: DataFrame, steps: int, values: list[str], name: str = "sequence") -> DataFrame:
     """The last ``steps`` value rows of each id in its file, for messages that have so many."""
-    w = by_file("can_id").rowsBetween(-(steps - 1), 0)
-    return df.withColumn(name, F.collect_list(F.array(*(F.col(v).cast("double") for v in values))).over(w)).where(F.size(name) == steps)
+    return last_values(df, steps, F.array(*(F.col(v).cast("double") for v in values)), ("source_file", "can_id"), name).where(F.size(name) == steps)
 
 
 def image_windows(df: DataFrame, steps: int, period: int, step: int, values: list[str], label: str = "label") -> DataFrame:
     """Every ``step`` rows: ``steps`` samples ``period`` rows apart, and whether any row of the span is labelled."""
     span = period * (steps - 1)
-    w = by_file()
-    samples = F.array(*(F.lag(F.array(*(F.col(v).cast("double") for v in values)), period * k).over(w) for k in range(steps - 1, -1, -1)))
-    out = df.select("source_file", "ts_us", "idx_src", (F.row_number().over(w) - 1).alias("nth"), samples.alias("image"), F.max(label).over(w.rowsBetween(-span, 0)).alias("label_window"))
-    return out.where((F.col("nth") >= span) & ((F.col("nth") - span) % step == 0))
+    row = F.struct(F.array(*(F.col(v).cast("double") for v in values)).alias("x"), F.col(label).alias("y"))
+    out = place(last_values(df, span + 1, row, name="_span"), name="nth").where((F.col("nth") >= span) & ((F.col("nth") - span) % step == 0))
+    samples = F.array(*(F.col("_span")[period * k].x for k in range(steps)))
+    return out.select("source_file", "ts_us", "idx_src", "nth", samples.alias("image"), F.array_max(F.transform("_span", lambda r: r.y)).alias("label_window"))
 
 
 def contiguous_intervals(df: DataFrame, label: str = "label") -> DataFrame:
     """Runs of labelled messages in each file: first and last time, and length."""
-    run = F.row_number().over(by_file()) - F.row_number().over(by_file(label))
-    return df.withColumn("_run", run).where(F.col(label) == 1).groupBy("source_file", "_run").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("*").alias("n_msgs")).drop("_run")
+    both = place(place(df), ("source_file", label), "_same")
+    return both.withColumn("_run", F.col("_nth") - F.col("_same")).where(F.col(label) == 1).groupBy("source_file", "_run").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("*").alias("n_msgs")).drop("_run")
 
 
 def first_window_prediction(messages: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -139,7 +133,7 @@ def window_to_message_score(messages: DataFrame, scores: DataFrame) -> DataFrame
 def chrono_split(df: DataFrame, share: float, per_file: bool = True) -> DataFrame:
     """The last ``int(n * share)`` rows of each file (or of all) are ``valid``."""
     if per_file:
-        counted = df.withColumn("_n", F.count("*").over(Window.partitionBy("source_file"))).withColumn("_row", F.row_number().over(by_file()) - 1)
+        counted = place(df, name="_row", total="_n")
     else:
         counted = row_index(df, "_row").crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
     return counted.withColumn("split", F.when(F.col("_row") >= F.col("_n") - F.floor(F.col("_n") * share), "valid").otherwise("train")).drop("_row", "_n")
@@ -157,4 +151,4 @@ def random_split(df: DataFrame, key: str, seed: int, shares: dict[str, float]) -
 
 def fixed_slices(df: DataFrame, rows: int) -> DataFrame:
     """Slices of at most ``rows`` consecutive rows of a file."""
-    return df.withColumn("slice_no", F.floor((F.row_number().over(by_file()) - 1) / rows))
+    return place(df).withColumn("slice_no", F.floor(F.col("_nth") / rows)).drop("_nth")

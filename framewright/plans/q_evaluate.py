@@ -236,7 +236,7 @@ def _(spark, sf):
 
 @R.add("downsample_stride", "WITH " + bridge.DUCK + ", p AS (SELECT idx_src, row_number() OVER (PARTITION BY source_file ORDER BY ts_us, idx_src) - 1 AS nth, count(*) OVER (PARTITION BY source_file) AS n FROM f) SELECT idx_src FROM p WHERE nth % greatest(1, CAST(ceil(n / 50.0) AS BIGINT)) = 0")
 def _(spark, sf):
-    return E.stride_sample(bridge.frames(spark, sf).withColumn("at", F.struct("ts_us", "idx_src")), F.col("at"), 50, ["source_file"]).select("idx_src")
+    return E.stride_sample(bridge.frames(spark, sf), None, 50, ["source_file"]).select("idx_src")
 
 
 @R.add("threshold_sweep", SC + ", q AS (SELECT unnest([0.95, 0.99, 0.995, 0.999]) AS q), t AS (SELECT q, quantile_cont(score, [0.95, 0.99, 0.995, 0.999]) AS v FROM s, q WHERE label = 0 GROUP BY q), u AS (SELECT q, v[list_position([0.95, 0.99, 0.995, 0.999], q)] AS th FROM t) SELECT CAST(q AS DOUBLE) AS q, round(th, 9) AS threshold, count(*) FILTER (score > th AND label = 1) AS tp, count(*) FILTER (score > th AND label = 0) AS fp FROM s, u GROUP BY q, th")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import bridge
+from ..operators import blocks as B
 from ..operators import clean as C
 from ..operators import detect as D
 from ..operators import evaluate as E
@@ -329,7 +330,7 @@ def _(spark, sf):
 @R.add("sort_stable_time", WITH + "SELECT idx_src, row_number() OVER (PARTITION BY source_file ORDER BY ts_us - ts_us % 3600000000, idx_src) AS place FROM f")
 def _(spark, sf):
     c = f(spark, sf).withColumn("ts_us", F.col("ts_us") - F.col("ts_us") % HOUR)
-    return c.select("idx_src", F.row_number().over(W.by_file()).cast("bigint").alias("place"))
+    return B.place(c).select("idx_src", (F.col("_nth") + 1).alias("place"))
 
 
 @R.add("topk_signals", WITH + ", s AS (SELECT 'value' AS signal, signal1 AS err, label FROM f UNION ALL SELECT 'dlc', dlc, label FROM f UNION ALL SELECT 'id', can_id, label FROM f) SELECT signal, round(avg(err) FILTER (label = 1) - avg(err) FILTER (label = 0), 6) AS gain FROM s GROUP BY 1 ORDER BY 2 DESC LIMIT 2")
@@ -381,8 +382,8 @@ def _(spark, sf):
 
 @R.add("array_columns", WITH + f"SELECT idx_src, signal1 + coalesce(lag(signal1) OVER ({IN_FILE}), 0) AS s FROM f")
 def _(spark, sf):
-    q = F.collect_list("signal1").over(W.by_file().rowsBetween(-1, 0))
-    return f(spark, sf).select("idx_src", F.aggregate(F.slice(q, 1, 2), F.lit(0.0), lambda x, y: x + y).alias("s"))
+    q = B.last_values(f(spark, sf), 2, F.col("signal1"), name="q")
+    return q.select("idx_src", F.aggregate("q", F.lit(0.0), lambda x, y: x + y).alias("s"))
 
 
 # matrix runs -------------------------------------------------------------------------

@@ -15,6 +15,7 @@ MODULES = {
     "op8_decontaminate": "op08_decontaminate",
     "op9_token_counts": "op09_tokens",
     "op10_url_filter": "op10_url_filter",
+    "op11_filter_audit": "op11_filter_audit",
 }
 
 

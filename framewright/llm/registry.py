@@ -16,6 +16,8 @@ MODULES = {
     "op9_token_counts": "op09_tokens",
     "op10_url_filter": "op10_url_filter",
     "op11_filter_audit": "op11_filter_audit",
+    "op12_spelling_variants": "op12_spelling",
+    "op13_mixing": "op13_mixing",
 }
 
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
+import secrets
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ def return_arrays() -> None:
 
 _P1 = 0x9E3779B97F4A7C15
 _P2 = 0xD1342543DE82EF95
+_FULL = (1 << 64) - 1
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -104,28 +108,67 @@ def _pows(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any slice of a sequence in constant time (prefix polynomial mod 2**64, finalised)."""
+    """An order of the slices of a text: prefix polynomials mod 2**64, finalised, in constant time a slice.
+
+    Such values collide by construction (for long slices), so they only rank and deal; what must be equal is
+    compared by bytes or by a cryptographic digest.
+    """
 
     def __init__(self, values: np.ndarray, base: int = _P1):
         up, self.down = _pows(base, len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=self.sums[1:])
 
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        size = (np.asarray(end) - np.asarray(start)).astype(np.uint64)
-        return mix(self.raw(start, end) + size * np.uint64(_P2))
-
     def every(self, size: int) -> np.ndarray:
-        """Hash of each slice of one size, by start."""
+        """Value of each slice of one size, by start."""
         n = len(self.sums) - size
         return mix((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray):
-    """Words of the rows of a piece: starts, ends, 64-bit hashes, and the first word of each row.
+def draw_seed() -> int:
+    """A secret number of a job: hashes under it cannot be made to collide by who writes the texts."""
+    return secrets.randbits(64)
+
+
+#: Longer slices are hashed one by one.
+LONG_SLICE = 256
+
+
+def slice_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of slices under a seed, eight bytes at a time."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    first, odd = (mix(np.array([seed & _FULL, (seed & _FULL) ^ _P2], np.uint64))).tolist()
+    odd = np.uint64(odd | 1)
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) + np.uint64(first))
+    live = np.flatnonzero((size > 0) & (size <= LONG_SLICE))
+    at, left, h = starts[live], size[live], out[live]
+    while len(live):
+        part = eight[at] & (np.uint64(_FULL) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
+        h = mix((h ^ part) * odd)
+        ends_here = left <= 8
+        out[live[ends_here]] = h[ends_here]
+        on = ~ends_here
+        live, at, left, h = live[on], at[on] + 8, left[on] - 8, h[on]
+    key = (seed & _FULL).to_bytes(8, "little")
+    for k in np.flatnonzero(size > LONG_SLICE).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(padded[starts[k] : ends[k]], digest_size=8, key=key).digest(), "little")
+    return out
+
+
+def sequence_hashes(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of runs of a few hashes, under a seed."""
+    odd = np.uint64(int(mix(np.array([(seed & _FULL) ^ _P1], np.uint64))[0]) | 1)
+    out = mix(counts.astype(np.uint64) ^ odd)
+    for k in range(int(counts.max(initial=0))):
+        own = np.flatnonzero(counts > k)
+        out[own] = mix((out[own] ^ h[starts[own] + k]) * odd)
+    return out
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, seed: int = 0):
+    """Words of the rows of a piece: starts, ends, 64-bit hashes under a seed, and the first word of each row.
 
     ``buf`` is already lower-cased; ``offsets`` start at 0.  The last array has
     one more entry than there are rows.
@@ -147,17 +190,21 @@ def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray):
         last &= inside
     starts = np.flatnonzero(first) if n else np.zeros(0, np.int64)
     stops = np.flatnonzero(last) + 1 if n else np.zeros(0, np.int64)
-    hashes = Rolling(buf).of(starts, stops)
-    return starts, stops, hashes, np.searchsorted(starts, offsets)
+    return starts, stops, slice_hashes(buf, starts, stops, seed), np.searchsorted(starts, offsets)
 
 
-def hash_words(texts: list[str]) -> np.ndarray:
+def hash_words(texts: Sequence[str | bytes], seed: int) -> np.ndarray:
     """Hashes of single words, as ``words`` gives them."""
-    out = np.zeros(len(texts), np.uint64)
-    for k, w in enumerate(texts):
-        b = np.frombuffer(w.encode(), np.uint8)
-        out[k] = Rolling(b).of(np.array([0]), np.array([len(b)]))[0]
-    return out
+    raw = [t.encode() if isinstance(t, str) else bytes(t) for t in texts]
+    ends = np.cumsum([len(t) for t in raw], dtype=np.int64)
+    return slice_hashes(np.frombuffer(b"".join(raw), np.uint8), np.append(0, ends)[:-1].astype(np.int64), ends, seed)
+
+
+def word_array(buf: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words themselves: their slices hold just the bytes that are inside."""
+    data = np.ascontiguousarray(buf[inside])
+    offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,8 @@ where it reaches ``size``.
 Hot anchors, whose different segments exceed ``GROUP_BYTES``, are dealt again by
 another hash of the slices, segment by segment, up to ``LEVELS`` times, and then
 indexed like the others.  Only anchors that no hash can part (one slice in very
-many different windows) are counted window by window, by 128-bit content hashes.
+many different windows) are counted window by window.  Texts are told apart by
+SHA-256, segments and windows by 128-bit BLAKE2 digests; anchors only deal.
 
 Defined cases: null text is empty; texts shorter than ``size`` keep all bytes;
 texts beyond ``PIECE_BYTES`` are dealt in parts that overlap by ``size - 1``;
@@ -37,13 +38,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _P1, _P2, PIECE_BYTES, Rolling, expand, flat, mix, pieces, spread_join, table, text_col, written
+from .common import PIECE_BYTES, Rolling, expand, flat, mix, pieces, spread_join, table, text_col, written
 
 SIZE, GRAM = 400, 64
 BUCKET_BYTES, GROUP_BYTES, LEVELS = 256 << 10, 4 << 20, 4
@@ -63,12 +65,11 @@ def _cuts(buf: np.ndarray, offs: np.ndarray, size: int):
 
 
 def segments(buf: np.ndarray, offs: np.ndarray, size: int, gram: int, level: int = 0):
-    """Windows by anchor: row, first window, number of windows, anchor hash, two content hashes; each level has its own order of slices."""
+    """Windows by anchor: row, first window, number of windows, anchor hash, content digest; each level has its own order of slices."""
     none = np.zeros(0, np.int64)
     if len(buf) < size:
-        return none, none, none, none, none, none
-    first, second = Rolling(buf, _P1), Rolling(buf, _P2)
-    gh = first.every(gram)
+        return none, none, none, none, pa.array([], pa.binary())
+    gh = Rolling(buf).every(gram)
     if level:
         gh = mix(gh + np.uint64(level))
     low = (gh & ~_LOW) | np.arange(len(gh), dtype=np.uint64)
@@ -90,7 +91,13 @@ def segments(buf: np.ndarray, offs: np.ndarray, size: int, gram: int, level: int
     count = np.diff(np.append(lead, len(start)))
     s = start[lead]
     e = s + count - 1 + size
-    return own[group[lead]], s, count, gh[anchor[lead]].view(np.int64), first.of(s, e).view(np.int64), second.of(s, e).view(np.int64)
+    return own[group[lead]], s, count, gh[anchor[lead]].view(np.int64), digests(buf, s, e)
+
+
+def digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """128-bit BLAKE2 digests of slices: equal digests are taken for equal bytes."""
+    data = buf.tobytes()
+    return pa.array([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
 
 
 def suffix_order(text: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -190,9 +197,9 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-SEGMENTS = "h long, c1 long, c2 long, key binary, s long, n long, copied boolean"
+SEGMENTS = "h long, c binary, key binary, s long, n long, copied boolean"
 CUT = "h long, key binary, s long, n long, settled boolean, bytes binary, hot boolean"
-FINER = "h long, c1 long, c2 long, key binary, s long, n long, settled boolean, bytes binary"
+FINER = "h long, c binary, key binary, s long, n long, settled boolean, bytes binary"
 MARKS = "key binary, a long, b long"
 
 
@@ -202,10 +209,10 @@ def _all_segments(size: int, gram: int):
             buf, offs = flat(batch.column(1))
             copied = batch.column(2).to_numpy(zero_copy_only=False)
             for part, o, i, base in _cuts(buf, offs, size):
-                row, s, n, h, c1, c2 = segments(part, o, size, gram)
+                row, s, n, h, c = segments(part, o, size, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(c1), pa.array(c2), batch.column(0).take(pa.array(row + i)), pa.array(s - o[row] + base), pa.array(n), pa.array(copied[row + i])],
-                    names=["h", "c1", "c2", "key", "s", "n", "copied"],
+                    [pa.array(h), c, batch.column(0).take(pa.array(row + i)), pa.array(s - o[row] + base), pa.array(n), pa.array(copied[row + i])],
+                    names=["h", "c", "key", "s", "n", "copied"],
                 )
 
     return run
@@ -236,14 +243,14 @@ def _split_again(size: int, gram: int, level: int):
             buf, offs = flat(batch.column(3))
             for i, j in pieces(offs):
                 part, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                row, s, n, h, c1, c2 = segments(part, o, size, gram, level)
+                row, s, n, h, c = segments(part, o, size, gram, level)
                 data = part.tobytes()
                 own = [data[a : a + k - 1 + size] for a, k in zip(s.tolist(), n.tolist(), strict=True)]
                 at = pa.array(row + i)
                 start = batch.column(1).to_numpy()[row + i] + s - o[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(c1), pa.array(c2), batch.column(0).take(at), pa.array(start), pa.array(n), batch.column(2).take(at), pa.array(own, pa.binary())],
-                    names=["h", "c1", "c2", "key", "s", "n", "settled", "bytes"],
+                    [pa.array(h), c, batch.column(0).take(at), pa.array(start), pa.array(n), batch.column(2).take(at), pa.array(own, pa.binary())],
+                    names=["h", "c", "key", "s", "n", "settled", "bytes"],
                 )
 
     return run
@@ -283,8 +290,8 @@ def _single_windows(size: int):
                 at = (offs[i:j] - offs[i])[group] + nth
                 row = pa.array(group + i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(Rolling(part, _P1).of(at, at + size).view(np.int64)), pa.array(Rolling(part, _P2).of(at, at + size).view(np.int64)), batch.column(0).take(row), pa.array(s[i:j][group] + nth), batch.column(1).take(row)],
-                    names=["c1", "c2", "key", "s", "settled"],
+                    [digests(part, at, at + size), batch.column(0).take(row), pa.array(s[i:j][group] + nth), batch.column(1).take(row)],
+                    names=["c", "key", "s", "settled"],
                 )
 
     return run
@@ -329,12 +336,12 @@ def _remove(size: int):
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and whether anything was removed (repeats)."""
     gram = min(gram, size)
-    key = F.unhex(F.md5("text"))
+    key = F.unhex(F.sha2("text", 256))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"))
     texts = source.groupBy(key.alias("key")).agg(F.first("text").alias("text"), (F.count("*") > 1).alias("copied"))
     seg = written(texts.where(F.octet_length("text") >= size).mapInArrow(_all_segments(size, gram), SEGMENTS), "segments")
     total = seg.count()
-    kinds = seg.groupBy("h", "c1", "c2").agg((F.max("copied") | (F.count("*") > 1)).alias("settled"), F.count("*").alias("m"), F.min(F.struct("key", "s", "n")).alias("at"))
+    kinds = seg.groupBy("h", "c").agg((F.max("copied") | (F.count("*") > 1)).alias("settled"), F.count("*").alias("m"), F.min(F.struct("key", "s", "n")).alias("at"))
     parts = [_repeated(seg.where(~F.col("copied")), kinds, total)]
     want = _different(kinds, F.col("at.n") + size - 1, group_bytes, total).select("h", "at.*", "settled", "hot")
     per_text = want.groupBy("key").agg(F.collect_list(F.struct("h", "s", "n", "settled", "hot")).alias("want"))
@@ -350,13 +357,13 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, bucket_b
             break
         hot = cut.where("hot")
         if level == LEVELS:
-            single = written(hot.select("key", "settled", "s", "n", "bytes").mapInArrow(_single_windows(size), "c1 long, c2 long, key binary, s long, settled boolean"), "windows")
-            often = single.groupBy("c1", "c2").agg((F.max("settled") | (F.count("*") > 1)).alias("settled"), F.count("*").alias("m"))
-            parts.append(_repeated(single.where("not settled").withColumn("n", F.lit(1)), often, single.count(), ["c1", "c2"]))
+            single = written(hot.select("key", "settled", "s", "n", "bytes").mapInArrow(_single_windows(size), "c binary, key binary, s long, settled boolean"), "windows")
+            often = single.groupBy("c").agg((F.max("settled") | (F.count("*") > 1)).alias("settled"), F.count("*").alias("m"))
+            parts.append(_repeated(single.where("not settled").withColumn("n", F.lit(1)), often, single.count(), ["c"]))
             break
         finer = written(hot.select("key", "s", "settled", "bytes").mapInArrow(_split_again(size, gram, level), FINER), "segments")
         total = finer.count()
-        kinds = finer.groupBy("h", "c1", "c2").agg((F.max("settled") | (F.count("*") > 1)).alias("settled"), F.count("*").alias("m"), F.min(F.struct("key", "s", "n", "bytes")).alias("at"))
+        kinds = finer.groupBy("h", "c").agg((F.max("settled") | (F.count("*") > 1)).alias("settled"), F.count("*").alias("m"), F.min(F.struct("key", "s", "n", "bytes")).alias("at"))
         parts.append(_repeated(finer.where("not settled"), kinds, total))
         cut = written(_different(kinds, F.octet_length("at.bytes"), group_bytes, total).select("h", "at.*", "settled", "hot"), "kinds")
 
@@ -370,7 +377,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, bucket_b
 
 def _repeated(places: DataFrame, kinds: DataFrame, total: int, on: list[str] | None = None) -> DataFrame:
     """Marks of the places whose kind is settled."""
-    on = on or ["h", "c1", "c2"]
+    on = on or ["h", "c"]
     return spread_join(places, kinds.where("settled").select(*on, "m"), on, "m", total, "left_semi").select("key", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
 
 

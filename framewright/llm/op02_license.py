@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, expand, flat, hash_words, pieces, table, text_col, words
+from .common import ALNUM, LOWER, draw_seed, expand, flat, hash_words, pieces, table, text_col, words
 
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
@@ -75,7 +75,8 @@ class Templates:
         self.labels = [r[0] for r in rows]
         self.base = np.array([r[3] for r in rows])
         vocabulary = sorted({w for r in rows for w in r[1]})
-        h = hash_words(vocabulary)
+        self.seed = draw_seed()
+        h = hash_words(vocabulary, self.seed)
         order = np.argsort(h)
         self.hashes = h[order]
         number = {vocabulary[o]: k for k, o in enumerate(order)}
@@ -153,7 +154,7 @@ def holding_documents(source: DataFrame, templates: Templates) -> tuple[int, np.
             buf, offs = flat(batch.column(0))
             n += len(offs) - 1
             for i, j in pieces(offs):
-                _, _, h, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM)
+                _, _, h, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM, templates.seed)
                 v = templates.numbers(h)
                 where = np.flatnonzero(v >= 0)
                 row = np.searchsorted(rows, where, side="right") - 1
@@ -184,7 +185,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: list[tu
             lasts: list[int | None] = [None] * rows_n
             base_labels, labels, score = [""] * rows_n, [""] * rows_n, np.zeros(rows_n)
             for i, j in pieces(offs):
-                _, _, h, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM)
+                _, _, h, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM, templates.seed)
                 n_words[i:j] = np.diff(rows)
                 row, template, start, share = templates.find(templates.numbers(h), rows)
                 order = np.argsort(row, kind="stable")

@@ -21,7 +21,10 @@ Stage 3 (tasks): a piece's rank within its length (the task's offset from a sum
 over tasks, plus its rank there) finds its sequence in the plan.
 
 Defined cases: null text is empty (one piece, just the end id); repeated rows
-are packed as documents of their own; other columns are ignored.
+are packed as documents of their own; pieces of one length are interchangeable, so
+their order among equals is that of tasks and rows and may differ between runs, the
+number of sequences does not; texts of any length are cut in pieces, never cut off;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, expand, flat, pieces, return_arrays, table, text_col, written
+from .common import expand, flat, pieces, return_arrays, table, text_col, word_array, written
 
 CAPACITY, END_ID = 4096, 1
 #: Words that a Python worker remembers with their ids.
@@ -69,7 +72,7 @@ class WordCodec:
     """Ids of a word-level byte-pair tokenizer: every distinct word is encoded once a task.
 
     The pre-tokenizer cuts texts in words before any merge, so the ids of a
-    text are those of its words in order.  Plain texts are cut with numpy; all
+    text are those of its words in order; words are told apart by their bytes.  Plain texts are cut with numpy; all
     others go through the tokenizer's own normaliser and pre-tokenizer pattern.
     """
 
@@ -81,16 +84,16 @@ class WordCodec:
         self._reset()
 
     def _reset(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _learn(self, keys: list[bytes]) -> None:
         if len(self.slot) + len(keys) > CACHE_WORDS:
             raise OverflowError
-        for key, word in zip(keys, words, strict=True):
-            ids = [x.id for x in self.model.tokenize(word.translate(_ALPHABET))]
+        for key in keys:
+            ids = [x.id for x in self.model.tokenize(key.decode("latin-1").translate(_ALPHABET))]
             n = len(self.slot)
             if n == len(self.first):
                 self.first, self.size = np.append(self.first, np.zeros_like(self.first)), np.append(self.size, np.zeros_like(self.size))
@@ -139,17 +142,16 @@ class WordCodec:
         starts, ends = edge[:-1], edge[1:]
         keep = kind[starts] != 0
         starts, ends = starts[keep], ends[keep]
-        hashes, where, inverse = np.unique(Rolling(buf).of(starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
+        distinct = word_array(buf, kind != 0, starts, ends).dictionary_encode()
+        keys = distinct.dictionary.to_pylist()
         get = self.slot.get
         slots = [get(k, -1) for k in keys]
         missing = [n for n, s in enumerate(slots) if s < 0]
         if missing:
-            at = where[missing]
-            self._learn([keys[n] for n in missing], [raw[a:b].decode("latin-1") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self._learn([keys[n] for n in missing])
             for n in missing:
                 slots[n] = self.slot[keys[n]]
-        slot = np.array(slots, np.int64)[inverse]
+        slot = np.array(slots, np.int64)[distinct.indices.to_numpy()]
         counts = self.size[slot]
         group, nth = expand(counts)
         ids = self.pool[self.first[slot][group] + nth]

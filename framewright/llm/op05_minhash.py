@@ -18,13 +18,20 @@ further work is on one text a class.
    one chance covers both bounds: at similarity 0.8, 27 or fewer of 64 have a
    chance of 3.4e-11 a pair (binomial).
 4. Connected candidates are brought together by their texts.  Buckets of bounded
-   size search all links among their members on full sets, by exact Jaccard.
+   size search all links among their members on full sets, by exact Jaccard, with
+   shingles told apart by their words and not by hashes.
    Candidates beyond ``GROUP_SHINGLES`` are cut in blocks; every pair of blocks
    is searched, so no link is lost, and the components are joined afterwards.
 
+Hashes of words and shingles depend on a secret seed of the job; classes of equal
+sets are told apart by their sizes and two 64-bit sums of such hashes.
+
 Defined cases: null or wordless texts have an empty set and are linked with
 nothing; a null doc_id never names a component that has another id and is never
-kept; repeated rows are linked; other columns are ignored.
+kept; repeated rows are linked; very long texts and words are taken whole; equal
+hashes of a sketch are one value, and equally rare lists are published in the order
+of their values; an empty table gives no rows; other columns are ignored.
+``connected`` raises an error if components have not settled after 30 rounds.
 """
 
 from __future__ import annotations
@@ -36,22 +43,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _P2, LOWER, NONSPACE, Rolling, expand, flat, mix, pieces, return_arrays, small_side, table, text_col, words, written
+from .common import _P2, LOWER, NONSPACE, draw_seed, expand, flat, mix, pieces, return_arrays, sequence_hashes, small_side, table, text_col, word_array, words, written
 
 SHINGLE, NUM, DEN = 4, 80, 100
 KEEP, SHARED, LIST_ROWS = 64, 28, 48
 BUCKET_SHINGLES, GROUP_SHINGLES = 400_000, 1_500_000
 
 
-def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of a piece, by row and hash."""
-    return_arrays()
-    _, _, h, rows = words(LOWER[buf], offs, NONSPACE)
+def _places(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, number of words) of the shingles of rows of words."""
     n = np.diff(rows)
-    many = np.where(n >= size, n - size + 1, np.minimum(n, 1))
-    row, nth = expand(many)
-    start = rows[:-1][row] + nth
-    value = Rolling(h).of(start, start + np.minimum(n[row], size)) >> np.uint64(1)
+    row, nth = expand(np.where(n >= size, n - size + 1, np.minimum(n, 1)))
+    return row, rows[:-1][row] + nth, np.minimum(n[row], size)
+
+
+def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     new = np.ones(len(row), bool)
@@ -59,14 +65,41 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarr
     return row[new], value[new]
 
 
-def sketches(docs: DataFrame, size: int, keep: int) -> DataFrame:
+def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of a piece, by row and hash; hashes depend on the seed of the job."""
+    return_arrays()
+    _, _, h, rows = words(LOWER[buf], offs, NONSPACE, seed)
+    row, start, n = _places(rows, size)
+    return _distinct(row, sequence_hashes(h, start, n, seed) >> np.uint64(1))
+
+
+def exact_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of the distinct shingles of all texts of a bucket, numbered by their words themselves."""
+    return_arrays()
+    spelled, rows = [], [np.zeros(1, np.int64)]
+    for i, j in pieces(offs):
+        low = LOWER[buf[offs[i] : offs[j]]]
+        starts, ends, _, own = words(low, offs[i : j + 1] - offs[i], NONSPACE)
+        spelled.append(word_array(low, NONSPACE[low], starts, ends))
+        rows.append(own[1:] + rows[-1][-1])
+    distinct = pa.concat_arrays(spelled).dictionary_encode()
+    word = np.append(distinct.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, 0)
+    row, start, n = _places(np.concatenate(rows), size)
+    value = word[start] if len(start) else np.zeros(0, np.int64)
+    for k in range(1, size):
+        both = value << 32 | np.where(n > k, word[np.minimum(start + k, len(word) - 1)], 0)
+        value = np.unique(both, return_inverse=True)[1].astype(np.int64)
+    return _distinct(row, value)
+
+
+def sketches(docs: DataFrame, size: int, keep: int, seed: int) -> DataFrame:
     """doc_id, key (of the text), number of shingles, hashes of the set, bottom-k sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = flat(batch.column(2))
             for i, j in pieces(offs):
-                row, value = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
+                row, value = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size, seed)
                 n = np.bincount(row, minlength=j - i)
                 edge = np.append(0, np.cumsum(n))
                 sums = [np.append(np.uint64(0), np.cumsum(mix(value + np.uint64(s)))) for s in (1, _P2)]
@@ -149,8 +182,7 @@ def link_components(row: np.ndarray, value: np.ndarray, n_rows: int, num: int, d
 def _search(size: int, num: int, den: int):
     def run(rows: pa.Table) -> pa.Table:
         buf, offs = flat(rows["text"])
-        parts = [(i, *shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)) for i, j in pieces(offs)]
-        row, value = np.concatenate([i + r for i, r, _ in parts]), np.concatenate([v for _, _, v in parts])
+        row, value = exact_sets(buf, offs, size)
         comp = link_components(row, value, len(offs) - 1, num, den)
         keys = rows["key"].combine_chunks()
         _, lead = np.unique(comp, return_index=True)
@@ -159,10 +191,10 @@ def _search(size: int, num: int, den: int):
     return run
 
 
-def near_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN, group_shingles: int = GROUP_SHINGLES, bucket_shingles: int = BUCKET_SHINGLES, list_rows: int = LIST_ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document, with the key (MD5) of its text."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    made = written(sketches(source.select("doc_id", "key", "text"), size, KEEP), "sketches")
+def near_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN, group_shingles: int = GROUP_SHINGLES, bucket_shingles: int = BUCKET_SHINGLES, list_rows: int = LIST_ROWS, seed: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document, with the key (SHA-256) of its text."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))
+    made = written(sketches(source.select("doc_id", "key", "text"), size, KEEP, draw_seed() if seed is None else seed), "sketches")
     one = Window.partitionBy("key")
     classes = made.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("key").alias("key"), F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
 

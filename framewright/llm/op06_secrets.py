@@ -86,7 +86,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     headed = F.col("text").contains("-----BEGIN")
     numbered = held.select(
-        "doc_id", F.unhex(F.md5("text")).alias("key"), F.split("text", SPACE).alias("w"),
+        "doc_id", F.unhex(F.sha2("text", 256)).alias("key"), F.split("text", SPACE).alias("w"),
         F.when(headed, F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0))).otherwise(none).alias("b"),
         F.when(headed, F.split("text", BLOCK, -1)).otherwise(none).alias("g"),
     )
@@ -211,7 +211,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     found = scan_secrets(docs).where("secret").groupBy("key").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("found"))
     found = small_side(written(found, "secrets"), F.aggregate("found", F.lit(16), lambda n, v: n + F.octet_length(v)))
     # all columns go as one, so that no name of theirs can clash
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(text_col())).alias("key"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.sha2(text_col(), 256)).alias("key"))
     joined, text = rows.join(found, "key", "left"), F.col("row.text")
     clean = F.aggregate("found", text, lambda t, v: F.replace(t, v, F.lit(mark)))
     new = {"text": clean}

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import ALNUM, LOWER, Rolling, flat, hash_words, pieces, return_arrays, table, text_col, words, written
+from .common import ALNUM, LOWER, draw_seed, flat, hash_words, pieces, return_arrays, slice_hashes, table, text_col, words, written
 
 FOLDS, SAMPLE = 5, 8000
 #: Bytes of word beginnings that may become lexicon entries, besides whole words (0).
@@ -126,11 +126,12 @@ class Grammar:
     classes: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.array([2.5, 0.4, 0.8, 2.0, 0.4, 0.8] * 2))
     bias: float = -3.0
+    seed: int = 0
 
     @staticmethod
-    def closed_classes() -> tuple[np.ndarray, np.ndarray]:
+    def closed_classes(seed: int) -> tuple[np.ndarray, np.ndarray]:
         kind = {w: k for k, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
-        h = hash_words(list(kind))
+        h = hash_words(list(kind), seed)
         order = np.argsort(h)
         return h[order], np.array(list(kind.values()))[order]
 
@@ -141,10 +142,9 @@ class Grammar:
         at[at == len(h)] = 0
         symbol = np.where(h[at] == hashes, kind[at], OTHER)
         weight = (symbol == THREAT).astype(float)
-        roll = Rolling(buf)
         for size, (known, w) in self.insults.items():
             where = np.arange(len(starts)) if size == 0 else np.flatnonzero(ends - starts >= size)
-            x = hashes if size == 0 else roll.of(starts[where], starts[where] + size)
+            x = hashes if size == 0 else slice_hashes(buf, starts[where], starts[where] + size, self.seed)
             at = np.searchsorted(known, x)
             at[at == len(known)] = 0
             found = known[at] == x
@@ -157,7 +157,7 @@ class Grammar:
         """Weighted event counts of each row of a piece, and its number of words."""
         return_arrays()
         low = LOWER[buf]
-        starts, ends, hashes, rows = words(low, offs, ALNUM)
+        starts, ends, hashes, rows = words(low, offs, ALNUM, self.seed)
         out = np.zeros((len(offs) - 1, EVENTS))
         if len(starts):
             symbol, weight = self.symbols(low, starts, ends, hashes)
@@ -212,7 +212,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", F.col("toxic").cast("int")).mapInArrow(run, "size int, stem binary, bad long, good long").groupBy("size", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def _lexicon(sample: DataFrame, n_bad: int, n_good: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _lexicon(sample: DataFrame, n_bad: int, n_good: int, seed: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
     rows = _word_counts(sample).where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).collect()
     # the shortest beginning that is nearly as telling stands for the longer ones
@@ -227,7 +227,7 @@ def _lexicon(sample: DataFrame, n_bad: int, n_good: int) -> dict[int, tuple[np.n
                 best[stem] = r.odds
     out = {}
     for size, entries in chosen.items():
-        h = np.array([Rolling(np.frombuffer(s, np.uint8)).of(np.array([0]), np.array([len(s)]))[0] for s, _ in entries], np.uint64)
+        h = hash_words([s for s, _ in entries], seed)
         order = np.argsort(h)
         out[size] = h[order], np.array([min(w, 6.0) / 6.0 for _, w in entries])[order]
     return out
@@ -248,9 +248,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1.0
 
 def learn_grammar(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """Lexicon and weights from at most ``sample`` toxic and as many clean labelled rows outside the held-out fold."""
-    h = hash_words(SEED_INSULTS)
+    seed = draw_seed()
+    h = hash_words(SEED_INSULTS, seed)
     order = np.argsort(h)
-    grammar = Grammar({0: (h[order], np.ones(len(h)))}, Grammar.closed_classes())
+    grammar = Grammar({0: (h[order], np.ones(len(h)))}, Grammar.closed_classes(seed), seed=seed)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     picked = None
     for value in (0, 1):
@@ -262,7 +263,7 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> G
     counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < LEAST_DOCS:
         return grammar
-    found = _lexicon(rows, counts[1], counts[0])
+    found = _lexicon(rows, counts[1], counts[0], seed)
     if found:
         grammar.insults = found
 

@@ -4,8 +4,8 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z
 lower-cased.  An item's windows are its runs of ``size`` words (one shorter
 window for an item of fewer words).
 
-1. Windows: a table of the distinct windows of all items, with the hashes of
-   their words, and a table of the items that hold each.
+1. Windows: a table of the distinct windows of all items, with their words, and a
+   table of the items that hold each.
 2. Order: a window's shingles are its pairs of neighbouring words (the word of a
    window of one word).  They are ordered by the number of their places in all
    documents.  A window stands only where all its shingles stand, so its
@@ -13,7 +13,8 @@ window for an item of fewer words).
 3. Join: document shingles that are a prefix are joined with the windows of that
    prefix.  Positional and length bounds (the window must lie inside the
    document) drop pairs, and the words around the shingle are compared with all
-   words of the window.
+   words of the window, spelled out.  Hashes, under a secret seed of the job, only
+   look shingles up.
 
 Nothing of the benchmark but hashes of its shingles reaches the driver: at most
 ``BLOCK_TOKENS`` at once, which a pass over the documents looks its shingles up
@@ -33,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _P1, _P2, ALNUM, LOWER, expand, flat, mix, pieces, return_arrays, small_side, table, text_col, words, written
+from .common import _P1, _P2, ALNUM, LOWER, draw_seed, expand, flat, mix, pieces, return_arrays, small_side, table, text_col, word_array, words, written
 
 WINDOW = 10
 #: Distinct shingles that go to the tasks at once (eight bytes each).
@@ -82,39 +84,48 @@ class TokenSet:
         return where[same], at[same]
 
 
-WINDOWS = "w1 long, w2 long, n int, words array<long>, tokens array<long>, text_key binary"
+WINDOWS = "window string, n int, words array<string>, tokens array<long>, text_key binary"
 
 
-def item_windows(benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(distinct windows, holders): windows by two hashes, with word and shingle hashes; the item ids of each window."""
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+
+
+def _spelled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The words at these numbers, as strings."""
+    if not len(at):
+        return pa.array([], pa.string())
+    return word_array(low, ALNUM[low], starts, ends).take(pa.array(at)).cast(pa.binary()).cast(pa.string())
+
+
+def item_windows(benchmark: DataFrame, size: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(distinct windows, holders): windows by their words joined by a space, with shingle hashes; the item ids of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = flat(batch.column(1))
             for i, j in pieces(offs):
-                _, _, h, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM)
+                low = LOWER[buf[offs[i] : offs[j]]]
+                starts, ends, h, rows = words(low, offs[i : j + 1] - offs[i], ALNUM, seed)
                 many = np.diff(rows)
                 row, nth = expand(np.where(many >= size, many - size + 1, np.minimum(many, 1)))
                 start, n = rows[:-1][row] + nth, np.minimum(many[row], size)
                 group, k = expand(n)
-                at = start[group] + k
+                spelled = _lists(n, _spelled(low, starts, ends, start[group] + k))
                 of_pair, q = expand(np.maximum(n - 1, 1))
                 first = start[of_pair] + q
                 token = np.where(n[of_pair] > 1, pair_hashes(np.append(h, np.uint64(0)))[first], single_hashes(h)[first]) if len(h) else np.zeros(0, np.uint64)
-                weight = [mix(mix(h[at] + np.uint64(s)) * (2 * k.astype(np.uint64) + np.uint64(1))) for s in (_P1, _P2)]
-                whole = [np.add.reduceat(w, np.append(0, np.cumsum(n))[:-1]) if len(n) else np.zeros(0, np.uint64) for w in weight]
-                lists = lambda counts, v: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(v.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), pa.array(n, pa.int32()), lists(n, h[at]), lists(np.maximum(n - 1, 1), token), batch.column(0).take(pa.array(row + i))],
-                    names=["w1", "w2", "n", "words", "tokens", "text_key"],
+                    [pc.binary_join(spelled, " "), pa.array(n, pa.int32()), spelled, _lists(np.maximum(n - 1, 1), pa.array(token.view(np.int64))), batch.column(0).take(pa.array(row + i))],
+                    names=["window", "n", "words", "tokens", "text_key"],
                 )
 
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_col().alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_col().alias("text")).withColumn("text_key", F.unhex(F.sha2("text", 256)))
     texts = items.groupBy("text_key").agg(F.first("text").alias("text"))
     made = written(texts.mapInArrow(run, WINDOWS), "windows")
-    distinct = made.groupBy("w1", "w2", "n").agg(F.first("words").alias("words"), F.first("tokens").alias("tokens"))
+    distinct = made.groupBy("window", "n").agg(F.first("words").alias("words"), F.first("tokens").alias("tokens"))
     named = items.where(F.col("item_id").isNotNull()).select("text_key", "item_id").distinct()
-    return distinct, made.select("w1", "w2", "n", "text_key").distinct().join(named, "text_key").select("w1", "w2", "n", "item_id").distinct()
+    return distinct, made.select("window", "text_key").distinct().join(named, "text_key").select("window", "item_id").distinct()
 
 
 def token_blocks(tokens: DataFrame, limit: int) -> Iterator[np.ndarray]:
@@ -139,7 +150,7 @@ def _text_tokens(hashes: np.ndarray, rows: np.ndarray, singles: bool):
         yield single_hashes(hashes), np.arange(len(hashes))
 
 
-def count_tokens(docs: DataFrame, tokens: DataFrame, singles: bool, limit: int) -> DataFrame:
+def count_tokens(docs: DataFrame, tokens: DataFrame, singles: bool, limit: int, seed: int) -> DataFrame:
     """(token, places): how often each token stands in all documents; tokens that never do are left out."""
     out = None
     for block in token_blocks(tokens, limit):
@@ -150,9 +161,9 @@ def count_tokens(docs: DataFrame, tokens: DataFrame, singles: bool, limit: int)
             for batch in batches:
                 buf, offs = flat(batch.column(0))
                 for i, j in pieces(offs):
-                    _, _, h, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM)
+                    _, _, h, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM, seed)
                     for token, _ in _text_tokens(h, rows, singles):
-                        total += np.bincount(known.find(token)[1], minlength=len(total))
+                        np.add.at(total, known.find(token)[1], 1)
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(known.sorted[found].view(np.int64)), pa.array(total[found])], names=["token", "places"])
 
@@ -161,25 +172,25 @@ def count_tokens(docs: DataFrame, tokens: DataFrame, singles: bool, limit: int)
     return out
 
 
-def prefixed_windows(docs: DataFrame, benchmark: DataFrame, size: int, limit: int) -> tuple[DataFrame, DataFrame, bool]:
+def prefixed_windows(docs: DataFrame, benchmark: DataFrame, size: int, limit: int, seed: int) -> tuple[DataFrame, DataFrame, bool]:
     """(windows with their prefix token and its place, holders, whether there are windows of one word)."""
-    distinct, holders = item_windows(benchmark, size)
+    distinct, holders = item_windows(benchmark, size, seed)
     distinct = written(distinct, "distinct")
-    placed = distinct.select("w1", "w2", "n", F.posexplode("tokens").alias("place", "token"))
+    placed = distinct.select("window", F.posexplode("tokens").alias("place", "token"))
     tokens = written(placed.select("token").distinct(), "tokens")
     singles = bool(distinct.where("n = 1").limit(1).count())
-    counts = count_tokens(docs, tokens, singles, limit)
-    ranked = placed.join(counts, "token", "left").groupBy("w1", "w2", "n").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "place", "token")).alias("p"))
+    counts = count_tokens(docs, tokens, singles, limit, seed)
+    ranked = placed.join(counts, "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "place", "token")).alias("p"))
     # a prefix that stands nowhere ends its window here
-    out = ranked.where("p.places > 0").join(distinct.drop("tokens"), ["w1", "w2", "n"]).select("w1", "w2", "n", "words", "p.place", "p.token")
+    out = ranked.where("p.places > 0").join(distinct.drop("tokens"), "window").select("window", "n", "words", "p.place", "p.token")
     return written(out, "prefixes"), written(holders, "holders"), singles
 
 
-CANDIDATES = "id long, key binary, n_words long, found array<struct<token:long,at:long,around:array<long>,middle:int>>"
-_FOUND = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int64()), ("around", pa.list_(pa.int64())), ("middle", pa.int32())]))
+CANDIDATES = "id long, key binary, n_words long, found array<struct<token:long,at:long,around:array<string>,middle:int>>"
+_FOUND = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int64()), ("around", pa.list_(pa.string())), ("middle", pa.int32())]))
 
 
-def _candidates(block: np.ndarray, size: int, singles: bool):
+def _candidates(block: np.ndarray, size: int, singles: bool, seed: int):
     """For each text: number of words, and its prefix tokens with the words around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +198,8 @@ def _candidates(block: np.ndarray, size: int, singles: bool):
         for batch in batches:
             buf, offs = flat(batch.column(2))
             for i, j in pieces(offs):
-                _, _, h, rows = words(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], ALNUM)
+                text = LOWER[buf[offs[i] : offs[j]]]
+                starts, ends, h, rows = words(text, offs[i : j + 1] - offs[i], ALNUM, seed)
                 found = [(token[at], place[at]) for token, place in _text_tokens(h, rows, singles) for at in [known.find(token)[0]]]
                 token = np.concatenate([np.zeros(0, np.uint64), *(f[0] for f in found)])
                 place = np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)])
@@ -196,7 +208,7 @@ def _candidates(block: np.ndarray, size: int, singles: bool):
                 token, place, row = token[by], place[by], row[by]
                 low, high = np.maximum(place - size + 1, rows[row]), np.minimum(place + size, rows[row + 1])
                 group, k = expand(high - low)
-                around = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(high - low)), pa.int32()), pa.array(h[low[group] + k].view(np.int64)))
+                around = _lists(high - low, _spelled(text, starts, ends, low[group] + k))
                 rows_of = pa.StructArray.from_arrays([pa.array(token.view(np.int64)), pa.array(place - rows[row]), around, pa.array((place - low).astype(np.int32))], fields=list(_FOUND.value_type))
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32()), rows_of)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(rows)), lists], names=["id", "key", "n_words", "found"])
@@ -206,16 +218,17 @@ def _candidates(block: np.ndarray, size: int, singles: bool):
 
 def window_hits(docs: DataFrame, benchmark: DataFrame, size: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents: id, key of the text, n_words), (hits: key, start, end, window), (holders of the windows)."""
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), text_col().alias("text")).select("id", F.unhex(F.md5("text")).alias("key"), "text")
-    windows, holders, singles = prefixed_windows(docs, benchmark, size, limit)
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), text_col().alias("text")).select("id", F.unhex(F.sha2("text", 256)).alias("key"), "text")
+    seed = draw_seed()
+    windows, holders, singles = prefixed_windows(docs, benchmark, size, limit, seed)
     prefixes = written(windows.select("token").distinct(), "tokens")
-    scanned = [written(source.mapInArrow(_candidates(block, size, singles), CANDIDATES), "scanned") for block in token_blocks(prefixes, limit)]
+    scanned = [written(source.mapInArrow(_candidates(block, size, singles, seed), CANDIDATES), "scanned") for block in token_blocks(prefixes, limit)]
     found = None
     for part in scanned:
         # equal texts are joined once
         own = part.where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("found")).select("key", F.explode("found").alias("f")).select("key", "f.*")
         found = own if found is None else found.unionByName(own)
-    side = small_side(windows, F.octet_length(F.lit("")) + F.lit(8) * F.size("words") + F.lit(48))
+    side = small_side(windows, F.lit(2) * F.octet_length("window") + F.lit(8) * F.size("words") + F.lit(48))
     salted = F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int")
     if side is windows:
         found, side = found.withColumn("salt", salted), windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -226,7 +239,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, size: int, limit: int) ->
     first = F.col("middle") - F.col("place")
     inside = (first >= 0) & (first + F.col("n") <= F.size("around"))
     same = F.slice("around", first + 1, F.col("n")) == F.col("words")  # needs a start of at least 1
-    hits = met.where(F.when(inside, same).otherwise(False)).select("key", start.alias("s"), (start + F.col("n")).alias("e"), "w1", "w2", "n")
+    hits = met.where(F.when(inside, same).otherwise(False)).select("key", start.alias("s"), (start + F.col("n")).alias("e"), "window")
     return scanned[0].select("id", "key", "n_words"), written(hits, "hits"), holders
 
 
@@ -241,7 +254,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
     """One row per document: words, words inside any occurrence of an item window, items found."""
     texts, hits, holders = window_hits(docs, benchmark, size, block_tokens)
     spans = hits.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    items = hits.select("key", "w1", "w2", "n").distinct().join(small_side(holders, F.lit(32) + F.octet_length("item_id")), ["w1", "w2", "n"]).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    items = hits.select("key", "window").distinct().join(small_side(holders, F.lit(16) + F.octet_length("window") + F.octet_length("item_id")), "window").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     per = spans.join(items, "key", "left").select("key", covered(F.col("spans")).alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     per = written(per.select("key", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256")), "found")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -255,7 +268,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_
     """The documents in which no item window occurs, with all their columns."""
     _, hits, _ = window_hits(docs, benchmark, size, block_tokens)
     gone = small_side(written(hits.select("key").distinct(), "contaminated"))
-    return docs.join(gone, F.unhex(F.md5(text_col(docs["text"]))) == gone["key"], "left_anti")
+    return docs.join(gone, F.unhex(F.sha2(text_col(docs["text"]), 256)) == gone["key"], "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,11 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     def same(table_: DataFrame) -> Column:
         """The rows of a table of ids and text keys that fit a document; no column is added, so none can clash."""
-        return docs["doc_id"].cast("long").eqNullSafe(table_["doc_id"]) & (F.unhex(F.md5(text_col(docs["text"]))) == table_["key"])
+        return docs["doc_id"].cast("long").eqNullSafe(table_["doc_id"]) & (F.unhex(F.sha2(text_col(docs["text"]), 256)) == table_["key"])
 
     left = docs.join(gone, same(gone), "left_anti")
     # repeated rows of a document that stays: one of them does
-    once = left.join(again, same(again), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.md5(text_col()).alias("key"))
+    once = left.join(again, same(again), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(text_col(), 256).alias("key"))
     once = once.groupBy("id", "key").agg(F.first("row").alias("row")).select("row.*")
     return left.join(again, same(again), "left_anti").unionByName(once)
 

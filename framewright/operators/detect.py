@@ -132,102 +132,6 @@ def one_class_decision(points: DataFrame, model: tuple[list[list[float]], list[f
     return points.withColumn("score", -(F.aggregate(F.zip_with(z, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) - rho))
 
 
-# payload regions and rules -----------------------------------------------------------
-
-
-def regions_fit(df: DataFrame, k: int, rounds: int = 5) -> DataFrame:
-    """k-means of the payloads of every id at once; df has can_id and payload array<double>.
-
-    Centres begin at the k distinct payloads with the smallest hashes; each
-    round is one join with the centres and one aggregate.  Returns can_id,
-    region, centre and the 1st and 99th percentile of the members' distances.
-    """
-    distinct = df.groupBy("can_id", "payload").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("can_id").orderBy(F.xxhash64("payload"), "payload")
-    centres = distinct.withColumn("region", F.row_number().over(order) - 1).where(F.col("region") < k).select("can_id", "region", F.col("payload").alias("centre"))
-    for _ in range(rounds):
-        near = _nearest(distinct, centres)
-        long = near.select("can_id", "region", "n", F.posexplode("payload").alias("at", "value"))
-        mean = long.groupBy("can_id", "region", "at").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("m"))
-        centres = mean.groupBy("can_id", "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda x: x.m).alias("centre"))
-    bounds = _nearest(distinct, centres).groupBy("can_id", "region").agg(F.percentile("distance", 0.01, F.col("n")).alias("low"), F.percentile("distance", 0.99, F.col("n")).alias("high"))
-    return centres.join(bounds, ["can_id", "region"])
-
-
-def _nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """Points with the nearest centre of their id; centres come as one array per id, so no row is multiplied."""
-    per_id = centres.groupBy("can_id").agg(F.array_sort(F.collect_list(F.struct("region", "centre"))).alias("_c"))
-    best = F.expr("array_min(transform(_c, c -> named_struct('d', sqrt(aggregate(zip_with(payload, c.centre, (x, y) -> (x - y) * (x - y)), 0D, (s, v) -> s + v)), 'region', c.region)))")
-    return points.join(per_id, "can_id").withColumn("_b", best).withColumn("region", F.col("_b.region")).withColumn("distance", F.col("_b.d")).drop("_b", "_c")
-
-
-def regions_assign(df: DataFrame, centres: DataFrame) -> DataFrame:
-    """Nearest region and distance of each message; (-1, infinity) for ids without regions."""
-    per_id = centres.groupBy("can_id").agg(F.array_sort(F.collect_list(F.struct("region", "centre"))).alias("_c"))
-    best = F.expr("array_min(transform(_c, c -> named_struct('d', sqrt(aggregate(zip_with(payload, c.centre, (x, y) -> (x - y) * (x - y)), 0D, (s, v) -> s + v)), 'region', c.region)))")
-    out = df.join(per_id, "can_id", "left").withColumn("_b", best)
-    return out.withColumn("region", F.coalesce("_b.region", F.lit(-1))).withColumn("distance", F.coalesce("_b.d", F.lit(float("inf")))).drop("_b", "_c")
-
-
-def bin_of(value: Column, edges: Column) -> Column:
-    """Number of edges at or below the value, less one, held in 0..n-1 bins."""
-    return F.least(F.size(edges) - 1, F.greatest(F.lit(0), F.size(F.filter(edges, lambda e: e <= value)) - 1))
-
-
-def window_items(df: DataFrame, item: Column, *keys: str) -> DataFrame:
-    """Distinct items of each window."""
-    return df.select(*keys, item.alias("item")).distinct()
-
-
-def itemset_support(items: DataFrame, key: str, share: float, most: int = 3) -> DataFrame:
-    """Itemsets of up to ``most`` items in at least ceil(share * windows) windows, as sorted arrays, with counts.
-
-    Each level joins the window's frequent items only, so its pairs and triples
-    stay within what can be frequent.
-    """
-    total = items.select(key).distinct().count()
-    need = math.ceil(share * total)
-    singles = items.groupBy("item").agg(F.count_distinct(key).alias("n")).where(F.col("n") >= need)
-    out = singles.select(F.array("item").alias("items"), "n")
-    frequent = items.join(F.broadcast(singles.select("item")) if singles.count() <= 10_000 else singles.select("item"), "item", "left_semi").distinct()
-    level = frequent.select(key, F.array("item").alias("items"))
-    for _ in range(2, most + 1):
-        wider = level.join(frequent, key).where(F.col("item") > F.element_at("items", -1)).select(key, F.concat("items", F.array("item")).alias("items"))
-        counts = wider.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= need)
-        out = out.unionByName(counts)
-        level = wider.join(counts.select("items"), "items", "left_semi")
-    return out
-
-
-def window_itemsets(items: DataFrame, key: str) -> DataFrame:
-    """All itemsets of one or two items of each window."""
-    pairs = items.alias("a").join(items.alias("b"), key).where("a.item < b.item").select(key, F.array("a.item", "b.item").alias("items"))
-    return items.select(key, F.array("item").alias("items")).unionByName(pairs)
-
-
-def chi_square_shift(windows_ids: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
-    """Per window: sum (o - e)^2 / e over all known ids (absent ones count 0) and whether it exceeds 3.84 max(k - 1, 1).
-
-    Absent ids contribute just their expected count, so only ids that occur are
-    joined: sum over present (o - e)^2 / e + n (1 - share of the present).
-    """
-    known = windows_ids.join(baseline, "can_id")
-    n = F.sum("o")
-    per = known.groupBy(key).agg(n.alias("n"), F.collect_list(F.struct("o", "share")).alias("x"), F.sum("share").alias("covered"))
-    k = baseline.agg(F.count("*").alias("k"))
-    present = F.expr("aggregate(x, 0D, (s, v) -> s + power(v.o - n * v.share, 2) / (n * v.share))")
-    out = per.withColumn("chi2", present + F.col("n") * (1 - F.col("covered"))).crossJoin(F.broadcast(k))
-    return out.select(key, "chi2", (F.col("chi2") > 3.84 * F.greatest(F.col("k") - 1, F.lit(1))).alias("shifted"))
-
-
-def rules_score(items: DataFrame, legal: DataFrame, unknown: DataFrame, shifted: DataFrame, windows: DataFrame, key: str) -> DataFrame:
-    """Window score: unknown id or shifted distribution 1; no items 0; else the share of its itemsets that are not legal."""
-    sets = window_itemsets(items, key).join(legal.select("items", F.lit(1).alias("_legal")), "items", "left")
-    share = sets.groupBy(key).agg((F.count_if(F.col("_legal").isNull()) / F.count("*")).alias("missing"))
-    out = windows.select(key).distinct().join(share, key, "left").join(unknown.select(key).distinct().withColumn("_u", F.lit(True)), key, "left").join(shifted.where("shifted").select(key, F.lit(True).alias("_s")), key, "left")
-    return out.select(key, F.when(F.col("_u") | F.col("_s"), 1.0).otherwise(F.coalesce("missing", F.lit(0.0))).alias("score"))
-
-
 # signals -----------------------------------------------------------------------------
 
 

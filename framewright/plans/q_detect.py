@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from .. import bridge
 from ..operators import detect as D
 from ..operators import evaluate as E
+from ..operators import rules as U
 from ..operators import windows as W
 from ..functions import scalars as S
 from ..registry import Registry
-from .q_sources import scratch
+from ..scratch import kept
 
 R = Registry()
 HOUR = 3_600_000_000
@@ -191,13 +192,49 @@ def payloads(spark, sf):
     return f(spark, sf).withColumn("can_id", F.col("can_id") % 8).withColumn("payload", F.array(*(b.cast("double") for b in S.payload_bytes(F.col("data_hex")))))
 
 
-@R.add("payload_regions_fit")
-def _(spark, sf):
-    m = D.regions_fit(payloads(spark, sf).where(f"source_file < '{DAY}' AND label = 0"), 4, rounds=3)
-    return m.select("can_id", "region", F.transform("centre", lambda x: F.round(x, 6)).alias("centre"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+BYTES = "[" + ", ".join(f"CAST(coalesce(try_cast('0x' || nullif(substr(data_hex, {2 * i + 1}, 2), '') AS INT), 0) AS DOUBLE)" for i in range(8)) + "]"
+_FAR = "sqrt(list_sum(list_transform(list_zip(v, centre), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
 
 
-BYTES = "[" + ", ".join(f"CAST(coalesce(try_cast('0x' || nullif(substr(data_hex, {2 * i + 1}, 2), '') AS INT), 0) AS DOUBLE)" for i in range(8)) + "]"
+def kmeans_sql(name, dim, k, rounds):
+    """The rounds of ``lloyd`` on a table {name}_p (pid, key, v, n, first): centres {name}_c, nearest ones {name}_a."""
+    near = f"SELECT p.pid, any_value(p.key) AS key, any_value(v) AS v, any_value(n) AS n, min(struct_pack(d := {_FAR}, c := c)) AS b FROM {name}_p p JOIN %s q ON p.key = q.key GROUP BY p.pid"
+    out = [f"{name}_c0 AS (SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY first, v) - 1 AS INT) AS c, v AS centre FROM {name}_p QUALIFY c < {k})"]
+    mean = ", ".join(f"sum(v[{i}] * n) / sum(n)" for i in range(1, dim + 1))
+    for r in range(1, rounds + 1):
+        out += [f"{name}_a{r} AS ({near % f'{name}_c{r - 1}'})", f"{name}_c{r} AS (SELECT key, b.c AS c, [{mean}] AS centre FROM {name}_a{r} GROUP BY key, b.c)"]
+    return ", ".join([*out, f"{name}_c AS (SELECT * FROM {name}_c{rounds})", f"{name}_a AS ({near % f'{name}_c'})"])
+
+
+K, GROUPS, QUANTS, BINS, ROUNDS = 4, 5, 6, 10, 2
+PAY = "WITH " + bridge.DUCK + f""", pay AS (SELECT idx_src, ts_us, can_id % 8 AS can_id, {BYTES} AS v, source_file, label FROM f),
+r_p AS (SELECT row_number() OVER () AS pid, can_id AS key, v, count(*) AS n, md5(array_to_string(list_transform(v, lambda x: CAST(x AS INT)), ',')) AS first FROM pay WHERE source_file < '{DAY}' AND label = 0 GROUP BY can_id, v),
+{kmeans_sql("r", 8, K, ROUNDS)},
+bound AS (SELECT key, b.c AS c, quantile_cont(b.d, 0.01) AS low, quantile_cont(b.d, 0.99) AS high FROM (SELECT key, b, unnest(range(n)) FROM r_a) GROUP BY ALL),
+region AS (SELECT key AS can_id, c AS region, centre, low, high FROM r_c JOIN bound USING (key, c))"""
+CHAIN = PAY + f""", named AS (SELECT row_number() OVER () AS pid, can_id, region, centre, round(low, 9) AS low, round(high, 9) AS high, md5(can_id || ':' || region) AS first FROM region),
+g_p AS (SELECT pid, 0 AS key, list_concat(centre, [low, high]) AS v, 1 AS n, first FROM named), {kmeans_sql("g", 10, GROUPS, ROUNDS)},
+q_p AS (SELECT pid, 0 AS key, centre AS v, 1 AS n, first FROM named), {kmeans_sql("q", 8, QUANTS, ROUNDS)},
+edges AS (SELECT list_transform(quantile_cont(b, {[q / BINS for q in range(BINS + 1)]}), lambda e: round(e, 9)) AS e FROM (SELECT unnest([low, high]) AS b FROM named)),
+binned AS (SELECT named.*, g_a.b.c AS grp, q_a.b.c AS quant, CAST(least({BINS - 1}, greatest(0, len(list_filter(e, lambda x: x <= low)) - 1)) AS INT) AS low_bin,
+  CAST(least({BINS - 1}, greatest(0, len(list_filter(e, lambda x: x <= high)) - 1)) AS INT) AS high_bin FROM named JOIN g_a USING (pid) JOIN q_a USING (pid), edges),
+coded AS (SELECT can_id, region, centre, grp, quant, low_bin, high_bin, 'R' || grp || '_Q' || quant || '_B' || low_bin || '_' || high_bin AS item FROM binned),
+msg AS (SELECT idx_src, any_value(ts_us) AS ts_us, any_value(pay.can_id) AS can_id, any_value(source_file) AS source_file, any_value(label) AS label, arg_min(item, struct_pack(d := {_FAR}, c := region)) AS item FROM pay JOIN coded USING (can_id) GROUP BY idx_src)"""
+
+
+def payload_regions(spark, sf):
+    first = F.md5(F.array_join(F.transform("payload", lambda x: x.cast("int").cast("string")), ","))
+    return U.regions_fit(payloads(spark, sf).where(f"source_file < '{DAY}' AND label = 0"), K, ROUNDS, first)
+
+
+def coded_regions(spark, sf):
+    return kept(U.region_groups(payload_regions(spark, sf), GROUPS, QUANTS, BINS, ROUNDS), "coded")
+
+
+@R.add("payload_regions_fit", PAY + " SELECT can_id, region, list_transform(centre, lambda x: round(x, 6)) AS centre, round(low, 6) AS low, round(high, 6) AS high FROM region")
+def _(spark, sf):
+    m = payload_regions(spark, sf)
+    return m.select("can_id", "region", F.transform("centre", lambda x: F.round(x, 6)).alias("centre"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @R.add("payload_regions_assign", "WITH " + bridge.DUCK + f""", p AS (SELECT idx_src, can_id % 8 AS can_id, {BYTES} AS v, source_file FROM f),
@@ -210,37 +247,29 @@ def _(spark, sf):
 
     p = payloads(spark, sf)
     c = p.where("can_id < 6").withColumn("region", F.row_number().over(Window.partitionBy("can_id").orderBy("idx_src")) - 1).where("region < 3").select("can_id", "region", F.col("payload").alias("centre"))
-    return D.regions_assign(p, c).select("idx_src", "region", F.round("distance", 6).alias("distance"))
+    return U.regions_assign(p, c).select("idx_src", "region", F.round("distance", 6).alias("distance"))
 
 
-@R.add("region_groups")
+@R.add("region_groups", CHAIN + " SELECT can_id, region, grp, quant, low_bin, high_bin, item FROM coded")
 def _(spark, sf):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    return coded_regions(spark, sf).drop("centre")
 
-    m = D.regions_fit(payloads(spark, sf).where(f"source_file < '{DAY}' AND label = 0"), 4, rounds=2)
-    points = m.withColumn("v", array_to_vector(F.concat("centre", F.array("low", "high"))))
-    grouped = KMeans(k=5, seed=3, featuresCol="v", predictionCol="grp").fit(points).transform(points)
-    edges = m.agg(F.percentile("low", F.array(*(F.lit(q / 10) for q in range(10)))).alias("edges"))
-    return grouped.crossJoin(F.broadcast(edges)).select("can_id", "region", "grp", D.bin_of(F.col("low"), F.col("edges")).alias("low_bin"))
 
+WI = CHAIN + f""", items AS (SELECT DISTINCT (ts_us - (SELECT min(ts_us) FROM f)) // {6 * HOUR} AS window_no, item FROM msg),
+tot AS (SELECT CAST(ceil(0.3 * count(DISTINCT window_no)) AS BIGINT) AS need FROM items)"""
 
-WI = "WITH " + bridge.DUCK + f""", b AS (SELECT *, can_id % 10 AS id, (ts_us - (SELECT min(ts_us) FROM f)) // {6 * HOUR} AS window_no FROM f),
-items AS (SELECT DISTINCT window_no, 'R' || id || '_Q' || (dlc // 3) AS item FROM b), tot AS (SELECT CAST(ceil(0.9 * count(DISTINCT window_no)) AS BIGINT) AS need FROM items)"""
 
-
-def binned(spark, sf):
-    df = f(spark, sf)
-    return df.crossJoin(F.broadcast(df.agg(F.min("ts_us").alias("t0")))).withColumn("window_no", F.floor((F.col("ts_us") - F.col("t0")) / (6 * HOUR))).withColumn("can_id", F.col("can_id") % 10)
+def binned(df):
+    return df.crossJoin(F.broadcast(df.agg(F.min("ts_us").alias("t0")))).withColumn("window_no", F.floor((F.col("ts_us") - F.col("t0")) / (6 * HOUR)))
 
 
-def items(df):
-    return D.window_items(df, F.concat(F.lit("R"), F.col("can_id").cast("string"), F.lit("_Q"), F.floor(F.col("dlc") / 3).cast("string")), "window_no")
+def items(spark, sf):
+    return U.window_items(binned(U.message_items(payloads(spark, sf), coded_regions(spark, sf))), "window_no")
 
 
 @R.add("window_items", WI + " SELECT * FROM items")
 def _(spark, sf):
-    return items(binned(spark, sf))
+    return items(spark, sf)
 
 
 SUPPORT = WI + """, n1 AS (SELECT [item] AS items, count(*) AS n FROM items GROUP BY 1), n2 AS (SELECT [a.item, b.item] AS items, count(*) AS n FROM items a JOIN items b ON a.window_no = b.window_no AND a.item < b.item GROUP BY 1),
@@ -250,54 +279,59 @@ SELECT array_to_string(items, ',') AS items, n FROM (SELECT * FROM n1 UNION ALL
 
 @R.add("itemset_support", SUPPORT)
 def _(spark, sf):
-    return D.itemset_support(items(binned(spark, sf)), "window_no", 0.9).select(F.array_join("items", ",").alias("items"), "n")
+    return U.itemset_support(items(spark, sf), "window_no", 0.3).select(F.array_join("items", ",").alias("items"), "n")
 
 
 @R.add("window_itemsets", WI + " SELECT window_no, item AS items FROM items UNION ALL SELECT a.window_no, a.item || ',' || b.item FROM items a JOIN items b ON a.window_no = b.window_no AND a.item < b.item")
 def _(spark, sf):
-    return D.window_itemsets(items(binned(spark, sf)), "window_no").select("window_no", F.array_join("items", ",").alias("items"))
-
-
-def count_items(spark, sf):
-    """Exploded windows, written once for all that read them, and their items."""
-    path = scratch(spark, "windows")
-    W.message_count_windows(W.row_index(f(spark, sf).withColumn("can_id", F.col("can_id") % 10)), 90, 45).write.parquet(path)
-    e = spark.read.parquet(path)
-    return e, items(e)
+    return U.window_itemsets(kept(items(spark, sf), "items"), "window_no").select("window_no", F.array_join("items", ",").alias("items"))
 
 
-RW = "WITH " + bridge.DUCK + f""", i AS (SELECT *, can_id % 10 AS id, row_number() OVER (ORDER BY source_file, ts_us, idx_src) - 1 AS row FROM f),
+RW = CHAIN + f""", i AS (SELECT *, row_number() OVER (ORDER BY source_file, ts_us, idx_src) - 1 AS row FROM msg),
 e AS (SELECT *, unnest(range(CAST(greatest(0, ceil((row - 90 + 1) / 45.0)) AS BIGINT), row // 45 + 1)) AS window_no FROM i),
-items AS (SELECT DISTINCT window_no, 'R' || id || '_Q' || (dlc // 3) AS item FROM e),
-tr AS (SELECT window_no FROM e GROUP BY 1 HAVING max(source_file) < '{DAY}'), need AS (SELECT CAST(ceil(0.8 * count(*)) AS BIGINT) AS need FROM tr),
-ti AS (SELECT * FROM items SEMI JOIN tr USING (window_no)),
+items AS (SELECT DISTINCT window_no, item FROM e WHERE item IS NOT NULL),
+tr AS (SELECT window_no FROM e GROUP BY 1 HAVING max(source_file) < '{DAY}'), need AS (SELECT CAST(ceil(0.5 * count(*)) AS BIGINT) AS need FROM tr),
 sets AS (SELECT window_no, [item] AS items FROM items UNION ALL SELECT a.window_no, [a.item, b.item] FROM items a JOIN items b ON a.window_no = b.window_no AND a.item < b.item),
 legal AS (SELECT items FROM sets SEMI JOIN tr USING (window_no) GROUP BY items HAVING count(*) >= (SELECT need FROM need)),
 share AS (SELECT window_no, count(*) FILTER (legal.items IS NULL) / count(*) AS missing FROM sets LEFT JOIN legal ON sets.items = legal.items GROUP BY 1),
-base AS (SELECT id, count(*) / sum(count(*)) OVER () AS share FROM f2 GROUP BY 1), o AS (SELECT window_no, id, count(*) AS o FROM e GROUP BY 1, 2),
-full_o AS (SELECT w.window_no, base.id, share, coalesce(o, 0) AS o, sum(coalesce(o, 0)) OVER (PARTITION BY w.window_no) AS n FROM (SELECT DISTINCT window_no FROM e) w CROSS JOIN base LEFT JOIN o ON o.window_no = w.window_no AND o.id = base.id),
-chi AS (SELECT window_no, sum((o - n * share) ** 2 / (n * share)) AS chi2, sum((o - n * share) ** 2 / (n * share)) > 3.84 * greatest((SELECT count(*) FROM base) - 1, 1) AS shifted FROM full_o GROUP BY 1)""".replace("FROM f2", f"FROM (SELECT can_id % 10 AS id FROM f WHERE source_file < '{DAY}')")
+base AS (SELECT can_id, count(*) / sum(count(*)) OVER () AS share FROM msg WHERE source_file < '{DAY}' GROUP BY 1), o AS (SELECT window_no, can_id, count(*) AS o FROM e GROUP BY 1, 2),
+full_o AS (SELECT w.window_no, base.can_id, share, coalesce(o, 0) AS o, sum(coalesce(o, 0)) OVER (PARTITION BY w.window_no) AS n FROM (SELECT DISTINCT window_no FROM e) w CROSS JOIN base LEFT JOIN o ON o.window_no = w.window_no AND o.can_id = base.can_id),
+chi AS (SELECT window_no, sum((o - n * share) ** 2 / (n * share)) AS chi2, sum((o - n * share) ** 2 / (n * share)) > 3.84 * greatest((SELECT count(*) FROM base) - 1, 1) AS shifted FROM full_o GROUP BY 1)"""
+
+
+def contents(spark, sf):
+    """What stands in each window of 90 messages, counted once for all that read it."""
+    coded = U.message_items(payloads(spark, sf), coded_regions(spark, sf))
+    return kept(U.window_contents(W.row_index(coded), 90, 45, "can_id", "item"), "contents")
+
 
+def id_shares(spark, sf):
+    seen = f(spark, sf).where(f"source_file < '{DAY}'").withColumn("can_id", F.col("can_id") % 8).groupBy("can_id").agg(F.count("*").alias("c"))
+    return seen.crossJoin(F.broadcast(seen.agg(F.sum("c").alias("t")))).select("can_id", (F.col("c") / F.col("t")).alias("share"))
 
-def rules_parts(spark, sf):
-    e, it = count_items(spark, sf)
-    train = e.groupBy("window_no").agg(F.max("source_file").alias("d")).where(f"d < '{DAY}'").select("window_no")
-    legal = D.itemset_support(it.join(train, "window_no", "left_semi"), "window_no", 0.8, most=2)
-    seen = f(spark, sf).where(f"source_file < '{DAY}'").withColumn("can_id", F.col("can_id") % 10).groupBy("can_id").agg(F.count("*").alias("c"))
-    base = seen.crossJoin(F.broadcast(seen.agg(F.sum("c").alias("t")))).select("can_id", (F.col("c") / F.col("t")).alias("share"))
-    shifted = D.chi_square_shift(e.groupBy("window_no", "can_id").agg(F.count("*").alias("o")), base, "window_no")
-    unknown = e.join(base, "can_id", "left_anti").select("window_no")
-    return e, it, legal, shifted, unknown
+
+def legal_sets(e):
+    train = e.groupBy("window_no").agg(F.max("last").alias("d")).where(f"d < '{DAY}'").select("window_no")
+    return U.itemset_support(U.window_items(e.join(train, "window_no", "left_semi"), "window_no"), "window_no", 0.5, most=2)
+
+
+def shifts(e, base):
+    return U.chi_square_shift(e.groupBy("window_no", "can_id").agg(F.sum("n").alias("o")), base, "window_no")
+
+
+def window_scores(spark, sf):
+    e, base = contents(spark, sf), id_shares(spark, sf)
+    return U.rules_score(U.window_items(e, "window_no"), legal_sets(e), e.join(base, "can_id", "left_anti").select("window_no"), shifts(e, base), e, "window_no")
 
 
 @R.add("rules_fit", RW + " SELECT array_to_string(items, ',') AS items FROM legal")
 def _(spark, sf):
-    return rules_parts(spark, sf)[2].select(F.array_join("items", ",").alias("items"))
+    return legal_sets(contents(spark, sf)).select(F.array_join("items", ",").alias("items"))
 
 
 @R.add("chi_square_shift", RW + " SELECT window_no, round(chi2, 6) AS chi2, shifted FROM chi")
 def _(spark, sf):
-    return rules_parts(spark, sf)[3].withColumn("chi2", F.round("chi2", 6))
+    return shifts(contents(spark, sf), id_shares(spark, sf)).withColumn("chi2", F.round("chi2", 6))
 
 
 RSCORE = RW + ", sc AS (SELECT window_no, CASE WHEN shifted THEN 1.0 ELSE coalesce(missing, 0) END AS score FROM chi LEFT JOIN share USING (window_no))"
@@ -305,22 +339,19 @@ RSCORE = RW + ", sc AS (SELECT window_no, CASE WHEN shifted THEN 1.0 ELSE coales
 
 @R.add("rules_score_windows", RSCORE + " SELECT window_no, round(score, 9)::DOUBLE AS score FROM sc")
 def _(spark, sf):
-    e, it, legal, shifted, unknown = rules_parts(spark, sf)
-    return D.rules_score(it, legal, unknown, shifted, e, "window_no").withColumn("score", F.round("score", 9))
+    return window_scores(spark, sf).withColumn("score", F.round("score", 9))
 
 
 @R.add("rules_protocol_eval", RSCORE + ", m AS (SELECT idx_src, any_value(label) AS label, arg_min(CAST(score > 0.5 AS INT), window_no) AS pred FROM e JOIN sc USING (window_no) GROUP BY idx_src) SELECT count(*) FILTER (pred = 1 AND label = 1) AS tp, count(*) FILTER (pred = 1 AND label = 0) AS fp, count(*) FILTER (pred = 0 AND label = 1) AS fn, count(*) FILTER (pred = 0 AND label = 0) AS tn FROM m")
 def _(spark, sf):
-    e, it, legal, shifted, unknown = rules_parts(spark, sf)
-    pred = D.rules_score(it, legal, unknown, shifted, e, "window_no").select("window_no", (F.col("score") > 0.5).cast("int").alias("pred"))
-    m = W.first_window_prediction(e.select("idx_src", "window_no"), pred).join(f(spark, sf).select("idx_src", "label"), "idx_src")
-    return E.confusion(m).select("tp", "fp", "fn", "tn")
+    pred = window_scores(spark, sf).select("window_no", (F.col("score") > 0.5).cast("int").alias("pred"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("row") - 90 + 1) / 45)).alias("window_no")  # every window that a message is in has a score
+    return E.confusion(W.row_index(f(spark, sf)).select("label", first).join(pred, "window_no")).select("tp", "fp", "fn", "tn")
 
 
-@R.add("unknown_id_windows", WI + f" SELECT DISTINCT window_no FROM b WHERE can_id NOT IN (SELECT can_id FROM b WHERE window_no < 8)")
+@R.add("unknown_id_windows", "WITH " + bridge.DUCK + f", b AS (SELECT can_id, (ts_us - (SELECT min(ts_us) FROM f)) // {6 * HOUR} AS window_no FROM f) SELECT DISTINCT window_no FROM b WHERE can_id NOT IN (SELECT can_id FROM b WHERE window_no < 8)")
 def _(spark, sf):
-    df = f(spark, sf)
-    b = df.crossJoin(F.broadcast(df.agg(F.min("ts_us").alias("t0")))).withColumn("window_no", F.floor((F.col("ts_us") - F.col("t0")) / (6 * HOUR)))
+    b = binned(f(spark, sf))
     return b.join(b.where("window_no < 8").select("can_id").distinct(), "can_id", "left_anti").select("window_no").distinct()
 
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import bridge
 from ..registry import Registry
+from ..scratch import scratch
 from ..sources import readers as I
 from ..sources import sinks as O
 
@@ -18,16 +15,6 @@ WITH = "WITH " + bridge.DUCK + " "
 TS = "CAST(ts_us AS DECIMAL(20,6)) / 1000000"
 
 
-def scratch(spark, what):
-    """A new folder in the shared folder of the cluster; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def f(spark, sf):
     return bridge.frames(spark, sf)
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import bridge
 from ..registry import Registry
+from ..scratch import scratch
 from ..streaming import streams as X
-from .q_sources import scratch
 
 R = Registry()
 WITH = "WITH " + bridge.DUCK + " "

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import detect, evaluate, stats, windows
+from framewright.operators import detect, evaluate, rules, stats, windows
 from framewright.plans import catalog
 
 Q = catalog.queries()
@@ -37,7 +37,7 @@ def test_regions_fit_against_numpy(spark):
     rng = np.random.default_rng(5)
     data = [(int(i % 3), [float(x) for x in rng.integers(0, 6, 4)]) for i in range(300)]
     df = spark.createDataFrame(data, "can_id long, payload array<double>")
-    got = detect.regions_fit(df, 3, rounds=3).collect()
+    got = rules.regions_fit(df, 3, rounds=3).collect()
     starts = df.distinct().withColumn("h", F.xxhash64("payload")).orderBy("h", "payload").collect()
     for i in range(3):
         x = np.array([p for c, p in data if c == i])
@@ -102,9 +102,39 @@ def test_candidate_sweep_against_numpy(spark, sf_dir):
             assert got[round(gamma, 12), nu] == pytest.approx(far, abs=0.02)
 
 
-def test_region_groups(spark, sf_dir):
-    rows = Q["region_groups"](spark, sf_dir).collect()
-    assert len({(r.can_id, r.region) for r in rows}) == len(rows) and {r.grp for r in rows} <= set(range(5)) and {r.low_bin for r in rows} <= set(range(10))
+def test_itemsets_by_hand(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(9)
+    windows = {int(w): sorted({f"i{int(x)}" for x in rng.integers(0, 9, rng.integers(0, 8))}) for w in rng.choice(1000, 200, replace=False)}
+    rows = [(w, i) for w, held in windows.items() for i in held]
+    items = spark.createDataFrame(rows + rows[:50], "w long, item string")
+    windows = {w: held for w, held in windows.items() if held}
+    for share, most in ((0.02, 4), (0.1, 3), (0.3, 2), (0.99, 3)):
+        need = max(1, math.ceil(share * len(windows)))
+        counts = {c: sum(set(c) <= set(held) for held in windows.values()) for size in range(1, most + 1) for c in combinations(sorted({i for _, i in rows}), size)}
+        legal = rules.itemset_support(items, "w", share, most)
+        assert {tuple(r["items"]): r.n for r in legal.collect()} == {c: n for c, n in counts.items() if n >= need}, (share, most)
+    legal = rules.itemset_support(items, "w", 0.1, 2)
+    sets = {tuple(r["items"]) for r in legal.collect()}
+    none = spark.createDataFrame([], "w long")
+    got = {r.w: r.score for r in rules.rules_score(items, legal, none, none.withColumn("shifted", F.lit(True)), items, "w").collect()}
+    for w, held in windows.items():
+        own = [c for size in (1, 2) for c in combinations(held, size)]
+        assert got[w] == pytest.approx(sum(c not in sets for c in own) / len(own))
+    assert rules.itemset_support(items.limit(0), "w", 0.5).count() == 0
+
+
+def test_window_contents_by_steps_and_by_rows(spark):
+    df = spark.range(500).select(F.col("id").alias("row"), (F.col("id") * F.col("id") % 7).alias("can_id"), F.format_string("f%d", F.floor(F.col("id") / 200)).alias("source_file"))
+    for size, stride in ((90, 45), (30, 30), (45, 15), (40, 25), (10, 25)):
+        got = {(r.window_no, r.can_id): (r.n, r["last"]) for r in rules.window_contents(df, size, stride, "can_id").collect()}
+        want = {}
+        for w in range(500 // stride + 1):
+            for row in range(w * stride, min(500, w * stride + size)):
+                n, last = want.get((w, row * row % 7), (0, ""))
+                want[w, row * row % 7] = (n + 1, max(last, f"f{row // 200}"))
+        assert got == want, (size, stride)
 
 
 def test_distinct_ids_approx(spark, sf_dir):

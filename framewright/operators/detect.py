@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import kept
 from . import windows as W
-from .blocks import carried, last_values, with_start
+from .blocks import carried, fits, last_values, with_start
+from .ranks import exact_quantiles, range_of, splitters
 
 # n-grams ----------------------------------------------------------------------
 
@@ -144,10 +146,11 @@ def asof_align(df: DataFrame, values: dict[int, int], cutoff_us: int = 0) -> Dat
     mine = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
     rows = df.where(F.col("can_id").isin(*values)).withColumn("_n", F.try_element_at(mine, F.col("can_id").cast("int")))
     longest = max(values.values())
+    short = fits(rows, ("source_file",))  # then its ids are short, too
     q = F.filter("_q", lambda x: x.isNotNull())
-    rows = last_values(rows, longest, F.col("signal1"), ("source_file", "can_id"), "_q").withColumn("_q", q)
+    rows = last_values(rows, longest, F.col("signal1"), ("source_file", "can_id"), "_q", short).withColumn("_q", q)
     rows = rows.withColumn("_q", F.slice("_q", -F.least(F.col("_n"), F.size("_q")), F.least(F.col("_n"), F.size("_q"))))
-    rows = carried(rows, {f"seq_{k}": F.when((F.col("can_id") == k) & (F.size("_q") == n), F.col("_q")) for k, n in values.items()})
+    rows = carried(rows, {f"seq_{k}": F.when((F.col("can_id") == k) & (F.size("_q") == n), F.col("_q")) for k, n in values.items()}, short=short)
     ready = F.col("ts_us") > F.col("_t0") + cutoff_us
     for k in values:
         ready = ready & F.col(f"seq_{k}").isNotNull()
@@ -170,17 +173,17 @@ def pca_residual(train: DataFrame, test: DataFrame, features: str, k: int) -> Da
 
 
 #: Blocks that the rows of a signal are cut in.
-BLOCKS = 1024
+BLOCKS = 256
 
 
 def running_share(df: DataFrame, rows: int = 10) -> DataFrame:
     """Mean of ``hit`` over the last ``rows`` rows of each signal, as ``run``; row_id is a number.
 
-    A signal's rows are cut in blocks of row_id; the last rows before a block are
-    carried into it, so that no task holds a whole signal.
+    A signal's rows are cut in blocks of about as many rows, by quantiles of row_id; the
+    last rows before a block are carried into it, so that no task holds a whole signal.
     """
-    ends = df.groupBy("signal").agg(F.min("row_id").alias("_lo"), F.max("row_id").alias("_hi"))
-    part = df.join(ends, "signal").withColumn("_b", F.floor((F.col("row_id") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)) * (BLOCKS - 1)).cast("int")).drop("_lo", "_hi")
+    ends = df.groupBy("signal").agg(splitters(F.col("row_id"), BLOCKS).alias("_s"))
+    part = df.join(ends, "signal").withColumn("_b", range_of(F.col("_s"), F.col("row_id"), BLOCKS)).drop("_s")
     block = Window.partitionBy("signal", "_b")
     last = part.withColumn("_k", F.row_number().over(block.orderBy(F.desc("row_id")))).where(F.col("_k") < rows)
     tails = last.groupBy("signal", "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "hit"))), lambda x: x.hit).alias("_t"))
@@ -196,18 +199,18 @@ def running_share(df: DataFrame, rows: int = 10) -> DataFrame:
 
 def three_step_threshold(train: DataFrame, test: DataFrame, loss_q: float, time_q: float, signal_q: float) -> DataFrame:
     """Losses (row_id, signal, loss): per-signal loss limit, per-signal limit on the running share of violations, and a limit on the share of violating signals."""
-    loss = train.groupBy("signal").agg(F.percentile("loss", loss_q).alias("loss_limit"))
+    loss = exact_quantiles(train, "loss", {"loss_limit": loss_q}, ["signal"])
 
     def violations(df: DataFrame) -> DataFrame:
-        return running_share(df.join(loss, "signal").withColumn("hit", (F.col("loss") > F.col("loss_limit")).cast("double")))
+        return kept(running_share(df.join(loss, "signal").withColumn("hit", (F.col("loss") > F.col("loss_limit")).cast("double"))).select("row_id", "signal", "run"), "violations")
 
     a = violations(train)
-    time = a.groupBy("signal").agg(F.percentile("run", time_q).alias("time_limit"))
+    time = exact_quantiles(a, "run", {"time_limit": time_q}, ["signal"])
 
     def shares(df: DataFrame) -> DataFrame:
         return df.join(time, "signal").groupBy("row_id").agg(F.avg((F.col("run") > F.col("time_limit")).cast("double")).alias("share"))
 
-    limit = shares(a).agg(F.percentile("share", signal_q).alias("signal_limit"))
+    limit = exact_quantiles(shares(a), "share", {"signal_limit": signal_q})
     return shares(violations(test)).crossJoin(F.broadcast(limit)).select("row_id", "share", (F.col("share") > F.col("signal_limit")).cast("int").alias("pred"))
 
 

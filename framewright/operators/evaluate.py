@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import kept
 from .blocks import place
+from .ranks import exact_quantiles, range_of, splitters
 
 #: Ranges of scores whose running sums are formed apart and joined by their totals.
-RANGES = 1024
+RANGES = 256
 #: Slices with both classes.
 TWO = "pos > 0 AND neg > 0"
 
@@ -26,14 +28,14 @@ def _with(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
 def curve(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """tp, fp, totals and rates at each distinct score taken as threshold (score >= threshold).
 
-    Running sums go in two steps, so that no task orders a whole slice: within
-    each of ``RANGES`` ranges of scores, and over the ranges' totals.
+    Scores are counted once, in a written table.  Running sums go in two steps, so that no
+    task orders a whole slice: within each of ``RANGES`` ranges of about as many distinct
+    scores, by quantiles, and over the ranges' totals.
     """
     keys = keys or []
-    per = scores.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    whole = per.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    at = (F.col("_hi") - F.col("score")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300)) * (RANGES - 1)
-    per = _with(per, whole, keys).withColumn("_r", F.floor(at).cast("int")).drop("_lo", "_hi")
+    per = kept(scores.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")), "scores")
+    whole = per.groupBy(*keys).agg(splitters(F.col("score"), RANGES).alias("_s"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    per = _with(per, whole, keys).withColumn("_r", RANGES - range_of(F.col("_s"), F.col("score"), RANGES)).drop("_s")
     above = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     totals = per.groupBy(*keys, "_r").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # at most RANGES rows a slice
     totals = totals.select(*keys, "_r", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
@@ -58,8 +60,11 @@ def roc_points(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def roc_auc(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Trapezoid area; null when a slice has one class."""
-    keys = keys or []
-    return curve(scores, keys).groupBy(*keys).agg(F.sum((F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2).alias("auc"))
+    return _area(curve(scores, keys), keys or [])
+
+
+def _area(c: DataFrame, keys: list[str]) -> DataFrame:
+    return c.groupBy(*keys).agg(F.sum((F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2).alias("auc"))
 
 
 def average_precision(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -69,8 +74,13 @@ def average_precision(scores: DataFrame, keys: list[str] | None = None) -> DataF
 
 def _or_median(best: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     """The threshold of each slice, or its median score where the slice has one class."""
-    median = scores.groupBy(*keys).agg(F.percentile("score", 0.5).alias("median"))
-    joined = median.join(best, keys, "left") if keys else median.join(best, F.lit(True), "left")
+    slices = scores.groupBy(*keys).agg((F.min("label") == F.max("label")).alias("_one"))
+    if keys:
+        alone = scores.join(slices.where("_one").drop("_one"), keys, "left_semi")
+        joined = slices.join(best, keys, "left").join(exact_quantiles(alone, "score", {"median": 0.5}, keys), keys, "left")
+    else:
+        alone = scores.crossJoin(F.broadcast(slices)).where("_one")  # one row
+        joined = slices.join(best, F.lit(True), "left").crossJoin(F.broadcast(exact_quantiles(alone, "score", {"median": 0.5})))
     return joined.select(*keys, F.coalesce("threshold", "median").alias("threshold"))
 
 
@@ -116,7 +126,7 @@ def tpr_at_fpr(scores: DataFrame, at: float, keys: list[str] | None = None) -> D
 
 def quantile_threshold(scores: DataFrame, q: float, keys: list[str] | None = None) -> DataFrame:
     """Exact quantile with linear interpolation."""
-    return scores.groupBy(*(keys or [])).agg(F.percentile("score", q).alias("threshold"))
+    return exact_quantiles(scores, "score", {"threshold": q}, keys)
 
 
 def three_sigma_threshold(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -191,7 +201,7 @@ def evaluate_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     met = counts.join(rules, keys).withColumn("hit", F.col("score") >= F.col("threshold"))
     sums = met.groupBy(*keys, "rule", "threshold").agg(*(F.coalesce(F.sum(F.when(F.col("hit") == a, F.when(F.col("label") == b, F.col("n")))), F.lit(0)).alias(n) for n, a, b in (("tp", True, 1), ("fp", True, 0), ("fn", False, 1), ("tn", False, 0))))
     sizes = single_class_report(scores, keys)
-    return sizes.join(sums.join(roc_auc(scores, keys), keys, "left"), keys, "left")
+    return sizes.join(sums.join(_area(c, keys), keys, "left"), keys, "left")
 
 
 def single_class_report(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -222,14 +232,17 @@ def placed(df: DataFrame, order: Column | None, keys: list[str] | None = None) -
     """Each row's place (_nth, from 0) in the order and the number of rows (_n), by slice or over all rows.
 
     The order is a number (nulls first), or None for that of the messages.  Rows are ranked
-    in ``RANGES`` ranges of it, whose sizes are summed, so that no task orders a whole slice.
+    in ``RANGES`` ranges of about as many rows, by quantiles, whose sizes are summed, so that no task
+    orders a whole slice; rows of one number that fill several ranges are dealt to them by a hash of the row.
     """
     if order is None:
         return place(df, tuple(keys or ()), total="_n")
-    rows = df.withColumns({"_k": F.struct(*keys) if keys else F.struct(F.lit(0)), "_o": order.cast("double")})
-    bounds = rows.groupBy("_k").agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))  # one row a slice
-    at = (F.col("_o") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300)) * (RANGES - 1)
-    rows = rows.join(bounds, "_k").withColumn("_r", F.coalesce(F.floor(at).cast("int"), F.lit(-1))).drop("_lo", "_hi")
+    rows = df.withColumns({"_k": F.struct(*keys) if keys else F.struct(F.lit(0)), "_o": order})
+    bounds = rows.groupBy("_k").agg(splitters(F.col("_o"), RANGES).alias("_s"))  # one row a slice
+    hashed = [F.col(f"`{c.name}`") for c in df.schema if "map<" not in c.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(1 << 20)) / float(1 << 20)
+    at = F.when(F.col("_o").isNull(), F.floor(salt * RANGES).cast("int") - RANGES).otherwise(range_of(F.col("_s"), F.col("_o"), RANGES, salt))
+    rows = rows.join(bounds, "_k").withColumn("_r", at).drop("_s")
     by_slice = Window.partitionBy("_k")
     before = F.coalesce(F.sum("_c").over(by_slice.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = rows.groupBy("_k", "_r").agg(F.count("*").alias("_c")).select("_k", "_r", F.sum("_c").over(by_slice).alias("_n"), before.alias("_b"))

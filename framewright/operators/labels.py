@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .evaluate import placed
 
 
 def _hit(df: DataFrame, intervals: DataFrame, on: Column, key: str = "idx_src") -> DataFrame:
@@ -56,12 +57,8 @@ def mask_join(df: DataFrame, mask: DataFrame) -> DataFrame:
 
 def join_predictions_labels(predictions: DataFrame, labels: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of both sides paired by their position within the keys, up to the shorter side."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(order)
-    a = predictions.withColumn("_pos", F.row_number().over(w)).drop(order)
-    b = labels.withColumn("_pos", F.row_number().over(w)).drop(order)
-    return a.join(b, [*keys, "_pos"]).withColumnRenamed("_pos", "pos")
+    side = lambda df: placed(df, F.col(order), keys).withColumn("pos", F.col("_nth") + 1).drop(order, "_n", "_nth")
+    return side(predictions).join(side(labels), [*keys, "pos"])
 
 
 def lookup_attack_type(scores: DataFrame, messages: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import last_values
+from .ranks import exact_quantiles
+
 
 def window_attack_type(df: DataFrame, *keys: str) -> DataFrame:
     """The single attack type of each window's attack rows; two different ones are an error."""
@@ -61,7 +64,9 @@ def sequence_stats(sequences: DataFrame) -> DataFrame:
 
 
 def signal_profile(df: DataFrame) -> DataFrame:
-    return df.groupBy("source_file").agg(F.count("*").alias("n"), F.avg("signal1").alias("mean"), F.stddev_pop("signal1").alias("std"), *(F.percentile("signal1", q).alias(f"q{int(100 * q)}") for q in (0.1, 0.5, 0.9)))
+    quantiles = exact_quantiles(df, "signal1", {f"q{int(100 * q)}": q for q in (0.1, 0.5, 0.9)}, ["source_file"]).withColumnRenamed("source_file", "_f")
+    per = df.groupBy("source_file").agg(F.count("*").alias("n"), F.avg("signal1").alias("mean"), F.stddev_pop("signal1").alias("std"))
+    return per.join(quantiles, F.col("source_file").eqNullSafe(F.col("_f"))).drop("_f")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -88,10 +93,11 @@ def window_count_study(df: DataFrame, sizes_us: list[int]) -> DataFrame:
 
 def attack_free_gaps(df: DataFrame) -> DataFrame:
     """Per file: stretches without attack messages, before the first, between two and after the last."""
-    marks = df.where("label = 1").select("source_file", "ts_us")
+    marks = df.where("label = 1").select("source_file", "ts_us", "idx_src")
     edges = df.groupBy("source_file").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
-    both = marks.unionByName(edges.select("source_file", F.explode(F.array("a", "b")).alias("ts_us")))
-    return both.withColumn("gap_us", F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy("source_file").orderBy("ts_us"))).where("gap_us > 0")
+    both = marks.unionByName(edges.select("source_file", F.explode(F.array("a", "b")).alias("ts_us"), F.lit(-1).cast("bigint").alias("idx_src")))
+    pair = last_values(both, 2, F.col("ts_us"), name="_pair").where(F.size("_pair") == 2)
+    return pair.withColumn("gap_us", F.col("ts_us") - F.col("_pair")[0]).where("gap_us > 0").select("source_file", "ts_us", "gap_us")
 
 
 def sweep_summary(runs: DataFrame) -> DataFrame:

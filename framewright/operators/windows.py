@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import last_values, place
+from .blocks import fits, last_values, place
 
 #: Spans that one time bucket of a trailing count holds.
 SPANS = 8
@@ -109,14 +109,16 @@ def image_windows(df: DataFrame, steps: int, period: int, step: int, values: lis
     """Every ``step`` rows: ``steps`` samples ``period`` rows apart, and whether any row of the span is labelled."""
     span = period * (steps - 1)
     row = F.struct(F.array(*(F.col(v).cast("double") for v in values)).alias("x"), F.col(label).alias("y"))
-    out = place(last_values(df, span + 1, row, name="_span"), name="nth").where((F.col("nth") >= span) & ((F.col("nth") - span) % step == 0))
+    short = fits(df, ("source_file",))
+    out = place(last_values(df, span + 1, row, name="_span", short=short), name="nth", short=short).where((F.col("nth") >= span) & ((F.col("nth") - span) % step == 0))
     samples = F.array(*(F.col("_span")[period * k].x for k in range(steps)))
     return out.select("source_file", "ts_us", "idx_src", "nth", samples.alias("image"), F.array_max(F.transform("_span", lambda r: r.y)).alias("label_window"))
 
 
 def contiguous_intervals(df: DataFrame, label: str = "label") -> DataFrame:
     """Runs of labelled messages in each file: first and last time, and length."""
-    both = place(place(df), ("source_file", label), "_same")
+    short = fits(df, ("source_file",))
+    both = place(place(df, short=short), ("source_file", label), "_same", short=short)
     return both.withColumn("_run", F.col("_nth") - F.col("_same")).where(F.col(label) == 1).groupBy("source_file", "_run").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("*").alias("n_msgs")).drop("_run")
 
 

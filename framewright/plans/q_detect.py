@@ -9,6 +9,7 @@ from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import rules as U
 from ..operators import windows as W
+from ..operators.ranks import exact_quantiles
 from ..functions import scalars as S
 from ..registry import Registry
 from ..scratch import kept
@@ -137,8 +138,8 @@ def _(spark, sf):
 @R.add("freq_threshold", FREQ + f""", q AS (SELECT gamma, quantile_cont(score, 0.95) AS th FROM s WHERE day < '{DAY}' AND label = 0 GROUP BY 1), v AS (SELECT gamma, th, avg(CASE WHEN score > th THEN 1.0 ELSE 0 END) AS fpr FROM s JOIN q USING (gamma) WHERE day >= '{DAY}' AND label = 0 GROUP BY 1, 2)
 SELECT gamma, round(th, 6) AS threshold, round(fpr, 6) AS fpr FROM v ORDER BY fpr, gamma LIMIT 1""")
 def _(spark, sf):
-    s = freq_scores(spark, sf).where("label = 0")
-    q = s.where(f"day < '{DAY}'").groupBy("gamma").agg(F.percentile("score", 0.95).alias("th"))
+    s = kept(freq_scores(spark, sf).where("label = 0").select("day", "gamma", "score"), "scores")
+    q = exact_quantiles(s.where(f"day < '{DAY}'"), "score", {"th": 0.95}, ["gamma"])
     v = s.where(f"day >= '{DAY}'").join(F.broadcast(q), "gamma").groupBy("gamma", "th").agg(F.avg((F.col("score") > F.col("th")).cast("double")).alias("fpr"))
     return v.orderBy("fpr", "gamma").limit(1).select("gamma", F.round("th", 6).alias("threshold"), F.round("fpr", 6).alias("fpr"))
 
@@ -157,8 +158,8 @@ def _(spark, sf):
 @R.add("freq_protocol_eval", FREQ + f""", q AS (SELECT quantile_cont(score, 0.95) AS th FROM s WHERE gamma = 10 AND day < '{DAY}' AND label = 0), w AS (SELECT window_no, max(day) AS day, max(score) AS score, max(label) AS label FROM s WHERE gamma = 10 GROUP BY 1)
 SELECT label, count(*) AS n, count(*) FILTER (score > th) AS alarms FROM w, q WHERE day >= '{DAY}' GROUP BY label""")
 def _(spark, sf):
-    s = freq_scores(spark, sf, [10.0])
-    q = s.where(f"day < '{DAY}' AND label = 0").agg(F.percentile("score", 0.95).alias("th"))
+    s = kept(freq_scores(spark, sf, [10.0]).select("window_no", "day", "label", "score"), "scores")
+    q = exact_quantiles(s.where(f"day < '{DAY}' AND label = 0"), "score", {"th": 0.95})
     w = s.groupBy("window_no").agg(F.max("day").alias("day"), F.max("score").alias("score"), F.max("label").alias("label"))
     return w.where(f"day >= '{DAY}'").crossJoin(F.broadcast(q)).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("score") > F.col("th")).alias("alarms"))
 

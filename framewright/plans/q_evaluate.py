@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import bridge
 from ..operators import evaluate as E
 from ..operators import windows as W
+from ..operators.ranks import exact_quantiles
 from ..registry import Registry
 
 R = Registry()
@@ -243,7 +244,8 @@ def _(spark, sf):
 def _(spark, sf):
     qs = [0.95, 0.99, 0.995, 0.999]
     s = scores(spark, sf)
-    t = s.where("label = 0").agg(F.percentile("score", F.array(*map(F.lit, qs))).alias("v")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("v").alias("th"))).alias("x")).select("x.q", "x.th")
+    wide = exact_quantiles(s.where("label = 0"), "score", {f"t{k}": q for k, q in enumerate(qs)})
+    t = wide.select(F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"t{k}").alias("th")) for k, q in enumerate(qs)))).alias("x")).select("x.*")
     met = s.groupBy("score", "label").count().crossJoin(F.broadcast(t)).where("score > th")
     sums = met.groupBy("q", F.round("th", 9).alias("threshold")).agg(F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("count"))), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("count"))), F.lit(0)).alias("fp"))
     return sums

@@ -13,6 +13,7 @@ from ..operators import evaluate as E
 from ..operators import labels as L
 from ..operators import stats as T
 from ..operators import windows as W
+from ..operators.ranks import exact_quantiles
 from ..registry import Registry
 from ..sources import readers as I
 
@@ -292,7 +293,8 @@ GAPS = ", m AS (SELECT source_file, ts_us FROM f WHERE label = 1 UNION ALL SELEC
 @R.add("attack_free_gaps", WITH + GAPS + " SELECT source_file, max(gap_us) AS max_gap, count(*) AS n, round(quantile_cont(gap_us, 0.5), 3) AS half, round(quantile_cont(gap_us, 0.9), 3) AS most FROM g WHERE gap_us > 0 GROUP BY 1")
 def _(spark, sf):
     g = T.attack_free_gaps(f(spark, sf))
-    return r9(g.groupBy("source_file").agg(F.max("gap_us").alias("max_gap"), F.count("*").alias("n"), F.percentile("gap_us", 0.5).alias("half"), F.percentile("gap_us", 0.9).alias("most"))).withColumns({c: F.round(c, 3) for c in ("half", "most")})
+    middle = exact_quantiles(g, "gap_us", {"half": 0.5, "most": 0.9}, ["source_file"])
+    return r9(g.groupBy("source_file").agg(F.max("gap_us").alias("max_gap"), F.count("*").alias("n")).join(middle, "source_file")).withColumns({c: F.round(c, 3) for c in ("half", "most")})
 
 
 @R.add("sweep_summary", WITH + ", r AS (SELECT dlc AS trial, source_file AS run, avg(signal1) AS auc FROM f GROUP BY 1, 2) SELECT trial, round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.5), 6) AS median, round(max(auc), 6) AS best, arg_max(run, (auc, run)) AS best_run FROM r GROUP BY 1")

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def write_canonical(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Parquet by dataset and source_file; an existing output stays unless asked otherwise."""
-    df.repartition("dataset", "source_file").sortWithinPartitions("can_id", "ts_us").write.mode("overwrite" if overwrite else "ignore").partitionBy("dataset", "source_file").parquet(path)
+    """Parquet by dataset and source_file; an existing output stays unless asked otherwise.
+
+    Rows are dealt by sampled ranges of (dataset, source_file, can_id, ts_us): a long file is written by
+    many tasks, each a sorted range of its ids and times, and short ones share a task.
+    """
+    order = ("dataset", "source_file", "can_id", "ts_us")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite" if overwrite else "ignore").partitionBy("dataset", "source_file").parquet(path)
 
 
 def missing_files(files: DataFrame, spark: SparkSession, path: str) -> DataFrame:

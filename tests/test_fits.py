@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import detect, evaluate, rules, stats, windows
+from framewright.operators import blocks, detect, evaluate, ranks, rules, stats, windows
 from framewright.plans import catalog
 
 Q = catalog.queries()
@@ -171,3 +171,85 @@ def test_running_share_over_blocks(spark, monkeypatch):
 def test_message_rate_counts_all_rows(spark):
     df = spark.createDataFrame([("a", i, i * 1_000_000 // 50, 1) for i in range(500)], "source_file string, idx_src long, ts_us long, can_id long")
     assert stats.message_rate(df).first().rate == 50
+
+
+def test_exact_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    groups = {"ties": np.repeat([3.0, 7.0, 7.0, 9.0], 500), "far": np.append(rng.normal(size=3000), 1e300), "one": np.array([5.0]), "two": np.array([1.0, 2.0]), None: rng.integers(0, 50, 700).astype(float)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("far", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    wanted = {"low": 0.0, "some": 0.013, "half": 0.5, "most": 0.95, "all": 1.0}
+    got = {r.g: [r[n] for n in wanted] for r in ranks.exact_quantiles(df, "v", wanted, ["g"]).collect()}
+    assert got.pop("none") == [None] * 5
+    for g, values in groups.items():
+        assert got.pop(g) == pytest.approx([float(np.quantile(values, q)) for q in wanted.values()]), g
+    assert not got
+    whole = np.concatenate(list(groups.values()))
+    r = ranks.exact_quantiles(df, "v", wanted).first()
+    assert list(r) == pytest.approx([float(np.quantile(whole, q)) for q in wanted.values()])
+    assert ranks.exact_quantiles(df.limit(0), "v", wanted, ["g"]).count() == 0
+    assert list(ranks.exact_quantiles(df.limit(0), "v", {"half": 0.5}).first()) == [None]
+
+
+def test_exact_quantiles_of_many_distinct_values(spark):
+    df = spark.range(2_000_000).select(((F.col("id") * 7919) % 2_000_000).cast("double").alias("v"))
+    r = ranks.exact_quantiles(df, "v", {"half": 0.5, "most": 0.999}).first()
+    assert list(r) == pytest.approx([999_999.5, 0.999 * 1_999_999], rel=1e-12)
+    bracket = df.agg(F.percentile_approx("v", F.array(F.lit(0.5 - ranks._SLACK), F.lit(0.5 + ranks._SLACK)), F.lit(ranks.ACCURACY))).first()[0]
+    assert bracket[1] - bracket[0] < 2_000  # of two million values these few are ranked
+
+
+def most_in_a_range(df, key):
+    counts = [r["count"] for r in df.groupBy(key).count().collect()]
+    return max(counts) / (sum(counts) / len(counts))
+
+
+def test_ranges_are_even_beside_outliers_and_ties(spark):
+    n = 20_000
+    far = spark.range(n).select(F.when(F.col("id") == 7, 1e18).otherwise(F.rand(3)).alias("v"), F.col("id").alias("idx_src"))
+    tied = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(3)).alias("v"), F.col("id").alias("idx_src"))
+    for df in (far, tied):
+        df = df.cache()
+        bounds = df.agg(ranks.splitters(F.col("v"), 32).alias("s"))
+        salt = F.pmod(F.xxhash64("idx_src"), F.lit(1000)) / 1000.0
+        dealt = df.crossJoin(F.broadcast(bounds)).withColumn("r", ranks.range_of(F.col("s"), F.col("v"), 32, salt))
+        assert most_in_a_range(dealt, "r") < 2
+        ends = dealt.groupBy("r").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("r").collect()
+        assert all(x.b <= y.a for x, y in zip(ends, ends[1:], strict=False))
+
+
+def test_blocks_are_even_beside_outlying_times_and_long_ties(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCKS", 32)
+    rows = spark.range(20_000).select(F.lit("a").alias("source_file"), F.when(F.col("id") == 3, 10**17).when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 1000).alias("ts_us"), F.col("id").alias("idx_src"))
+    assert most_in_a_range(blocks.in_blocks(rows, ("source_file",)), "_b") < 2
+    monkeypatch.setattr(blocks, "TRACE_ROWS", 0)
+    assert [r.idx_src for r in blocks.place(rows).orderBy("_nth").collect()] == [r.idx_src for r in rows.orderBy("ts_us", "idx_src").collect()]
+
+
+def test_places_and_curve_beside_an_outlier(spark):
+    df = spark.range(5000).select(F.when(F.col("id") == 9, 1e200).when(F.col("id") % 4 == 0, 0.25).otherwise(F.col("id") / 5000).alias("v"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.col("id"))
+    got = evaluate.placed(df, F.col("v")).orderBy("_nth").collect()
+    assert [r._nth for r in got] == list(range(5000)) and [r.v for r in got] == sorted(r.v for r in got)
+    rows = [(r.v, r.label) for r in got]
+    pos = sum(y for _, y in rows)
+    c = {r.threshold: (r.tp, r.fp) for r in evaluate.curve(df.select(F.col("v").alias("score"), "label")).collect()}
+    for t in (1e200, 0.25, 0.9998, 0.0002):
+        above = [y for v, y in rows if v >= t]
+        assert c[t] == (sum(above), len(above) - sum(above))
+    assert pos == max(tp for tp, _ in c.values())
+
+
+def test_one_long_file_is_written_by_many_tasks(spark, tmp_path):
+    from framewright.sources import sinks
+
+    rows = spark.range(40_000).select(F.lit("d").alias("dataset"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("f"), F.col("id") % 100)).otherwise("long").alias("source_file"), (F.col("id") % 17).alias("can_id"), F.col("id").alias("ts_us"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_canonical(rows, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "out"))
+    parts = back.where("source_file = 'long'").groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.min(F.struct("can_id", "ts_us")).alias("a"), F.max(F.struct("can_id", "ts_us")).alias("b")).orderBy("a").collect()
+    assert len(parts) >= 3 and max(p.n for p in parts) < 2 * 36_000 / len(parts)
+    assert all(tuple(x.b) <= tuple(y.a) for x, y in zip(parts, parts[1:], strict=False))
+    assert back.exceptAll(rows.select(back.columns)).count() == 0 and back.count() == 40_000

@@ -77,7 +77,7 @@ def exact_quantiles(df: DataFrame, value: str, wanted: Mapping[str, float], keys
 
     found = ranked.groupBy("_g", "name").agg(of_rank(first).alias("_a"), of_rank(second).alias("_z"), F.first(at - first).alias("_f"))
     miss = F.raise_error(F.lit("a quantile lies outside of its bracket"))
-    value_at = F.when(F.col("_a._v").isNull() | F.col("_z._v").isNull(), miss.cast("double")).otherwise(F.col("_a._v") * (1 - F.col("_f")) + F.col("_z._v") * F.col("_f"))
+    value_at = F.when(F.col("_a._v").isNull() | F.col("_z._v").isNull(), miss.cast("double")).when(F.col("_a._v") == F.col("_z._v"), F.col("_a._v").cast("double")).otherwise(F.col("_a._v") * (1 - F.col("_f")) + F.col("_z._v") * F.col("_f"))
     long = found.select("_g", "name", value_at.alias("_q"))
     wide = long.groupBy("_g").agg(*(F.max(F.when(F.col("name") == name, F.col("_q"))).alias(name) for name in wanted))
     if not keys:

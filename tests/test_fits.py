@@ -253,3 +253,37 @@ def test_one_long_file_is_written_by_many_tasks(spark, tmp_path):
     assert len(parts) >= 3 and max(p.n for p in parts) < 2 * 36_000 / len(parts)
     assert all(tuple(x.b) <= tuple(y.a) for x, y in zip(parts, parts[1:], strict=False))
     assert back.exceptAll(rows.select(back.columns)).count() == 0 and back.count() == 40_000
+
+
+def direct_scores(points, model, w, gamma):
+    return -(w * np.exp(-gamma * ((points[:, None] - model[None]) ** 2).sum(axis=2))).sum(axis=1)
+
+
+def test_gauss_transform_against_direct_sums(spark):
+    from framewright.operators import kernel
+
+    rng = np.random.default_rng(6)
+    model = np.concatenate([rng.uniform(-0.2, 1.3, (300, 2)), rng.normal(0.5, 0.01, (200, 2)), [[0.25, 0.25]] * 3])
+    points = np.concatenate([rng.uniform(-1, 2, (400, 2)), model[:50], [[40.0, 40.0]]])
+    w = rng.uniform(0, 1, len(model))
+    w /= w.sum()
+    gammas = [1e-6, 0.3, 10.0, 100.0, 5e4]
+    m = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(model, w, strict=True)], "mx double, my double, w double").repartition(3)
+    p = spark.createDataFrame([(k, float(a), float(b), "kept") for k, (a, b) in enumerate(points)], "id long, x double, y double, note string").repartition(3)
+    rows = kernel.gauss_scores(p, m, gammas).collect()
+    assert len(rows) == len(points) * len(gammas) and {r.note for r in rows} == {"kept"}
+    for g in gammas:
+        want, got = direct_scores(points, model, w, g), {r.id: r.score for r in rows if r.gamma == g}
+        assert max(abs(got[k] - want[k]) for k in range(len(points))) < 1e-8, g
+    assert kernel.gauss_scores(p.limit(0), m, [1.0]).count() == 0
+    assert {r.score for r in kernel.gauss_scores(p, m.limit(0), [1.0]).collect()} == {0.0}
+
+
+def test_gauss_transform_has_no_more_cells_than_the_plane(spark):
+    from framewright.operators import kernel
+
+    cells = []
+    for n in (2_000, 20_000):  # tenfold points, the same cells: the part that is not linear stays as it is
+        df = spark.range(n).select((F.rand(1)).alias("x"), (F.rand(2)).alias("y"))
+        cells.append(kernel.in_cells(df, "x", "y", [100.0]).select(*kernel.CELL).distinct().count())
+    assert cells == [100, 100]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,41 +75,6 @@ def kernel_scores(points: DataFrame, model: DataFrame, scale: DataFrame, gammas:
     return gauss_scores(scaled_points(points, scale), model, gammas)
 
 
-def one_class_fit(points: DataFrame, features: int = 32, nu: float = 0.1, gamma: float = 10.0, steps: int = 20, rate: float = 0.5, seed: int = 7) -> tuple[list[list[float]], list[float], float]:
-    """Linear one-class machine on random Fourier features of (x, y): each step is one aggregate over distinct points.
-
-    Returns the frequencies, the weights and the offset rho; a point's decision
-    is w . z(point) - rho, below 0 for outliers.
-    """
-    import random
-
-    rnd = random.Random(seed)
-    freq = [[rnd.gauss(0, math.sqrt(2 * gamma)), rnd.gauss(0, math.sqrt(2 * gamma)), rnd.uniform(0, 2 * math.pi)] for _ in range(features)]
-    weighed = points.groupBy("x", "y").agg(F.count("*").alias("n")).withColumn("z", fourier(freq)).cache()  # one pass over it each step
-    total = weighed.agg(F.sum("n")).first()[0]
-    w, rho = [1.0 / features] * features, 0.0
-    for step in range(steps):
-        dot = F.aggregate(F.zip_with("z", F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        low = F.when(dot < rho, F.col("n")).otherwise(0)
-        sums = weighed.agg(F.sum(low).alias("m"), *(F.sum(low * F.col("z")[k]).alias(f"z{k}") for k in range(features))).first()
-        eta = rate / (1 + step)
-        w = [a - eta * (a - (sums[f"z{k}"] or 0.0) / (nu * total)) for k, a in enumerate(w)]
-        rho -= eta * ((sums["m"] or 0) / (nu * total) - 1)
-    weighed.unpersist()
-    return freq, w, rho
-
-
-def fourier(freq: list[list[float]]) -> Column:
-    scale = math.sqrt(2.0 / len(freq))
-    return F.array(*(F.cos(F.col("x") * a + F.col("y") * b + c) * scale for a, b, c in freq))
-
-
-def one_class_decision(points: DataFrame, model: tuple[list[list[float]], list[float], float]) -> DataFrame:
-    freq, w, rho = model
-    z = fourier(freq)
-    return points.withColumn("score", -(F.aggregate(F.zip_with(z, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) - rho))
-
-
 # signals -----------------------------------------------------------------------------
 
 

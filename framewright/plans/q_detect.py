@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import bridge
 from ..operators import detect as D
 from ..operators import evaluate as E
+from ..operators import oneclass as O
 from ..operators import rules as U
 from ..operators import windows as W
 from ..operators.ranks import exact_quantiles
@@ -164,26 +165,37 @@ def _(spark, sf):
     return w.where(f"day >= '{DAY}'").crossJoin(F.broadcast(q)).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("score") > F.col("th")).alias("alarms"))
 
 
-@R.add("freq_ocsvm_fit")
-def _(spark, sf):
+def one_class(spark, sf, candidates):
+    """(points with x and y, frequencies, fits) on the benign points of the training days."""
     pts = freq_points(spark, sf)
     train = pts.where(f"day < '{DAY}' AND label = 0")
     scale = D.fit_minmax(train)
-    model = D.one_class_fit(D.scaled_points(train, scale))
-    return D.one_class_decision(D.scaled_points(pts, scale), model).select("window_no", "can_id", F.round("score", 9).alias("score"))
+    return D.scaled_points(pts, scale), *O.fit_candidates(D.scaled_points(train, scale), candidates)
+
+
+@R.add("freq_ocsvm_fit")
+def _(spark, sf):
+    pts, freq, (one,) = one_class(spark, sf, [(10.0, 0.1)])
+    return pts.select("window_no", "can_id", F.round(O.decision(freq, one), 9).alias("score"), F.lit(one.gap).alias("gap"))
+
+
+GAMMAS_SWEPT = [10.0 ** (-6 + 8 * k / 9) for k in range(10)]
+NUS_SWEPT = [0.2, 0.1, 0.01, 0.001]
 
 
 @R.add("candidate_sweep")
 def _(spark, sf):
-    pts = freq_points(spark, sf)
-    train = pts.where(f"day < '{DAY}' AND label = 0")
-    scale = D.fit_minmax(train)
-    gammas = [10.0 ** (-6 + 8 * k / 9) for k in range(10)]
-    s = D.kernel_scores(pts.where("label = 0"), D.kernel_model(train, scale), scale, gammas)
-    fit = s.where(f"day < '{DAY}'").groupBy("gamma").agg(F.percentile("score", F.array(*map(F.lit, [0.8, 0.9, 0.99, 0.999]))).alias("t"))
-    cand = fit.select("gamma", F.posexplode("t").alias("k", "th")).withColumn("nu", F.element_at(F.array(*map(F.lit, [0.2, 0.1, 0.01, 0.001])), F.col("k") + 1))
-    far = s.where(f"day >= '{DAY}'").join(F.broadcast(cand), "gamma").groupBy("gamma", "nu").agg(F.avg((F.col("score") > F.col("th")).cast("double")).alias("far"))
-    return far.withColumn("fitness", F.col("far") + 0.1 * F.col("nu")).orderBy("fitness", "gamma", "nu")
+    """Fitness of each fit: false alarms on later benign points plus a tenth of its share of support vectors."""
+    pts, freq, fits = one_class(spark, sf, [(g, nu) for g in GAMMAS_SWEPT for nu in NUS_SWEPT])
+    late = pts.where(f"day >= '{DAY}' AND label = 0").groupBy("x", "y").agg(F.count("*").alias("n"))
+    alarms = [F.coalesce(F.sum(F.when(O.decision(freq, one) > 0, F.col("n"))), F.lit(0)) for one in fits]
+    parts = [late.agg(F.sum("n").alias("n"), *(a.alias(f"a{k}") for k, a in enumerate(alarms) if k % len(NUS_SWEPT) == part)) for part in range(len(NUS_SWEPT))]
+    out = None
+    for part, sums in enumerate(parts):
+        each = F.array(*(F.struct(F.lit(one.gamma).alias("gamma"), F.lit(one.nu).alias("nu"), F.lit(one.gap).alias("gap"), F.lit(one.share).alias("support"), (F.col(f"a{k}") / F.col("n")).alias("far")) for k, one in enumerate(fits) if k % len(NUS_SWEPT) == part))
+        rows = sums.select(F.explode(each).alias("c")).select("c.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("fitness", F.col("far") + 0.1 * F.col("support")).orderBy("fitness", "gamma", "nu")
 
 
 # payload regions and rules ------------------------------------------------------------

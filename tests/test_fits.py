@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import blocks, detect, evaluate, ranks, rules, stats, windows
+from framewright.operators import blocks, detect, evaluate, oneclass, ranks, rules, stats, windows
 from framewright.plans import catalog
 
 Q = catalog.queries()
@@ -67,39 +67,56 @@ def test_pca_residual_against_numpy(spark):
     assert [got[i] for i in range(40)] == pytest.approx(list(want))
 
 
-def test_one_class_fit_against_numpy(spark):
+def dense_one_class(z, nu, rounds=20_000):
+    """The dual by plain conditional gradient on every point's own weight; its value, and the gap that is left."""
+    n = len(z)
+    alpha = np.full(n, 1 / n)
+    for _ in range(rounds):
+        w = alpha @ z
+        order, best, left = np.argsort(z @ w), np.zeros(n), 1.0
+        for i in order[: math.ceil(nu * n) + 1]:
+            best[i] = min(left, 1 / (nu * n))
+            left -= best[i]
+        step = (best - alpha) @ z
+        gap = -w @ step
+        if gap < 1e-5 * (w @ w):
+            break
+        alpha += min(1.0, gap / max(step @ step, 1e-300)) * (best - alpha)
+    return w @ w / 2, gap
+
+
+def test_one_class_fits_against_a_dense_solver(spark):
     rng = np.random.default_rng(11)
-    pts = np.round(rng.uniform(size=(80, 2)), 1)
-    freq, w, rho = detect.one_class_fit(spark.createDataFrame([(float(a), float(b)) for a, b in pts], "x double, y double"), features=8, steps=5)
-    f = np.array(freq)
-    z = np.cos(pts @ f[:, :2].T + f[:, 2]) * math.sqrt(2 / 8)
-    v, r = np.full(8, 1 / 8), 0.0
-    for step in range(5):
-        low = z @ v < r
-        eta = 0.5 / (1 + step)
-        v = v - eta * (v - z[low].sum(axis=0) / (0.1 * 80))
-        r -= eta * (low.sum() / (0.1 * 80) - 1)
-    assert w == pytest.approx(list(v)) and rho == pytest.approx(r)
-
-
-def test_candidate_sweep_against_numpy(spark, sf_dir):
-    from framewright.plans.q_detect import DAY, freq_points
-
-    pts = [r for r in freq_points(spark, sf_dir).collect() if r.label == 0]
-    train = [r for r in pts if r.day < DAY]
-    x = np.array([[r.can_id, r.hz] for r in pts], float)
-    low, high = x[[r.day < DAY for r in pts]].min(axis=0), x[[r.day < DAY for r in pts]].max(axis=0)
-    x = (x - low) / np.maximum(high - low, 1e-12)
-    late = np.array([r.day >= DAY for r in pts])
-    d2 = ((x[:, None] - x[~late]) ** 2).sum(axis=2)
-    got = {(round(r.gamma, 12), r.nu): r.far for r in Q["candidate_sweep"](spark, sf_dir).collect()}
-    assert len(got) == 40 and len(train) == (~late).sum()
-    for k in (3, 6, 9):
-        gamma = 10.0 ** (-6 + 8 * k / 9)
-        s = -np.exp(-gamma * d2).mean(axis=1)
-        for nu in (0.2, 0.1):
-            far = (s[late] > np.quantile(s[~late], 1 - nu) + 1e-12).mean()
-            assert got[round(gamma, 12), nu] == pytest.approx(far, abs=0.02)
+    pts = np.round(np.concatenate([rng.normal(0.5, 0.15, (150, 2)), rng.uniform(size=(50, 2))]), 2)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "x double, y double").repartition(3)
+    candidates = [(0.5, 0.2), (10.0, 0.1), (10.0, 0.5), (60.0, 0.05)]
+    freq, fits = oneclass.fit_candidates(df, candidates, features=12)
+    for one in fits:
+        z = oneclass.fourier(pts[:, 0], pts[:, 1], freq, one.gamma)
+        value, gap = dense_one_class(z, one.nu)
+        assert one.done and one.gap <= 1e-3 * max(one.w @ one.w, 1e-3)
+        assert value - gap - 1e-12 <= one.w @ one.w / 2 <= value + one.gap + 1e-12
+        below = (z @ one.w < one.rho).mean()
+        assert below <= one.nu + 0.03 and one.nu - 1e-9 <= one.share
+    out = df.select(oneclass.decision(freq, fits[1]).alias("v"), "x", "y").collect()
+    z = oneclass.fourier(np.array([r.x for r in out]), np.array([r.y for r in out]), freq, 10.0)
+    assert [r.v for r in out] == pytest.approx(list(fits[1].rho - z @ fits[1].w))
+
+
+def test_least_norm_by_hand():
+    atoms = np.array([[1.0, 1.0], [1.0, -1.0], [3.0, 0.0], [1.5, 0.2]])
+    mix = oneclass.least_norm(atoms, np.array([0, 0, 1.0, 0]))
+    assert mix @ atoms == pytest.approx([1.0, 0.0], abs=1e-6) and mix.min() >= 0 and mix.sum() == pytest.approx(1)
+    assert oneclass.least_norm(np.array([[2.0, 0.0]]), np.ones(1)) == pytest.approx([1.0])
+
+
+def test_candidate_sweep(spark, sf_dir):
+    rows = Q["candidate_sweep"](spark, sf_dir).collect()
+    assert len({(r.gamma, r.nu) for r in rows}) == len(rows) == 40
+    for r in rows:
+        assert 0 <= r.far <= 1 and r.nu <= r.support + 1e-9 <= 1 + 1e-9 and r.fitness == pytest.approx(r.far + 0.1 * r.support)
+        assert r.gap <= 1e-3 * 1.0  # w . w is below 1
+    assert [r.fitness for r in rows] == sorted(r.fitness for r in rows)
 
 
 def test_itemsets_by_hand(spark):

@@ -51,33 +51,87 @@ def enrich(df: DataFrame, intervals: DataFrame) -> DataFrame:
     return out.withColumn("label", F.coalesce(F.col("ts_us").between(F.col("start_us"), F.col("end_us")).cast("int"), F.lit(0))).drop("start_us", "end_us")
 
 
-class RollingGrams(StatefulProcessor):
-    """The last n - 1 symbols of a trace; emits each message's n-gram once there are n."""
+class InOrder(StatefulProcessor):
+    """Takes the rows of a key in the order of (ts_us, idx_src), although they come in any order within the watermark's delay.
 
-    n = 3
+    Rows wait in a list state, chunk by chunk as they come.  A timer at the earliest of them fires once the
+    watermark has passed it: rows behind the watermark are final and are taken, later ones wait on.  ``take`` gives
+    the output of some rows and what the key has to hold of them; ``silence_us`` behind its last row a key is
+    forgotten, by a timer, too.  In memory is what a key gets within the delay, never its whole batch history.
+    """
+
+    columns: tuple[str, ...] = ("ts_us", "idx_src")
+    waiting = "ts_us bigint, idx_src bigint"
+    holds = "last bigint, held array<bigint>"
+    silence_us = 0
+
+    def take(self, key, rows: list[tuple], held: list[int]) -> tuple[pd.DataFrame, list[int]]:
+        raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "symbols array<bigint>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held = list(self.last.get()[0]) if self.last.exists() else []
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "idx_src"])
-        symbols = np.concatenate([np.asarray(held, np.int64), batch["symbol"].to_numpy(np.int64)])
-        text = pd.Series(symbols).astype(str).astype(object)
-        gram = text
-        for k in range(1, self.n):
-            gram = text.shift(k) + " " + gram  # null as long as a symbol is missing
-        gram = gram.where(gram.notna(), None).iloc[len(held) :]
-        self.last.update((symbols[max(0, len(symbols) - self.n + 1) :].tolist(),))
-        yield pd.DataFrame({"source_file": key[0], "idx_src": batch["idx_src"].to_numpy(), "gram": gram.to_numpy()})
+        self.handle = handle
+        self.pending = handle.getListState("pending", self.waiting)
+        self.known = handle.getValueState("known", self.holds)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for chunk in rows:
+            if len(chunk):
+                self.pending.appendList([tuple(r) for r in chunk[list(self.columns)].to_numpy().tolist()])
+                self._wake(int(chunk["ts_us"].min()))
+        yield from ()
+
+    def _wake(self, ts_us: int) -> None:
+        self.handle.registerTimer(ts_us // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.pending.get()) if self.pending.exists() else []
+        final = [r for r in rows if r[0] <= passed]
+        last, held = self.known.get() if self.known.exists() else (None, [])
+        if final:
+            if last is not None and final[0][0] - last > self.silence_us:
+                held = []
+            out, held = self.take(key, final, list(held))
+            last = final[-1][0]
+            self.known.update((last, held))
+            if len(final) < len(rows):
+                self.pending.put(rows[len(final) :])
+            else:
+                self.pending.clear()
+            yield out
+        if len(final) < len(rows):
+            self._wake(rows[len(final)][0])
+        elif last is not None and last + self.silence_us < passed:
+            self.known.clear()
+        elif last is not None:
+            self._wake(last + self.silence_us)
 
     def close(self) -> None:
         pass
 
 
-def rolling_grams(df: DataFrame) -> DataFrame:
-    """n-grams of a stream whose rows of a trace arrive in order."""
-    return df.groupBy("source_file").transformWithStateInPandas(RollingGrams(), outputStructType="source_file string, idx_src bigint, gram string", outputMode="Append", timeMode="None")
+def _in_order(df: DataFrame, key: str, verb: InOrder, delay: str, out: str) -> DataFrame:
+    return df.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(verb, outputStructType=out, outputMode="Append", timeMode="EventTime")
+
+
+class RollingGrams(InOrder):
+    """Holds the last n - 1 symbols of a trace; gives each message's n-gram once there are n."""
+
+    columns = ("ts_us", "idx_src", "symbol")
+    waiting = "ts_us bigint, idx_src bigint, symbol bigint"
+    n = 3
+    silence_us = 86_400_000_000
+
+    def take(self, key, rows: list[tuple], held: list[int]) -> tuple[pd.DataFrame, list[int]]:
+        symbols = held + [r[2] for r in rows]
+        skip = len(held)
+        grams = [" ".join(map(str, symbols[k - self.n + 1 : k + 1])) if k >= self.n - 1 else None for k in range(skip, len(symbols))]
+        return pd.DataFrame({"source_file": key[0], "idx_src": [r[1] for r in rows], "gram": grams}), symbols[max(0, len(symbols) - self.n + 1) :]
+
+
+def rolling_grams(df: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """n-grams of a stream with event time ``ts``, whose rows of a trace are out of order by the delay at most."""
+    return _in_order(df, "source_file", RollingGrams(), delay, "source_file string, idx_src bigint, gram string")
 
 
 def score_grams(grams: DataFrame, model: DataFrame) -> DataFrame:
@@ -86,29 +140,22 @@ def score_grams(grams: DataFrame, model: DataFrame) -> DataFrame:
     return grams.join(known, "gram", "left").withColumn("score", F.when(F.col("gram").isNull() | F.col("_seen").isNotNull(), 0).otherwise(1)).drop("_seen")
 
 
-class TrailingCounts(StatefulProcessor):
-    """Times of an id's messages within a span, oldest first; emits how many lie in [t - span, t]."""
+class TrailingCounts(InOrder):
+    """Holds the times of an id's messages within a span; gives how many lie in [t - span, t]."""
 
     span_us = 6 * 3_600_000_000
+    silence_us = span_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getValueState("times", "t array<bigint>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held = list(self.times.get()[0]) if self.times.exists() else []
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "idx_src"])
-        t = np.concatenate([np.asarray(held, np.int64), batch["ts_us"].to_numpy(np.int64)])
+    def take(self, key, rows: list[tuple], held: list[int]) -> tuple[pd.DataFrame, list[int]]:
+        t = np.array(held + [r[0] for r in rows], np.int64)
         first = np.searchsorted(t, t - self.span_us)
         counts = np.arange(1, len(t) + 1) - first
-        self.times.update((t[first[-1] :].tolist(),))
-        yield pd.DataFrame({"idx_src": batch["idx_src"].to_numpy(), "trailing": counts[len(held) :]})
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame({"idx_src": [r[1] for r in rows], "trailing": counts[len(held) :]}), t[first[-1] :].tolist()
 
 
-def trailing_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("can_id").transformWithStateInPandas(TrailingCounts(), outputStructType="idx_src bigint, trailing bigint", outputMode="Append", timeMode="None")
+def trailing_counts(df: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Trailing counts of a stream with event time ``ts``, whose rows of an id are out of order by the delay at most."""
+    return _in_order(df, "can_id", TrailingCounts(), delay, "idx_src bigint, trailing bigint")
 
 
 def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:

@@ -8,6 +8,7 @@ from .. import bridge
 from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import oneclass as O
+from ..operators import predict as P
 from ..operators import rules as U
 from ..operators import windows as W
 from ..operators.ranks import exact_quantiles
@@ -386,10 +387,34 @@ def _(spark, sf):
     return a.select("idx_src", F.col("seq_0")[0].alias("a0"), F.col("seq_0")[1].alias("a1"), F.col("seq_1")[0].alias("b0"), F.col("seq_2")[0].alias("c0"), F.col("seq_2")[2].alias("c2"))
 
 
+VALUES, LAGS = ["signal1", "dlc"], 2
+INPUTS, OUTPUTS = 1 + LAGS * len(VALUES), len(VALUES)
+_X = ["1.0", "s2", "d2", "s1", "d1"]
+_XX = ", ".join(f"CAST(sum(CAST(round(CAST({_X[i]} AS DOUBLE) * {_X[j]}, 6) AS DECIMAL(38, 6))) AS DOUBLE)" for i in range(INPUTS) for j in range(i, INPUTS))
+_XY = ", ".join(f"CAST(sum(CAST(round(CAST({x} AS DOUBLE) * {y}, 6) AS DECIMAL(38, 6))) AS DOUBLE)" for x in _X for y in ("s0", "d0"))
+
+
+def predictor_rows(spark, sf):
+    return P.lagged(f(spark, sf).withColumn("can_id", F.col("symbol")), VALUES, LAGS)
+
+
+def predictor_sums(rows):
+    return P.ridge_sums(rows.where(f"source_file < '{DAY}' AND label = 0"), INPUTS, OUTPUTS)
+
+
+@R.add("signal_predictor_sums", "WITH " + bridge.DUCK + f""", q AS (SELECT can_id % 12 AS can_id, source_file, label, signal1 AS s0, CAST(dlc AS DOUBLE) AS d0, lag(signal1) OVER w AS s1, lag(CAST(dlc AS DOUBLE)) OVER w AS d1, lag(signal1, 2) OVER w AS s2, lag(CAST(dlc AS DOUBLE), 2) OVER w AS d2
+FROM f WINDOW w AS (PARTITION BY source_file, can_id % 12 ORDER BY ts_us, idx_src))
+SELECT can_id, count(*) AS n, [{_XX}] AS xx, [{_XY}] AS xy FROM q WHERE source_file < '{DAY}' AND label = 0 AND s2 IS NOT NULL AND s1 IS NOT NULL AND s0 IS NOT NULL GROUP BY can_id""")
+def _(spark, sf):
+    return predictor_sums(predictor_rows(spark, sf))
+
+
 @R.add("signal_predictor")
 def _(spark, sf):
-    a = aligned(spark, sf).withColumn("v", F.concat("seq_0", "seq_1", "seq_2"))
-    return D.pca_residual(a.where(f"source_file < '{DAY}' AND label = 0"), a.where(f"source_file >= '{DAY}'"), "v", 3).select("idx_src", F.round("score", 6).alias("score"))
+    """Residual of the next vector of each id: ridge regression on the two vectors before it."""
+    rows = predictor_rows(spark, sf)
+    weights = P.ridge_fit(predictor_sums(rows), INPUTS, OUTPUTS, 1.0)
+    return P.ridge_residual(rows.where(f"source_file >= '{DAY}'"), weights, INPUTS, OUTPUTS).select("idx_src", F.round("score", 6).alias("score"))
 
 
 @R.add("signal_reconstruction")

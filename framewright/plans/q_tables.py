@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import bridge
 from ..operators import blocks as B
@@ -11,11 +13,12 @@ from ..operators import clean as C
 from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import labels as L
+from ..operators import matrix as X
 from ..operators import stats as T
 from ..operators import windows as W
 from ..operators.ranks import exact_quantiles
 from ..registry import Registry
-from ..sources import readers as I
+from ..scratch import scratch
 
 R = Registry()
 HOUR = 3_600_000_000
@@ -391,21 +394,32 @@ def _(spark, sf):
 # matrix runs -------------------------------------------------------------------------
 
 
-@R.add("evaluate_matrix", TYPED + """, s AS (SELECT 'd' || (can_id % 2) AS dataset, m AS method, round(CASE m WHEN 'value' THEN signal1 ELSE dlc END) AS score, attack AS label FROM a, (SELECT unnest(['value', 'length']) AS m) WHERE NOT (can_id % 2 = 0 AND m = 'length')),
+@R.add("evaluate_matrix", TYPED + """, s AS (SELECT 'd' || (can_id % 2) AS dataset, m AS method, round(CASE m WHEN 'value' THEN signal1 ELSE dlc END) AS score, attack AS label FROM a, (SELECT unnest(['value', 'length']) AS m)),
 g AS (SELECT dataset, method, score, sum(label) AS p, sum(1 - label) AS n FROM s GROUP BY ALL), c AS (SELECT dataset, method, score, sum(p) OVER v / sum(p) OVER u AS tpr, sum(n) OVER v / sum(n) OVER u AS fpr FROM g WINDOW v AS (PARTITION BY dataset, method ORDER BY score DESC), u AS (PARTITION BY dataset, method)),
-l AS (SELECT *, lag(tpr, 1, 0) OVER w AS lt, lag(fpr, 1, 0) OVER w AS lf FROM c WINDOW w AS (PARTITION BY dataset, method ORDER BY score DESC)) SELECT dataset, method, round(sum((fpr - lf) * (tpr + lt) / 2), 6) AS auc FROM l GROUP BY 1, 2""")
+l AS (SELECT *, lag(tpr, 1, 0) OVER w AS lt, lag(fpr, 1, 0) OVER w AS lf FROM c WINDOW w AS (PARTITION BY dataset, method ORDER BY score DESC)) SELECT dataset, method, round(sum((fpr - lf) * (tpr + lt) / 2), 6) AS auc, true AS ok FROM l GROUP BY 1, 2
+UNION ALL SELECT unnest(['d0', 'd1']), 'broken', NULL, false""")
 def _(spark, sf):
-    """All pairs of dataset and method in one pass; pairs that an earlier run has finished are left out."""
-    s = a(spark, sf).select(F.concat(F.lit("d"), (F.col("can_id") % 2).cast("string")).alias("dataset"), F.col("attack").alias("label"), F.explode(F.create_map(F.lit("value"), F.round("signal1"), F.lit("length"), F.col("dlc").cast("double"))).alias("method", "score"))
-    done = spark.createDataFrame([("d0", "length")], "dataset string, method string")
-    return E.roc_auc(s.join(done, ["dataset", "method"], "left_anti"), ["dataset", "method"]).withColumn("auc", F.round("auc", 6))
+    """Two runs over all pairs: the first without the lengths, the second finds its metrics and computes what is missing; broken pairs are rows."""
+    rows = a(spark, sf)
+    value = {"value": F.round("signal1"), "length": F.col("dlc").cast("double"), "broken": F.when(F.col("idx_src") >= 0, F.raise_error(F.lit("no such score")).cast("double"))}
 
+    def scores(dataset, method):
+        return rows.where(F.concat(F.lit("d"), F.col("can_id") % 2) == dataset).select(value[method].alias("score"), F.col("attack").alias("label"))
 
-@R.add("plan_inputs", "SELECT 'dims' AS name, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n UNION ALL SELECT 'traffic', count(*) FROM events")
+    pairs = {(d, m): functools.partial(scores, d, m) for d in ("d0", "d1") for m in value}
+    path = scratch(spark, "matrix")
+    for some in ({k: v for k, v in pairs.items() if k[1] == "value"}, pairs):
+        out = X.run_matrix(spark, some, E.roc_auc, "auc double", path)
+    return out.select("dataset", "method", F.round("auc", 6).alias("auc"), "ok")
+
+
+@R.add("plan_inputs", WITH + "SELECT p.dataset, p.role, count(*) AS n, sum(f.idx_src) AS total FROM f JOIN (VALUES ('early', 'train', '2024-01-0'), ('early', 'test', '2024-01-1'), ('early', 'test', '2024-01-2'), ('late', 'train', '2024-01-1'), ('late', 'test', '2024-01-3'), ('late', 'test', '2024-01-2')) p(dataset, role, day) ON f.source_file[:9] = p.day GROUP BY ALL")
 def _(spark, sf):
-    plan = {"dims": [f"{sf}/nation.parquet", f"{sf}/region.parquet"], "traffic": [f"{sf}/events.parquet"]}
-    parts = [I.read_parquet_glob(spark, glob, []).select(F.lit(name).alias("name")) for name, globs in plan.items() for glob in globs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("name").agg(F.count("*").alias("n"))
+    """Plan entries with one or many globs each; files of several entries are read once."""
+    path = scratch(spark, "days")
+    f(spark, sf).repartitionByRange("source_file").write.partitionBy("source_file").parquet(path)
+    days = lambda *tens: [f"{path}/source_file=2024-01-{t}*/*.parquet" for t in tens]
+    entries = [("early", "train", days(0)), ("early", "test", days(1, 2)), ("late", "train", days(1)), ("late", "test", [*days(2, 3), f"{path}/source_file=2024-01-29/*.parquet"])]
+    plan = spark.createDataFrame(entries, "dataset string, role string, globs array<string>")
+    rows = X.plan_rows(spark, plan, StructType([StructField("idx_src", LongType())]))
+    return rows.groupBy("dataset", "role").agg(F.count("*").alias("n"), F.sum("idx_src").alias("total"))

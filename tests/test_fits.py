@@ -304,3 +304,48 @@ def test_gauss_transform_has_no_more_cells_than_the_plane(spark):
         df = spark.range(n).select((F.rand(1)).alias("x"), (F.rand(2)).alias("y"))
         cells.append(kernel.in_cells(df, "x", "y", [100.0]).select(*kernel.CELL).distinct().count())
     assert cells == [100, 100]
+
+
+def test_ridge_predictor_against_numpy(spark):
+    from framewright.operators import predict
+
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for i in range(3):
+        v = np.round(rng.normal(size=(80, 2)).cumsum(axis=0), 3)
+        rows += [("a", i, k, 100 * i + k, float(a), float(b)) for k, (a, b) in enumerate(v)]
+        x = np.column_stack([np.ones(78), v[:-2], v[1:-1]])
+        y = v[2:]
+        weights = np.linalg.solve(x.T @ x + np.diag([0.0, 2, 2, 2, 2]), x.T @ y)
+        want |= {100 * i + k + 2: e for k, e in enumerate(((y - x @ weights) ** 2).mean(axis=1))}
+    df = spark.createDataFrame(rows, "source_file string, can_id long, ts_us long, idx_src long, u double, v double").repartition(3)
+    lagged = predict.lagged(df, ["u", "v"], 2)
+    weights = predict.ridge_fit(predict.ridge_sums(lagged, 5, 2), 5, 2, 2.0)
+    got = {r.idx_src: r.score for r in predict.ridge_residual(lagged, weights, 5, 2).collect()}
+    assert got.keys() == want.keys() and [got[k] for k in want] == pytest.approx(list(want.values()), rel=1e-3, abs=1e-5)
+
+
+def test_a_broken_pair_does_not_end_the_others_and_runs_resume(spark, tmp_path):
+    from framewright.operators import matrix
+
+    calls, fixed = [], []
+    scores = spark.createDataFrame([(float(k), k % 2) for k in range(20)], "score double, label int")
+
+    def pair(d, m):
+        calls.append((d, m))
+        if m == "missing" and not fixed:
+            raise FileNotFoundError(d)
+        return scores if m != "late" or fixed else scores.select(F.raise_error(F.lit("late")).cast("double").alias("score"), "label")
+
+    pairs = {(d, m): (lambda d=d, m=m: pair(d, m)) for d in ("x", "y") for m in ("good", "late", "missing")}
+    run = lambda: {(r.dataset, r.method): r for r in matrix.run_matrix(spark, pairs, evaluate.roc_auc, "auc double", str(tmp_path)).collect()}
+    first = run()
+    assert {k for k, r in first.items() if r.ok} == {("x", "good"), ("y", "good")} and len(first) == 6
+    assert "FileNotFoundError" in first["x", "missing"].error and "late" in first["y", "late"].error
+    fixed.append(True)
+    calls.clear()
+    second = run()
+    assert all(r.ok and r.error is None and r.auc == pytest.approx(0.55) for r in second.values()) and len(second) == 6
+    assert set(calls) == {p for p in pairs if p[1] != "good"} and len(calls) == 4
+    calls.clear()
+    assert len(run()) == 6 and not calls

@@ -7,7 +7,9 @@ out and counted by ``rejected``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,32 +111,44 @@ def read_signal_csv_wide(spark: SparkSession, paths: str | list[str]) -> DataFra
     return raw.select(core("time").cast("double").alias("ts_s"), core("id").cast("bigint").alias("can_id"), S.map_label_token(core("label")).alias("label"), F.array(*(F.col(f"`{c}`").cast("double") for _, c in order)).alias("signals"), stem(F.col("_metadata.file_path")).alias("source_file"))
 
 
+#: Lines of one Arrow batch of an archive.
+ZIP_BATCH = 10_000
+
+
 def read_zip_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of the first CSV file in each zip archive, in their order; an archive (below 2 GB) is one row, its lines stream."""
+    """Lines of the first CSV file in each zip archive, in their order.
+
+    Spark lists the archives (their content is not read); each task opens its archives on the file system that
+    their path names, seeks to the member and streams it in batches, so no archive is ever held whole.
+    """
 
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
+        import itertools
         import zipfile
 
-        import pandas as pd
-
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    name = next((n for n in sorted(z.namelist()) if n.lower().endswith(".csv")), None)
-                    if name:
-                        with z.open(name) as f:
-                            block: list[str] = []
-                            at = 0
-                            for line in io.TextIOWrapper(f, "utf-8"):
-                                block.append(line.rstrip("\r\n"))
-                                if len(block) == 10_000:
-                                    yield pd.DataFrame({"path": path, "line_no": range(at, at + len(block)), "line": block})
-                                    at += len(block)
-                                    block = []
-                            yield pd.DataFrame({"path": path, "line_no": range(at, at + len(block)), "line": block})
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, line_no long, line string").select(stem(F.col("path")).alias("source_file"), "line_no", "line")
+        from pyarrow import fs
+
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            # Spark's paths are not escaped
+            local = path.startswith("file:")
+            system, at = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(quote(path, safe=":/@?&="))
+            with system.open_input_file(at) as raw, zipfile.ZipFile(raw) as z:
+                name = next((n for n in sorted(z.namelist()) if n.lower().endswith(".csv")), None)
+                if name is None:
+                    continue
+                with z.open(name) as member:
+                    lines = (line.rstrip("\r\n") for line in io.TextIOWrapper(member, "utf-8"))
+                    for first in itertools.count(0, ZIP_BATCH):
+                        block = list(itertools.islice(lines, ZIP_BATCH))
+                        if not block:
+                            break
+                        numbers = pa.array(range(first, first + len(block)), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(block)), numbers, pa.array(block, pa.string())], names=["path", "line_no", "line"])
+
+    listed = spark.read.format("binaryFile").load(paths).select("path")
+    dealt = listed.repartition(spark.sparkContext.defaultParallelism)  # archives, not bytes, are dealt
+    return dealt.mapInArrow(run, "path string, line_no long, line string").select(stem(F.col("path")).alias("source_file"), "line_no", "line")
 
 
 CAPTURE = "map<string, struct<elapsed_sec: double, on_dyno: boolean, injected_aid: string, injection_data: string, injection_interval: array<double>>>"

@@ -123,3 +123,35 @@ def test_kernel_model_in_blocks(spark, monkeypatch):
     whole = scores()
     monkeypatch.setattr(detect, "MODEL_ROWS", 12)
     assert len(whole) == 120 and scores() == whole
+
+
+def test_large_zip_members_stream(spark, tmp_path):
+    """An archive whose member is far larger than what a worker holds; names with spaces; archives without a CSV file."""
+    import resource
+    import zipfile
+
+    from framewright.sources import readers
+
+    line = "x" * 990
+    with zipfile.ZipFile(tmp_path / "long one.zip", "w", zipfile.ZIP_DEFLATED) as z, z.open("b.csv", "w") as f:
+        for k in range(400):
+            f.write("".join(f"{k * 1000 + j:09d}{line}\r\n" for j in range(1000)).encode())
+    with zipfile.ZipFile(tmp_path / "none.zip", "w") as z:
+        z.writestr("readme.txt", "no csv")
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.writestr("z.csv", "not this")
+        z.writestr("a.CSV", "é,1\n\nlast")
+    got = readers.read_zip_lines(spark, str(tmp_path / "*.zip"))
+    small = got.where("source_file = 'two'").orderBy("line_no").collect()
+    assert [(r.line_no, r.line) for r in small] == [(0, "é,1"), (1, ""), (2, "last")]
+
+    def peak(batches):
+        import pyarrow as pa
+
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024])], names=["n", "mb"])
+
+    rows = got.where("source_file = 'long one'").withColumn("at", F.substring("line", 1, 9).cast("long"))
+    r = rows.agg(F.count("*").alias("n"), F.count_if(F.col("at") == F.col("line_no")).alias("same"), F.max(F.length("line")).alias("longest")).first()
+    assert (r.n, r.same, r.longest) == (400_000, 400_000, 999)  # 400 MB of text
+    assert max(x.mb for x in got.mapInArrow(peak, "n long, mb long").collect()) < 350

@@ -14,14 +14,14 @@ from .ranks import exact_quantiles, range_of, splitters
 # n-grams ----------------------------------------------------------------------
 
 
-def ngram_fit(df: DataFrame, n: int, symbol: str) -> DataFrame:
+def ngram_fit(df: DataFrame, n: int, symbol: str, short: bool | None = None) -> DataFrame:
     """Distinct n-grams of benign traffic."""
-    return W.ngrams(df, n, symbol).where("gram IS NOT NULL").select("gram").distinct()
+    return W.ngrams(df, n, symbol, short=short).where("gram IS NOT NULL").select("gram").distinct()
 
 
-def ngram_score(df: DataFrame, model: DataFrame, known: DataFrame, n: int, symbol: str) -> DataFrame:
+def ngram_score(df: DataFrame, model: DataFrame, known: DataFrame, n: int, symbol: str, short: bool | None = None) -> DataFrame:
     """1 for a message whose symbol is unknown or whose n-gram is not in the model; 0 for the first n - 1 of a trace."""
-    grams = W.ngrams(df, n, symbol)
+    grams = W.ngrams(df, n, symbol, short=short)
     seen = grams.join(model.withColumn("_seen", F.lit(True)), "gram", "left")
     named = seen.join(known.select(F.col(symbol)).distinct().withColumn("_known", F.lit(True)), symbol, "left")
     return named.withColumn("score", F.when(F.col("gram").isNull(), 0).when(F.col("_known").isNull() | F.col("_seen").isNull(), 1).otherwise(0)).drop("_seen", "_known")
@@ -162,6 +162,7 @@ def score_ensemble(scores: DataFrame, periods: int) -> DataFrame:
 
 def correlated_groups(pairs: DataFrame, limit: float) -> DataFrame:
     """Groups of features whose correlation distance is at most ``limit``, by spreading the smallest name until nothing moves."""
+    pairs = kept(pairs, "pairs")  # every round reads them
     near = pairs.where(1 - F.abs("r") <= limit)
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(pairs.select("a", F.col("a").alias("b"))).unionByName(pairs.select(F.col("b").alias("a"), "b")).distinct()
     known = {r.a: r.a for r in both.select("a").distinct().collect()}  # one row a feature column

@@ -95,9 +95,9 @@ def trailing_id_count(df: DataFrame, span_us: int, name: str = "trailing") -> Da
     return placed.withColumn(name, F.count("*").over(upto) - later).where("_b = _own").drop("_own", "_b")
 
 
-def ngrams(df: DataFrame, n: int, symbol: str, trace: str | None = "source_file", name: str = "gram") -> DataFrame:
+def ngrams(df: DataFrame, n: int, symbol: str, trace: str | None = "source_file", name: str = "gram", short: bool | None = None) -> DataFrame:
     """The last n symbols ending at each message of a trace; null for the first n - 1."""
-    return last_values(df, n, F.col(symbol), (trace,) if trace else (), name).withColumn(name, F.when(F.size(name) == n, F.col(name)))
+    return last_values(df, n, F.col(symbol), (trace,) if trace else (), name, short).withColumn(name, F.when(F.size(name) == n, F.col(name)))
 
 
 def sequence_windows(df: DataFrame, steps: int, values: list[str], name: str = "sequence") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import bridge
+from ..operators import blocks as B
 from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import oneclass as O
@@ -36,8 +37,10 @@ x AS (SELECT g.*, CASE WHEN gram IS NULL THEN 0 WHEN gram IN (SELECT gram FROM m
 
 
 def scored(spark, sf):
-    train, test = halves(f(spark, sf))
-    return D.ngram_score(test, D.ngram_fit(train, 3, "symbol"), train, 3, "symbol")
+    df = f(spark, sf)
+    short = B.fits(df, ("source_file",))
+    train, test = halves(df)
+    return D.ngram_score(test, D.ngram_fit(train, 3, "symbol", short), train, 3, "symbol", short)
 
 
 @R.add("ngram_fit", G + " SELECT array_to_string(gram, ' ') AS gram FROM m")
@@ -52,8 +55,10 @@ def _(spark, sf):
 
 @R.add("ngram_membership", G + " SELECT idx_src FROM g WHERE source_file >= '" + DAY + "' AND gram IS NOT NULL AND gram NOT IN (SELECT gram FROM m)")
 def _(spark, sf):
-    train, test = halves(f(spark, sf))
-    return W.ngrams(test, 3, "symbol").where("gram IS NOT NULL").join(D.ngram_fit(train, 3, "symbol"), "gram", "left_anti").select("idx_src")
+    df = f(spark, sf)
+    short = B.fits(df, ("source_file",))
+    train, test = halves(df)
+    return W.ngrams(test, 3, "symbol", short=short).where("gram IS NOT NULL").join(D.ngram_fit(train, 3, "symbol", short), "gram", "left_anti").select("idx_src")
 
 
 NW = f""", o AS (SELECT *, (ts_us - min(ts_us) OVER (PARTITION BY source_file)) // {4 * HOUR} AS window_no FROM x), w AS (SELECT source_file, window_no, max(score) AS any_score, avg(score) AS frac_score, max(label) AS label FROM o GROUP BY ALL)"""
@@ -75,7 +80,7 @@ def _(spark, sf):
 p AS (SELECT frac_score AS t, sum(label) AS p, sum(1 - label) AS n FROM w GROUP BY 1), q AS (SELECT t, sum(p) OVER (ORDER BY t DESC) / sum(p) OVER () AS tpr, sum(n) OVER (ORDER BY t DESC) / sum(n) OVER () AS fpr FROM p), r AS (SELECT tpr, fpr, lag(tpr, 1, 0) OVER (ORDER BY t DESC) AS lt, lag(fpr, 1, 0) OVER (ORDER BY t DESC) AS lf FROM q)
 SELECT c.*, (SELECT round(sum((fpr - lf) * (tpr + lt) / 2), 9) FROM r WHERE isfinite(fpr)) AS auc FROM c""")
 def _(spark, sf):
-    w = ngram_windows(spark, sf)
+    w = kept(ngram_windows(spark, sf), "windows")
     c = E.confusion(w.withColumnRenamed("any_score", "pred")).select("tp", "fp", "fn", "tn")
     auc = E.roc_auc(w.select(F.col("frac_score").alias("score"), F.col("label").cast("int").alias("label"))).select(F.round("auc", 9).alias("auc"))
     return c.crossJoin(auc)  # one row each

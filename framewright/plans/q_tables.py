@@ -271,7 +271,10 @@ def _(spark, sf):
     return r9(corr(spark, sf), "r")
 
 
-@R.add("correlated_groups")
+CORR = " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, corr({x}, {y}) AS r FROM f" for i, x in enumerate(COLS) for y in COLS[i + 1 :])
+
+
+@R.add("correlated_groups", "WITH RECURSIVE " + bridge.DUCK + f", c AS ({CORR}), e AS (SELECT a, b FROM c WHERE 1 - abs(r) <= 0.999 UNION SELECT b, a FROM c WHERE 1 - abs(r) <= 0.999), g AS (SELECT unnest({COLS}) AS a, unnest({COLS}) AS grp UNION SELECT e.b, g.grp FROM g JOIN e USING (a)) SELECT a, min(grp) AS grp FROM g GROUP BY a")
 def _(spark, sf):
     return D.correlated_groups(corr(spark, sf), 0.999)
 

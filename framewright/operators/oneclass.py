@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ..scratch import kept
 
 BUCKETS = 128
+#: Below this w . w (it is 0 where nothing parts the points from the origin) the gap counts by itself.
+LITTLE = 0.1
 _SUMS = "c int, b int, n double, low double, high double, s array<double>"
 
 
@@ -132,7 +134,7 @@ def _advance(one: Candidate, n: np.ndarray, low: np.ndarray, high: np.ndarray, s
     one.gap = float(one.w @ one.w - (one.w @ below + low[j] * rest) / most)
     one.rho = float(low[j] + (high[j] - low[j]) * rest / n[j])
     one.share = float(upto[j] / total)
-    one.done = bool(one.atoms) and one.gap <= tolerance * max(float(one.w @ one.w), tolerance)  # w . w is 0 where nothing parts the points from the origin
+    one.done = bool(one.atoms) and one.gap <= tolerance * max(float(one.w @ one.w), LITTLE)
     if one.done:
         return
     one.atoms.append((below + s[j] * (rest / n[j])) / most)
@@ -149,8 +151,8 @@ def _advance(one: Candidate, n: np.ndarray, low: np.ndarray, high: np.ndarray, s
     one.w = moved
 
 
-def fit_candidates(points: DataFrame, candidates: Sequence[tuple[float, float]], features: int = 32, seed: int = 7, tolerance: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, list[Candidate]]:
-    """Frequencies, and the fit of every (gamma, nu) on points (x, y); stops at gaps of ``tolerance`` of w . w each, or of its square."""
+def fit_candidates(points: DataFrame, candidates: Sequence[tuple[float, float]], features: int = 32, seed: int = 7, tolerance: float = 1e-3, steps: int = 40) -> tuple[np.ndarray, list[Candidate]]:
+    """Frequencies, and the fit of every (gamma, nu) on points (x, y); stops at gaps of ``tolerance`` of w . w each; what is open after ``steps`` keeps its larger gap."""
     freq = frequencies(features, seed)
     order = sorted(range(len(candidates)), key=lambda k: candidates[k])  # of one gamma together: features are made once
     found = [Candidate(float(g), float(nu), np.zeros(features)) for g, nu in candidates]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import scalars as S
-from framewright.operators import clean, detect, evaluate, labels, stats, windows
+from framewright.operators import clean, detect, evaluate, labels, rules, stats, windows
 from framewright.sources import readers
 
 
@@ -104,7 +104,7 @@ def test_assert_benign(spark):
 def test_region_distances_and_unknown_ids(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (1, [3.0, 4.0]), (2, [1.0, 1.0])], "can_id long, payload array<double>")
     c = spark.createDataFrame([(1, 0, [0.0, 0.0])], "can_id long, region int, centre array<double>")
-    assert sorted((r.region, r.distance) for r in detect.regions_assign(df, c).collect()) == [(-1, float("inf")), (0, 0.0), (0, 5.0)]
+    assert sorted((r.region, r.distance) for r in rules.regions_assign(df, c).collect()) == [(-1, float("inf")), (0, 0.0), (0, 5.0)]
 
 
 def test_empty_table(spark):
@@ -113,16 +113,18 @@ def test_empty_table(spark):
         assert out.count() == 0
 
 
-def test_kernel_model_in_blocks(spark, monkeypatch):
-    pts = spark.createDataFrame([(i % 7, float(i * i % 11)) for i in range(60)], "can_id int, hz double")
-    scale = detect.fit_minmax(pts)
-
-    def scores():
-        return sorted((r.can_id, r.hz, r.gamma, round(r.score, 9)) for r in detect.kernel_scores(pts, detect.kernel_model(pts, scale), scale, [1.0, 10.0]).collect())
+def test_kernel_scores_of_scaled_points(spark):
+    import math
 
-    whole = scores()
-    monkeypatch.setattr(detect, "MODEL_ROWS", 12)
-    assert len(whole) == 120 and scores() == whole
+    rows = [(i % 7, float(i * i % 11)) for i in range(60)]
+    pts = spark.createDataFrame(rows, "can_id int, hz double")
+    scale = detect.fit_minmax(pts)
+    got = detect.kernel_scores(pts, detect.kernel_model(pts, scale), scale, [1.0, 10.0]).collect()
+    low, high = [min(r[k] for r in rows) for k in (0, 1)], [max(r[k] for r in rows) for k in (0, 1)]
+    at = [[(r[k] - low[k]) / (high[k] - low[k]) for k in (0, 1)] for r in rows]
+    want = sorted((*r, g, -sum(math.exp(-g * ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2)) for q in at) / 60) for r, p in zip(rows, at, strict=True) for g in (1.0, 10.0))
+    mine = sorted((r.can_id, r.hz, r.gamma, r.score) for r in got)
+    assert len(mine) == 120 and all(x[:3] == y[:3] and abs(x[3] - y[3]) < 1e-8 for x, y in zip(mine, want, strict=True))
 
 
 def test_large_zip_members_stream(spark, tmp_path):

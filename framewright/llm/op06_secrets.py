@@ -78,7 +78,7 @@ FEATURES = ("length", "digits", "upper", "lower", "hex", *(f"{a}_{b}" for a, b i
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Every candidate: key (MD5 of the text), doc_id, token_no, name, value, before and behind (neighbour words), token (its field)."""
+    """Every candidate: key (SHA-256 of the text), doc_id, token_no, name, value, before and behind (neighbour words), token (its field)."""
     text = text_col()
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     # cheap tests first: a digit and a long run somewhere in the text, or a block header

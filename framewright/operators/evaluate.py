@@ -180,7 +180,8 @@ def mcc(c: DataFrame) -> DataFrame:
     return c.withColumn("mcc", F.coalesce(F.try_divide(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), F.lit(0.0)))
 
 
-RULES = ("youden", "best_f1", "three_sigma", "fpr_0.001", "fpr_0.01", "fpr_0.05")
+FPRS = (0.001, 0.01, 0.05)
+RULES = ("youden", "best_f1", "three_sigma", *(f"fpr_{t}" for t in FPRS))
 
 
 def evaluate_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,7 +193,7 @@ def evaluate_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     top = lambda value: F.max_by("threshold", F.struct(value, F.col("threshold")))
     by_curve = c.where(TWO).groupBy(*keys).agg(
         top(F.col("tpr") - F.col("fpr")).alias("youden"), top(F.col("f1")).alias("best_f1"),
-        *(top(-F.abs(F.col("fpr") - t)).alias(f"fpr_{t}") for t in (0.001, 0.01, 0.05)),
+        *(top(-F.abs(F.col("fpr") - t)).alias(f"fpr_{t}") for t in FPRS),
     )
     sigma = three_sigma_threshold(scores, keys).withColumnRenamed("threshold", "three_sigma")
     wide = by_curve.join(sigma, keys)
@@ -210,11 +211,65 @@ def single_class_report(scores: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("note", F.when(F.col("n_attack") == 0, "benign only").when(F.col("n_attack") == F.col("n"), "attack only"))
 
 
-def per_attack(scores: DataFrame, kind: str = "attack_type") -> DataFrame:
-    """Scores of each attack type together with all benign scores, as slices named by the type."""
-    kinds = scores.where("label = 1").select(F.col(kind).alias("slice")).distinct()
-    benign = scores.where("label = 0").select("score", "label").crossJoin(F.broadcast(kinds))  # a handful of types
-    return scores.where("label = 1").select("score", "label", F.col(kind).alias("slice")).unionByName(benign.select("score", "label", "slice"))
+def attack_sizes(scores: DataFrame, kind: str = "attack_type") -> DataFrame:
+    """Messages of each attack type, and the benign ones that each type is held against; benign messages are counted once."""
+    attacks = scores.where("label = 1").groupBy(F.col(kind).alias("slice")).agg(F.count("*").alias("n_attack"))
+    return attacks.crossJoin(F.broadcast(scores.agg(F.count_if(F.col("label") == 0).alias("n_benign"))))  # one row
+
+
+def evaluate_attacks(scores: DataFrame, kind: str = "attack_type") -> DataFrame:
+    """``evaluate_scores`` of each attack type (column ``slice``) against all benign messages, which are ranked once for all types.
+
+    A type's own scores are the only thresholds where its tp changes, so the best ones by tpr - fpr and by F1 are among
+    them, and its area is a sum over them of the benign scores below.  A threshold by fpr is a benign score, or the type's
+    highest score where no benign one is above; three deviations are the same for all types.  Nothing is repeated for each
+    type, whatever their number.  Messages without a type are a slice of their own (null); without benign messages there
+    are sizes and a note.
+    """
+    attack, benign = F.col("label") == 1, F.col("label") == 0
+    counted = scores.where(attack | benign).groupBy(F.when(attack, F.struct(F.col(kind).alias("slice"))).alias("_f"), "score").agg(F.count("*").alias("c"))
+    per = kept(counted, "scores").withColumns({"p": F.when(F.col("_f").isNotNull(), F.col("c")).otherwise(0), "n": F.when(F.col("_f").isNull(), F.col("c")).otherwise(0)})
+    per = per.crossJoin(F.broadcast(per.agg(splitters(F.col("score"), RANGES).alias("_s")))).withColumn("_r", RANGES - range_of(F.col("_s"), F.col("score"), RANGES)).drop("_s")
+
+    # benign and own messages above each score: within its range, and in the ranges above it
+    above = lambda *keys: Window.partitionBy(*keys or [F.lit(0)]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    inside = lambda *keys: Window.partitionBy(*keys, "_r").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = per.groupBy("_f", "_r").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # at most RANGES rows a type
+    fps = sums.groupBy("_r").agg(F.sum("_n").alias("_n")).select("_r", zero(F.sum("_n").over(above())).alias("_fp"))
+    tps = sums.where("_p > 0").select("_f", "_r", zero(F.sum("_p").over(above("_f"))).alias("_tp"))
+    ranked = per.join(fps, "_r").withColumns({"fp": F.col("_fp") + F.sum("n").over(inside()), "_eq": F.sum("n").over(Window.partitionBy("_r", "score"))})
+    ranked = ranked.join(tps, ["_f", "_r"], "left").withColumn("tp", F.col("_tp") + F.sum("p").over(inside("_f")))
+    ranked = kept(ranked.select("_f", "score", "p", "n", "tp", "fp", "_eq"), "ranked")
+
+    b, fpr = F.col("n") > 0, F.col("fp") / F.col("_neg")
+    neg = ranked.agg(zero(F.sum("n")).alias("_neg"), F.max(F.when(b, F.col("score"))).alias("_top"))
+    nearest = {t: F.max_by(F.struct(F.col("score").alias("threshold"), "fp", F.abs(fpr - t).alias("off")), F.struct(-F.abs(fpr - t), F.col("score"))) for t in FPRS}
+    at_fpr = ranked.where(b).crossJoin(F.broadcast(neg)).agg(*(nearest[t].alias(f"fpr_{t}") for t in FPRS))
+    sigma = three_sigma_threshold(scores.where(benign)).select(F.col("threshold").alias("_sigma"))
+    one = neg.crossJoin(at_fpr).crossJoin(sigma)  # one row each
+    over = ranked.where(b).crossJoin(F.broadcast(sigma)).agg(zero(F.sum(F.when(F.col("score") >= F.col("_sigma"), F.col("n")))).alias("_sigma_fp"))
+    one = one.crossJoin(over)
+
+    pos = ranked.where("p > 0")
+    sizes = pos.groupBy("_f").agg(F.sum("p").alias("_pos"), F.max("score").alias("_high"))
+    own = pos.join(sizes, "_f").crossJoin(F.broadcast(one))
+    tpr, f1 = F.try_divide(F.col("tp").cast("double"), F.col("_pos").cast("double")), 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("_pos"))
+    best = lambda value: F.max_by(F.struct(F.col("score").alias("threshold"), "fp", "tp"), F.struct(value, F.col("score")))
+    free = F.col("_high") > F.col("_top")  # some of the type's scores are above every benign one
+    chosen = {f"fpr_{t}": F.when(free & (F.lit(t) <= F.col(f"`fpr_{t}`.off")), F.struct(F.col("_high").alias("threshold"), F.lit(0).cast("long").alias("fp"))).otherwise(F.struct(F.col(f"`fpr_{t}`.threshold").alias("threshold"), F.col(f"`fpr_{t}`.fp").alias("fp"))) for t in FPRS}
+    chosen["three_sigma"] = F.struct(F.col("_sigma").alias("threshold"), F.col("_sigma_fp").alias("fp"))
+    hits = {r: F.sum(F.when(F.col("score") >= c["threshold"], F.col("p")).otherwise(0)) for r, c in chosen.items()}
+    area = F.sum(F.col("p") * (F.col("_neg") - F.col("fp") + F.col("_eq") / 2)) / F.first("_pos") / F.first("_neg")
+    youden, best_f1 = best(tpr - F.try_divide(F.col("fp").cast("double"), F.col("_neg").cast("double"))), best(f1)
+    rows = own.where("_neg > 0").groupBy("_f").agg(
+        area.alias("auc"), youden.alias("_youden"), best_f1.alias("_best_f1"), *(F.first(c).withField("tp", hits[r]).alias(f"_{r}") for r, c in chosen.items()),
+        F.first("_pos").alias("_pos"), F.first("_neg").alias("_neg"),
+    )
+    rule = lambda r: F.struct(F.lit(r).alias("rule"), *(F.col(f"`_{r}`.{c}").alias(c) for c in ("threshold", "tp", "fp")))
+    rows = rows.select("_f", "auc", "_pos", "_neg", F.explode(F.array(*map(rule, RULES))).alias("x")).select("_f", "x.*", (F.col("_pos") - F.col("x.tp")).alias("fn"), (F.col("_neg") - F.col("x.fp")).alias("tn"), "auc")
+    out = sizes.crossJoin(F.broadcast(neg)).select("_f", (F.col("_pos") + F.col("_neg")).alias("n"), F.col("_pos").alias("n_attack"), F.when(F.col("_neg") == 0, "attack only").alias("note"))
+    return out.join(rows, "_f", "left").withColumn("slice", F.col("_f.slice")).drop("_f")
 
 
 def score_contract(scores: DataFrame, binary: bool = False) -> DataFrame:

@@ -164,11 +164,14 @@ FROM s JOIN t ON t.k = {key} JOIN z ON z.k = t.k JOIN c2 ON c2.k = t.k GROUP BY
 UNION ALL SELECT k, NULL, NULL, NULL, NULL, NULL, NULL, NULL, n, n_attack, CASE WHEN n_attack = 0 THEN 'benign only' ELSE 'attack only' END FROM sz WHERE n_attack IN (0, n)"""
 
 
-def bundled(df, keys):
-    out = E.evaluate_scores(df, keys)
+def in_digits(out):
     return out.withColumn("threshold", F.round("threshold", 6)).withColumn("auc", F.round("auc", 9))
 
 
+def bundled(df, keys):
+    return in_digits(E.evaluate_scores(df, keys))
+
+
 @R.add("evaluate_scores", SC + bundle("dlc"))
 def _(spark, sf):
     return bundled(scores(spark, sf), ["dlc"]).withColumnRenamed("dlc", "slice")
@@ -182,7 +185,7 @@ def _(spark, sf):
 
 @R.add("evaluate_per_attack", SC.replace(", s AS (", ", s0 AS (") + ", s AS (SELECT score, label, attack_type AS dlc FROM s0 WHERE label = 1 UNION ALL SELECT score, label, t FROM s0, (SELECT DISTINCT attack_type AS t FROM s0 WHERE label = 1) WHERE label = 0)" + bundle("dlc"))
 def _(spark, sf):
-    return bundled(E.per_attack(scores(spark, sf)), ["slice"])
+    return in_digits(E.evaluate_attacks(scores(spark, sf)))
 
 
 @R.add("evaluate_binary", PRED + " SELECT source_file, tp, fp, fn, tn FROM q")

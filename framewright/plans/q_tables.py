@@ -226,8 +226,7 @@ def _(spark, sf):
 
 @R.add("per_attack_consistency", TYPED + "SELECT CAST(sum(attack) AS BIGINT) AS n_attack, true AS same_benign FROM a")
 def _(spark, sf):
-    s = E.per_attack(a(spark, sf).select(F.col("signal1").alias("score"), F.col("attack").alias("label"), "attack_type"))
-    return T.per_attack_consistency(s.groupBy("slice").agg(F.sum("label").alias("n_attack"), F.count_if(F.col("label") == 0).alias("n_benign")))
+    return T.per_attack_consistency(E.attack_sizes(a(spark, sf).select(F.col("attack").alias("label"), "attack_type")))
 
 
 @R.add("estimate_msg_rate", WITH + ", p AS (SELECT can_id, source_file, count(*) AS n, (max(ts_us) - min(ts_us)) / 3600e6 AS s FROM f GROUP BY 1, 2) SELECT can_id, CAST(coalesce(least(greatest(round(sum(n) FILTER (n > 2 AND s > 0) / sum(s) FILTER (n > 2 AND s > 0) * 20), 2), 400), 5) AS INT) AS rate FROM p GROUP BY 1")

@@ -1,5 +1,7 @@
 """Small fixtures for edge cases of parsing, labelling, windows, detectors and thresholds."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,24 @@ def test_large_zip_members_stream(spark, tmp_path):
     r = rows.agg(F.count("*").alias("n"), F.count_if(F.col("at") == F.col("line_no")).alias("same"), F.max(F.length("line")).alias("longest")).first()
     assert (r.n, r.same, r.longest) == (400_000, 400_000, 999)  # 400 MB of text
     assert max(x.mb for x in got.mapInArrow(peak, "n long, mb long").collect()) < 350
+
+
+@pytest.mark.parametrize("case", ["mixed", "apart", "no_benign", "empty"])
+def test_attack_types_share_one_ranking(spark, case):
+    """Each type against all benign messages, as if these were repeated for it; ties, high types, a missing class, a null type."""
+    rng = random.Random(case)
+    rows = [(float(rng.randint(0, 30)), 0, None) for _ in range(400)] if case not in ("no_benign", "empty") else []
+    if case != "empty":
+        rows += [(float(rng.randint(5, 60)), 1, "a") for _ in range(150)] + [(float(rng.randint(0, 20)), 1, "b") for _ in range(50)]
+        rows += [(90.0 if case == "apart" else 12.0, 1, "one")]
+    scores = spark.createDataFrame(rows, "score double, label int, attack_type string")
+    parts = [[(s, y, k) for s, y, t in rows if y == 0 or t == k] for k in sorted({t for _, y, t in rows if y})]
+    repeated = spark.createDataFrame([(s, y, k) for part in parts for s, y, k in part], "score double, label int, slice string")
+    names = ["slice", "rule", "threshold", "tp", "fp", "fn", "tn", "auc", "n", "n_attack", "note"]
+    digits = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(names).collect()), key=str)
+    assert digits(evaluate.evaluate_attacks(scores)) == digits(evaluate.evaluate_scores(repeated, ["slice"]))
+    if case != "mixed":
+        return
+    nameless = evaluate.evaluate_attacks(scores.withColumn("attack_type", F.when(F.col("attack_type") != "b", F.col("attack_type"))))
+    renamed = [tuple("b" if c is None and i == 0 else c for i, c in enumerate(r)) for r in digits(nameless)]
+    assert sorted(renamed, key=str) == digits(evaluate.evaluate_attacks(scores))

@@ -16,7 +16,9 @@ tree from its leaves without encoding others again.
 
 Defined cases: null text is empty; edits are clamped to the text; null edits are
 none and null parts of an edit are 0, 0 or empty; repeated rows give repeated
-rows; other columns are ignored.
+rows; very long texts are counted whole; a stretch in which no white space follows
+a letter is one leaf however long, and encoded whole at each edit in it; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -30,8 +30,10 @@ def text(df, line, spark, what, per_file=False):
     return path
 
 
-def hexid():
-    return F.lower(F.conv(F.col("can_id").cast("string"), 10, 16))
+def hexid(width=1):
+    """The id in base 16 with at least ``width`` digits; a longer one stays whole."""
+    h = F.lower(F.conv(F.col("can_id").cast("string"), 10, 16))
+    return F.when(F.length(h) < width, F.lpad(h, width, "0")).otherwise(h)
 
 
 BYTES = ", ".join(f"CAST(coalesce(try_cast('0x' || nullif(substr(data_hex, {2 * i + 1}, 2), '') AS INT), 0) AS INT) AS data{i}" for i in range(8))
@@ -88,7 +90,7 @@ def _(spark, sf):
 @R.add("scan_frames_csv", WITH + f"SELECT ts_us, can_id, dlc, label, {BYTES} FROM f")
 def _(spark, sf):
     byte = [F.when(F.col("dlc") > i, F.substring("data_hex", 2 * i + 1, 2)) for i in range(8)]
-    line = F.concat_ws(",", seconds(), F.lpad(hexid(), 4, "0"), F.col("dlc").cast("string"), *byte, F.when(F.col("label") == 1, "T").otherwise("R"))
+    line = F.concat_ws(",", seconds(), hexid(4), F.col("dlc").cast("string"), *byte, F.when(F.col("label") == 1, "T").otherwise("R"))
     return I.read_frames_csv(spark, text(f(spark, sf), line, spark, "frames")).select("ts_us", "can_id", *ints("dlc", "label", *(f"data{i}" for i in range(8))))
 
 

@@ -72,7 +72,7 @@ def _(spark, sf):
 
 def keyed(spark, sf, flags):
     spaced = F.regexp_replace("data_hex", "(..)", " $1")
-    line = F.concat(F.lit("Timestamp:          "), seconds(), F.lit("        ID: "), F.lpad(hexid(), 4, "0"), F.lit("    "), flags, F.lit("    DLC: "), F.col("dlc").cast("string"), F.lit("   "), F.lower(spaced))
+    line = F.concat(F.lit("Timestamp:          "), seconds(), F.lit("        ID: "), hexid(4), F.lit("    "), flags, F.lit("    DLC: "), F.col("dlc").cast("string"), F.lit("   "), F.lower(spaced))
     return text(f(spark, sf), line, spark, "keyed")
 
 

@@ -27,6 +27,6 @@ def larger(sf_dir, tmp_path_factory):
     return make
 
 
-@pytest.mark.parametrize("name", ["scan_frames_csv"])
+@pytest.mark.parametrize("name", ["scan_frames_csv", "scan_keyed_log", "scan_keyed_log_normal"])
 def test_ids_of_more_than_four_digits(spark, larger, name):
     same(QUERIES[name](spark, d := larger("user_id * 60000 + 3 AS user_id")), SQL[name], d)

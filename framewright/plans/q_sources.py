@@ -66,8 +66,7 @@ ODD = {"left": "'0' || h", "right": "h || '0'", "own": "h[:-2] || '0' || h[-1:]"
 def _(spark, sf):
     h = F.expr("CASE WHEN length(data_hex) > 2 THEN substring(data_hex, 1, length(data_hex) - 1) ELSE '7' END")
     path = text(f(spark, sf), F.concat(F.lit("("), seconds(), F.lit(") can0 1#"), h), spark, "odd")
-    parts = [I.read_candump(spark, path, p).select("ts_us", F.col("data_hex").alias(p)) for p in ODD]
-    return parts[0].join(parts[1], "ts_us").join(parts[2], "ts_us")
+    return I.read_candump(spark, path, also=ODD).select("ts_us", *ODD)  # one reading: times may repeat
 
 
 def keyed(spark, sf, flags):

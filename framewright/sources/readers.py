@@ -6,7 +6,7 @@ out and counted by ``rejected``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -36,11 +36,14 @@ def _payload(hexed: Column) -> list[Column]:
     return [b.alias(f"data{i}") for i, b in enumerate(S.payload_bytes(F.rpad(hexed, 16, "0")))]
 
 
-def read_candump(spark: SparkSession, paths: str | list[str], odd: str = "left") -> DataFrame:
-    """``(ts) iface ID#HEX`` logs; the policy for odd digit counts differs by dataset."""
+def read_candump(spark: SparkSession, paths: str | list[str], odd: str = "left", also: Iterable[str] = ()) -> DataFrame:
+    """``(ts) iface ID#HEX`` logs; the policy for odd digit counts differs by dataset.
+
+    Each policy of ``also`` gives a column of its name, with the payload as that policy reads it.
+    """
     rows = _lines(spark, paths).where(F.col("line").rlike(CANDUMP))
     part = lambda k: F.regexp_extract("line", CANDUMP, k)
-    out = rows.select(_micros(part(1)).alias("ts_us"), part(2).alias("iface"), S.parse_can_id(part(3)).alias("can_id"), F.upper(S.odd_nibble(part(4), odd)).alias("data_hex"), stem(F.col("path")).alias("source_file"))
+    out = rows.select(_micros(part(1)).alias("ts_us"), part(2).alias("iface"), S.parse_can_id(part(3)).alias("can_id"), F.upper(S.odd_nibble(part(4), odd)).alias("data_hex"), stem(F.col("path")).alias("source_file"), *(F.upper(S.odd_nibble(part(4), p)).alias(p) for p in also))
     return out.select("*", S.sanitize_dlc(F.length("data_hex") / 2).alias("dlc"), *_payload(F.substring("data_hex", 1, 16)))
 
 

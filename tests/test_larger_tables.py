@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from framewright.plans import catalog
+from framewright.sources import readers
 
 from .oracle import TABLES, same
 
@@ -30,3 +31,13 @@ def larger(sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", ["scan_frames_csv", "scan_keyed_log", "scan_keyed_log_normal"])
 def test_ids_of_more_than_four_digits(spark, larger, name):
     same(QUERIES[name](spark, d := larger("user_id * 60000 + 3 AS user_id")), SQL[name], d)
+
+
+def test_odd_digits_of_messages_at_one_time(spark, larger):
+    same(QUERIES["scan_candump_oddnibble"](spark, d := larger("date_trunc('day', ts) AS ts")), SQL["scan_candump_oddnibble"], d)
+
+
+def test_odd_policies_beside_each_other(spark, tmp_path):
+    (tmp_path / "a.log").write_text("(1.000000) can0 1#123\n(1.000000) can0 1#45\n")
+    got = readers.read_candump(spark, str(tmp_path / "a.log"), "right", ("left", "right", "own")).select("data_hex", "left", "right", "own").collect()
+    assert sorted(map(tuple, got)) == [("1230", "0123", "1230", "1203"), ("45", "45", "45", "45")]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import range_of, splitters
+from .ranks import range_of, splitters, with_few
 
 ORDER = ("ts_us", "idx_src")
 #: Blocks of time that a trace is cut in.
@@ -36,7 +36,7 @@ def in_blocks(df: DataFrame, keys: tuple[str, ...], trace: tuple[str, ...] | Non
     at = range_of(F.col("_s"), F.col("ts_us"), BLOCKS, salt)
     # rows without a time come first, in blocks of their own
     early = F.floor(salt * BLOCKS).cast("int") - BLOCKS
-    return df.withColumn("_f", by(trace)).join(ends, "_f").withColumns({"_k": by(keys), "_b": F.when(F.col("ts_us").isNull(), early).otherwise(at)}).drop("_f", "_s", "_lo", "_hi")
+    return with_few(df.withColumn("_f", by(trace)), ends, "_f").withColumns({"_k": by(keys), "_b": F.when(F.col("ts_us").isNull(), early).otherwise(at)}).drop("_f", "_s", "_lo", "_hi")
 
 
 def fits(df: DataFrame, keys: tuple[str, ...]) -> bool:

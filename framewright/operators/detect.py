@@ -9,7 +9,7 @@ from ..scratch import kept
 from . import windows as W
 from .blocks import carried, fits, last_values, with_start
 from .kernel import gauss_scores
-from .ranks import exact_quantiles, range_of, splitters
+from .ranks import exact_quantiles, range_of, splitters, with_few
 
 # n-grams ----------------------------------------------------------------------
 
@@ -124,7 +124,7 @@ def running_share(df: DataFrame, rows: int = 10) -> DataFrame:
     last rows before a block are carried into it, so that no task holds a whole signal.
     """
     ends = df.groupBy("signal").agg(splitters(F.col("row_id"), BLOCKS).alias("_s"))
-    part = df.join(ends, "signal").withColumn("_b", range_of(F.col("_s"), F.col("row_id"), BLOCKS)).drop("_s")
+    part = with_few(df, ends, "signal").withColumn("_b", range_of(F.col("_s"), F.col("row_id"), BLOCKS)).drop("_s")
     block = Window.partitionBy("signal", "_b")
     last = part.withColumn("_k", F.row_number().over(block.orderBy(F.desc("row_id")))).where(F.col("_k") < rows)
     tails = last.groupBy("signal", "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "hit"))), lambda x: x.hit).alias("_t"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import kept
 from .blocks import place
-from .ranks import exact_quantiles, range_of, splitters
+from .ranks import exact_quantiles, range_of, splitters, with_few
 
 #: Ranges of scores whose running sums are formed apart and joined by their totals.
 RANGES = 256
@@ -297,7 +297,7 @@ def placed(df: DataFrame, order: Column | None, keys: list[str] | None = None) -
     hashed = [F.col(f"`{c.name}`") for c in df.schema if "map<" not in c.dataType.simpleString()]
     salt = F.pmod(F.xxhash64(*hashed), F.lit(1 << 20)) / float(1 << 20)
     at = F.when(F.col("_o").isNull(), F.floor(salt * RANGES).cast("int") - RANGES).otherwise(range_of(F.col("_s"), F.col("_o"), RANGES, salt))
-    rows = rows.join(bounds, "_k").withColumn("_r", at).drop("_s")
+    rows = with_few(rows, bounds, "_k").withColumn("_r", at).drop("_s")
     by_slice = Window.partitionBy("_k")
     before = F.coalesce(F.sum("_c").over(by_slice.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = rows.groupBy("_k", "_r").agg(F.count("*").alias("_c")).select("_k", "_r", F.sum("_c").over(by_slice).alias("_n"), before.alias("_b"))

@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import kept
+
 
 def splitters(value: Column, ranges: int) -> Column:
     """Aggregate: sorted bounds (an array of at most ``ranges`` - 1 values, with repeats) of ranges of about equal content."""
@@ -41,6 +43,20 @@ def range_of(bounds: Column, value: Column, ranges: int, salt: Column | None = N
     return low + F.coalesce(F.floor(salt * wide).cast("int"), F.lit(0))
 
 
+#: Rows of one a key, of about 2 kB each, that are broadcast.
+FEW = 1000
+
+
+def with_few(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Rows with the one row of their key; ``few`` is written and counted, and broadcast up to ``FEW`` keys.
+
+    A join by a few keys would send all rows of a key to one task; with more keys it is left to Spark, which
+    splits a key that outweighs the others.
+    """
+    few = kept(few, "few")
+    return rows.join(F.broadcast(few) if few.count() <= FEW else few, key)
+
+
 #: Rows of a group, as a share of one to this, that the sketch may be off by.
 ACCURACY = 50_000
 _SLACK = 5 / ACCURACY

@@ -4,7 +4,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from framewright.operators import evaluate
 from framewright.plans import catalog
 from framewright.sources import readers
 
@@ -41,3 +43,21 @@ def test_odd_policies_beside_each_other(spark, tmp_path):
     (tmp_path / "a.log").write_text("(1.000000) can0 1#123\n(1.000000) can0 1#45\n")
     got = readers.read_candump(spark, str(tmp_path / "a.log"), "right", ("left", "right", "own")).select("data_hex", "left", "right", "own").collect()
     assert sorted(map(tuple, got)) == [("1230", "0123", "1230", "1203"), ("45", "45", "45", "45")]
+
+
+def test_no_task_gets_a_slice_by_its_key(spark):
+    """Rows reach the ranges of their slice without a shuffle by slice, also where nothing is broadcast by its size."""
+    slow = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in slow}
+    for k, v in slow.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(1000).select("id", (F.col("id") % 2).alias("slice"))
+        out = evaluate.placed(df, F.col("id"), ["slice"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(r._nth == r.id // 2 and r._n == 500 for r in rows) and len(rows) == 1000
+    assert "BroadcastHashJoin" in plan

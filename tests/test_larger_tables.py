@@ -3,14 +3,18 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from framewright.operators import evaluate
-from framewright.plans import catalog
+from framewright.plans import catalog, q_streams
 from framewright.sources import readers
+from framewright.streaming import streams
 
 from .oracle import TABLES, same
+from .test_stateful import batches_of, run
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
@@ -61,3 +65,27 @@ def test_no_task_gets_a_slice_by_its_key(spark):
             spark.conf.set(k, v)
     assert all(r._nth == r.id // 2 and r._n == 500 for r in rows) and len(rows) == 1000
     assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("span", [0, 3000, 1_000_000])
+def test_trailing_counts_of_a_bucket(span):
+    """All ids of a bucket in one state, out of order, with times that repeat, against a plain loop."""
+    rnd = np.random.default_rng(span)
+    df = pd.DataFrame({"idx_src": range(90), "ts_us": np.sort(rnd.integers(0, 60, 90)) * 1000, "can_id": rnd.integers(-2, 3, 90) * 10**12})
+    verb = streams.BucketCounts()
+    verb.span_us = verb.silence_us = span
+    out = run(verb, 3, batches_of(df, [7, 20, 21, 50], 1), 60_000)
+    t, c = df["ts_us"].to_numpy(), df["can_id"].to_numpy()
+    want = [int(((t[: k + 1] >= t[k] - span) & (c[: k + 1] == c[k])).sum()) for k in range(90)]
+    assert out.sort_values("idx_src")["trailing"].tolist() == want
+
+
+def test_ids_share_states(spark, tmp_path):
+    """A stream of many more ids than ``BUCKETS`` keeps at most so many keys, whose calls are what a batch costs."""
+    df = spark.range(2000).selectExpr("id AS can_id", "id AS idx_src", "1000000 * id AS ts_us")
+    df.write.parquet(str(tmp_path / "in"))
+    own = q_streams.with_state_store(spark)
+    verb = streams.trailing_counts(streams.with_time(streams.frame_stream(own, str(tmp_path / "in"), df.schema, 1000)), "1 hour")
+    query = verb.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+    query.awaitTermination()
+    assert query.recentProgress[0]["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] <= streams.BUCKETS

@@ -57,6 +57,14 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float64()))
 
 
+#: Rows whose polynomials a task works on at once.
+ROWS = 1000
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, ROWS) for batch in batches for k in range(0, len(batch), ROWS))
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Moments of the cells of each batch."""
     for batch in batches:
@@ -65,8 +73,11 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         first, own = _cells_of(gamma, cx, cy)
         by = np.argsort(own, kind="stable")
-        both = (chebyshev(ux)[:, :, None] * (chebyshev(uy) * w[:, None])[:, None, :]).reshape(len(w), -1)[by]
-        sums = np.add.reduceat(both, np.searchsorted(own[by], np.arange(len(first))))
+        sums = np.zeros((len(first), ORDER * ORDER))
+        for at in (by[k : k + ROWS] for k in range(0, len(by), ROWS)):
+            both = (chebyshev(ux[at])[:, :, None] * (chebyshev(uy[at]) * w[at, None])[:, None, :]).reshape(len(at), -1)
+            cells, begin = np.unique(own[at], return_index=True)
+            sums[cells] += np.add.reduceat(both, begin)
         yield pa.RecordBatch.from_arrays([pa.array(gamma[first]), pa.array(cx[first]), pa.array(cy[first]), _lists(sums)], names=[*CELL, "m"])
 
 
@@ -101,7 +112,7 @@ def gauss_scores(points: DataFrame, model: DataFrame, gammas: list[float], digit
     schema = StructType([*(f for f in placed.schema if f.name in names), StructField("score", DoubleType())])
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             t = pa.Table.from_batches([batch])
             none = t["m"].combine_chunks().is_null().to_numpy(zero_copy_only=False)  # no model point within reach
             score = np.zeros(len(t))

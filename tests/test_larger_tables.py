@@ -5,10 +5,11 @@ import os
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import evaluate
+from framewright.operators import evaluate, kernel
 from framewright.plans import catalog, q_streams
 from framewright.sources import readers
 from framewright.streaming import streams
@@ -94,3 +95,17 @@ def test_ids_share_states(spark, tmp_path):
 def test_regions_of_repeated_numbers(spark, larger):
     d = larger("event_id // 2 * 2 AS event_id")
     same(QUERIES["payload_regions_assign"](spark, d), SQL["payload_regions_assign"], d)
+
+
+def test_kernel_works_on_few_rows_at_once(monkeypatch):
+    """Moments of a large batch are those of the whole, from at most ``kernel.ROWS`` rows at a time."""
+    rnd, seen, plain = np.random.default_rng(3), [], kernel.chebyshev
+    n = 5000
+    cell, u, w = rnd.integers(0, 3, n), rnd.uniform(-1, 1, (2, n)), rnd.uniform(0, 1, n)
+    monkeypatch.setattr(kernel, "chebyshev", lambda x: seen.append(len(x)) or plain(x))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ones(n), cell, cell, *u, w)], names=["gamma", "cx", "cy", "ux", "uy", "w"])
+    (got,) = kernel._moments(iter([batch]))
+    assert max(seen) <= 1000
+    for c, m in zip(got["cx"].to_pylist(), got["m"].to_pylist(), strict=True):
+        k = cell == c
+        assert np.allclose(np.einsum("ni,nj,n->ij", plain(u[0][k]), plain(u[1][k]), w[k]).ravel(), m)

@@ -70,7 +70,7 @@ def place(df: DataFrame, keys: tuple[str, ...] = ("source_file",), name: str = "
 def with_start(df: DataFrame, name: str = "_t0") -> DataFrame:
     """Rows with the first time of their file."""
     first = df.groupBy(F.struct("source_file").alias("_f")).agg(F.min("ts_us").alias(name))  # one row a file
-    return df.withColumn("_f", F.struct("source_file")).join(first, "_f").drop("_f")
+    return with_few(df.withColumn("_f", F.struct("source_file")), first, "_f").drop("_f")
 
 
 def last_values(df: DataFrame, n: int, value: Column, keys: tuple[str, ...] = ("source_file",), name: str = "_last", short: bool | None = None) -> DataFrame:

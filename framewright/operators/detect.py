@@ -9,7 +9,7 @@ from ..scratch import kept
 from . import windows as W
 from .blocks import carried, fits, last_values, with_start
 from .kernel import gauss_scores
-from .ranks import exact_quantiles, range_of, splitters, with_few
+from .ranks import exact_quantiles, listed, range_of, splitters, with_few
 
 # n-grams ----------------------------------------------------------------------
 
@@ -140,13 +140,13 @@ def running_share(df: DataFrame, rows: int = 10) -> DataFrame:
 
 def three_step_threshold(train: DataFrame, test: DataFrame, loss_q: float, time_q: float, signal_q: float) -> DataFrame:
     """Losses (row_id, signal, loss): per-signal loss limit, per-signal limit on the running share of violations, and a limit on the share of violating signals."""
-    loss = exact_quantiles(train, "loss", {"loss_limit": loss_q}, ["signal"])
+    loss = listed(exact_quantiles(train, "loss", {"loss_limit": loss_q}, ["signal"]))
 
     def violations(df: DataFrame) -> DataFrame:
         return kept(running_share(df.join(loss, "signal").withColumn("hit", (F.col("loss") > F.col("loss_limit")).cast("double"))).select("row_id", "signal", "run"), "violations")
 
     a = violations(train)
-    time = exact_quantiles(a, "run", {"time_limit": time_q}, ["signal"])
+    time = listed(exact_quantiles(a, "run", {"time_limit": time_q}, ["signal"]))
 
     def shares(df: DataFrame) -> DataFrame:
         return df.join(time, "signal").groupBy("row_id").agg(F.avg((F.col("run") > F.col("time_limit")).cast("double")).alias("share"))

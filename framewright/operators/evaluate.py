@@ -22,7 +22,7 @@ TWO = "pos > 0 AND neg > 0"
 
 def _with(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the one row of their slice."""
-    return rows.join(few, keys) if keys else rows.crossJoin(F.broadcast(few))
+    return with_few(rows, few, keys) if keys else rows.crossJoin(F.broadcast(few))
 
 
 def curve(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -47,14 +47,19 @@ def range_of(bounds: Column, value: Column, ranges: int, salt: Column | None = N
 FEW = 1000
 
 
-def with_few(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """Rows with the one row of their key; ``few`` is written and counted, and broadcast up to ``FEW`` keys.
+def listed(few: DataFrame) -> DataFrame:
+    """Rows of one a key for joins by it, written and counted, and broadcast up to ``FEW`` keys.
 
     A join by a few keys would send all rows of a key to one task; with more keys it is left to Spark, which
     splits a key that outweighs the others.
     """
     few = kept(few, "few")
-    return rows.join(F.broadcast(few) if few.count() <= FEW else few, key)
+    return F.broadcast(few) if few.count() <= FEW else few
+
+
+def with_few(rows: DataFrame, few: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows with the one row of their key, which is listed."""
+    return rows.join(listed(few), key)
 
 
 #: Rows of a group, as a share of one to this, that the sketch may be off by.
@@ -73,12 +78,14 @@ def exact_quantiles(df: DataFrame, value: str, wanted: Mapping[str, float], keys
     rows = df.select(*keys, F.col(value).alias("_v"))
     shares = [s for q in wanted.values() for s in (max(0.0, q - _SLACK), min(1.0, q + _SLACK))]
     bounds = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", F.array(*map(F.lit, shares)), F.lit(ACCURACY)).alias("_b"))
+    if keys:
+        bounds = kept(bounds, "bounds")  # one row a group
     each = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), F.col("_b")[2 * k].alias("lo"), F.col("_b")[2 * k + 1].alias("hi")) for k, (name, q) in enumerate(wanted.items())))
     bracket = bounds.select(*keys, "_n", F.explode(each).alias("_w")).select(*keys, "_n", "_w.*")
     one = F.struct(*keys) if keys else F.lit(0)
     met = rows.where("_v IS NOT NULL").withColumn("_g", one).drop(*keys)
     few = bracket.withColumn("_g", one).groupBy("_g").agg(F.collect_list(F.struct("name", "lo", "hi")).alias("_w"))  # one row a group
-    met = (met.join(few, "_g") if keys else met.crossJoin(F.broadcast(few.drop("_g")))).select("_g", "_v", F.explode("_w").alias("_w"))
+    met = (with_few(met, few, "_g") if keys else met.crossJoin(F.broadcast(few.drop("_g")))).select("_g", "_v", F.explode("_w").alias("_w"))
     side = F.when(F.col("_v") < F.col("_w.lo"), -1).when(F.col("_v") > F.col("_w.hi"), 1).otherwise(0)
     counts = met.groupBy("_g", "_w.name", side.alias("_s"), F.when(side == 0, F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     upto = Window.partitionBy("_g", "name").orderBy("_s", "_v")

@@ -1,6 +1,7 @@
 """Queries on events as larger tables have them: long ids, and times that stand more than once."""
 
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import evaluate, kernel
+from framewright.operators import blocks, detect, evaluate, kernel, ranks
 from framewright.plans import catalog, q_streams
 from framewright.sources import readers
 from framewright.streaming import streams
@@ -68,6 +69,32 @@ def test_no_task_gets_a_slice_by_its_key(spark):
     assert "BroadcastHashJoin" in plan
 
 
+@pytest.mark.parametrize("step", ["quantiles", "curve", "start", "three_step"])
+def test_rows_meet_a_few_keys_by_broadcast(spark, monkeypatch, step):
+    """Limits of a signal, bounds of a slice and starts of a file reach their rows without a shuffle by these few keys."""
+    slow = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in slow}
+    plans, plain = [], detect.kept
+    seen = lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or x
+    monkeypatch.setattr(detect, "kept", lambda x, what: plain(seen(x), what))
+    for k, v in slow.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(1000).selectExpr("id AS row_id", "concat('s', id % 2) AS signal", "id * 1.5D AS loss")
+        out = {
+            "quantiles": lambda: ranks.exact_quantiles(df, "loss", {"half": 0.5}, ["signal"]),
+            "curve": lambda: evaluate.curve(df.selectExpr("signal", "loss AS score", "CAST(row_id % 3 = 0 AS INT) AS label"), ["signal"]),
+            "start": lambda: blocks.with_start(df.selectExpr("signal AS source_file", "row_id AS ts_us")),
+            "three_step": lambda: detect.three_step_threshold(df, df, 0.9, 0.9, 0.95),
+        }[step]()
+        rows = seen(out).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows == {"quantiles": 2}.get(step, 1000)
+    assert not [p for p in plans if re.search(r"(?:SortMerge|ShuffledHash)Join \[(signal|_g|_f)#\d+\], \[\1#\d+\], Inner", p)]
+
+
 @pytest.mark.parametrize("span", [0, 3000, 1_000_000])
 def test_trailing_counts_of_a_bucket(span):
     """All ids of a bucket in one state, out of order, with times that repeat, against a plain loop."""

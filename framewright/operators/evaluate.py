@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import kept
 from .blocks import place
-from .ranks import exact_quantiles, range_of, splitters, with_few
+from .ranks import exact_quantiles, listed, range_of, splitters, with_few
 
 #: Ranges of scores whose running sums are formed apart and joined by their totals.
 RANGES = 256
@@ -76,6 +76,7 @@ def _or_median(best: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame
     """The threshold of each slice, or its median score where the slice has one class."""
     slices = scores.groupBy(*keys).agg((F.min("label") == F.max("label")).alias("_one"))
     if keys:
+        slices = listed(slices)
         alone = scores.join(slices.where("_one").drop("_one"), keys, "left_semi")
         joined = slices.join(best, keys, "left").join(exact_quantiles(alone, "score", {"median": 0.5}, keys), keys, "left")
     else:

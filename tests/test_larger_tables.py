@@ -143,3 +143,38 @@ def test_kernel_works_on_few_rows_at_once(monkeypatch):
     for c, m in zip(got["cx"].to_pylist(), got["m"].to_pylist(), strict=True):
         k = cell == c
         assert np.allclose(np.einsum("ni,nj,n->ij", plain(u[0][k]), plain(u[1][k]), w[k]).ravel(), m)
+
+
+def test_threshold_is_chosen_from_the_whole_grid(spark, larger):
+    """The least false alarms may be at any gamma of the reference's grid, 1e-4 to 1e2."""
+    d = larger("user_id * user_id % 97 AS user_id")
+    found = QUERIES["freq_threshold"](spark, d)
+    same(found, SQL["freq_threshold"], d)
+    assert found.first().gamma < 1
+
+
+def test_threshold_without_some_ids(spark, larger):
+    """Points without an id have no score."""
+    d = larger("CASE WHEN event_id % 7 > 0 THEN user_id END AS user_id")
+    for name in ("freq_threshold", "freq_kernel_score"):
+        same(QUERIES[name](spark, d), SQL[name], d)
+
+
+def test_near_scores_keep_their_order(spark):
+    """A small gamma has scores that differ late; they are as far apart as direct sums are, and equal points have equal ones."""
+    rnd = np.random.default_rng(8)
+    model, points = rnd.uniform(0, 1, (400, 2)), rnd.uniform(0, 1, (3000, 2))
+    points[1500:] = points[:1500]
+    scale = spark.createDataFrame([(0, 1, 0.0, 1.0)], "low_can_id int, high_can_id int, low_hz double, high_hz double")
+    frame = lambda a, names: spark.createDataFrame(pd.DataFrame(a, columns=names)).repartition(3)
+    m = frame(model, ["mx", "my"]).withColumn("w", F.lit(1 / 400))
+    rows = detect.kernel_scores(frame(points, ["can_id", "hz"]), m, scale, [1e-4, 100.0]).collect()
+    assert len(rows) == 6000
+    for g in (1e-4, 100.0):
+        got = {}
+        for r in rows:
+            if r.gamma == g:
+                got.setdefault((r.can_id, r.hz), set()).add(r.score)
+        assert all(len(v) == 1 for v in got.values())
+        want = -np.exp(-g * ((points[:1500, None] - model[None]) ** 2).sum(axis=2)).sum(axis=1) / 400
+        assert max(abs(got[tuple(p)].pop() - s) for p, s in zip(points[:1500].tolist(), want, strict=True)) < 1e-13
